@@ -3,16 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+import corpus_pipeline
+
+from . import language_id, mixing, near_duplicates, packing, quality_rules
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, and all documents, whose declared language and source are evidence as well."""
+    pages = language_id.page_evidence(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "suffix", "host", "domain")
+    docs = language_id.document_evidence(table(spark, sf_dir, "documents")).select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "declared", "suffix", "host", "domain")
+    found = language_id.identify(pages.unionByName(docs), keep_text=False)
+    return found.select("doc_id", "page_id", "language", "probability", "text_language", "declared", "host", "accepted")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.with_size(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.with_copies(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The text is not needed beyond its fingerprint.
+    docs, groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = docs.join(groups, "__f0", "left")
+    return found.select("doc_id", near_duplicates.hexadecimal(F.col("__f0")).alias("fingerprint"), "component_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality_rules.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     found = quality_rules.reject_outliers(stats.drop("text"))
     return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
+    "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES = {"op2_mixing": mixing.ORACLE}
