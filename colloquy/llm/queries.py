@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import language_id, mixing, near_duplicates, packing, quality_rules
+from . import chat_formatting, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, url_filters
 from .common import table
 
 
@@ -24,6 +24,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.chat_turns(table(spark, sf_dir, "conversations"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_filters.page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = url_filters.judge(pages.select("page_id", "url"), outcomes)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("posterior", 6).alias("posterior"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The text is not needed beyond its fingerprint.
     docs, groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -31,6 +47,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", near_duplicates.hexadecimal(F.col("__f0")).alias("fingerprint"), "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -41,12 +61,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_url_filters": op5_url_filters,
     "op6_simhash": op6_simhash,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op5_url_filters": url_filters.ORACLE}
