@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +29,60 @@ from .common import materialize, salted_ranks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END = 2048, 0
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Words, and pieces of words, whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 300_000
+#: The tokenizer's own rule for the pieces of a word.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words that the rule splits as the tokenizer does: Latin-1 without its white space and controls.
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
 class WordTokenizer:
-    """A tokenizer that never joins across ASCII white space, with the ids of words remembered."""
+    """A tokenizer that never joins across ASCII white space, with the ids of words remembered.
+
+    Unknown words of Latin-1 are lower-cased and split by the tokenizer's rule, and only pieces that
+    are new go through its merges; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        if piece not in self.pieces:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            spelled = "".join([self.letters[b] for b in piece.encode()])
+            self.pieces[piece] = b"".join([x.id.to_bytes(4, "little") for x in self.merge(spelled)])
+        return self.pieces[piece]
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.piece, PIECES.findall(text.lower())))
 
     def ids(self, text: str) -> np.ndarray:
         parts = text.encode().split()
-        new = [x for x in set(parts) if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(set(parts))
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for x, e in zip(some, self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype="<u4")
+        found = list(map(self.words.get, parts))
+        if None in found:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            for at, (word, ids) in enumerate(zip(parts, found)):
+                if ids is None:
+                    found[at] = self.words[word] = self.word(word)
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 def token_pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
