@@ -23,8 +23,7 @@ def read_lines(spark: SparkSession, *roots: str) -> DataFrame:
 
     Files above the cap are left out by their listed size, lines above the cap after the split.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True)
-    files = reader.text(list(roots)).select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    files = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
     files = files.where(F.col("file_size") <= FILE_CAP)
     lines = files.select(F.col("file_path").alias("path"), F.col("file_modification_time").alias("mtime"), F.col("file_size").alias("bytes"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return lines.where((F.trim("value") != "") & (F.length("value") <= LINE_CAP))
