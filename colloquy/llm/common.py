@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
+#: Scratch tables written since the list was last looked at.
+WRITTEN: list[str] = []
+#: Rows that go to a Python worker at once; texts may be long.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For what is planned within, few rows at once in Python workers."""
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH[0], before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -32,10 +51,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     broadcasts the table only if that size is under spark.sql.autoBroadcastJoinThreshold.
     """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/colloquy-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    WRITTEN.append(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -72,7 +72,7 @@ def text_model(rows: DataFrame, fusion: Fusion = Fusion()) -> np.ndarray:
     told = rows.where(F.col("declared").isin(languages) & F.col("text").isNotNull()).select("text", "declared")
     counts = told.mapInPandas(count, "language long, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n"))
     totals = np.full((len(languages), BINS), 0.5)
-    for r in counts.toLocalIterator():  # languages x bins rows at most
+    for r in materialize(counts, "language-model").toLocalIterator():  # languages x bins rows at most
         totals[r["language"], r["bin"]] += r["n"]
     return np.log(totals / totals.sum(axis=1, keepdims=True))
 

@@ -68,6 +68,8 @@ class WordTokenizer:
         return self.pieces[piece]
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII letters
+            return self.piece(word.lower().decode())
         text = word.decode()
         if not PLAIN.fullmatch(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

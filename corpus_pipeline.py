@@ -1,35 +1,61 @@
-"""From documents to packed token sequences: five stages, each over all rows its predecessor kept."""
+"""From documents to packed token sequences: five stages, each over all rows its predecessor kept.
+
+A stage's result is written before the next begins. So a stage that begins removes the scratch
+tables of the one before it, which nothing reads any more.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import language_id, mixing, near_duplicates, packing, quality_rules
-from colloquy.llm.common import materialize, table
+from colloquy.llm.common import WRITTEN, drop_tables, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _before)
+        WRITTEN.clear()
+        out = stage(spark, docs, sf_dir)
+        _before[:] = WRITTEN
+        return out
+
+    return begin
 
 
+@staged
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the outlier rule reject."""
     return quality_rules.quality_rules(docs).where("kept").select(*COLUMNS)
 
 
+@staged
 def keep_by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the evidence settles."""
     return language_id.identify(language_id.document_evidence(docs)).where("accepted").select(*COLUMNS)
 
 
+@staged
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group of near-duplicates."""
     return near_duplicates.drop_near_duplicates(docs).select(*COLUMNS)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mix_sources(docs).select(*COLUMNS)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences."""
     return packing.best_fit_packing(docs)
