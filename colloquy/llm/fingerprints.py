@@ -2,8 +2,8 @@
 
 The five-word shingles of a text are hashed once. The upper eight bits of a hash choose one of 256
 bins, the least hash of a bin stands for it. Empty bins are filled by optimal densification: each
-takes the bin that comes first in an order of its own of all bins, so two texts with the same
-shingles near by take the same one. A bin keeps its eight low-order bits, eight bins to a long.
+tries other bins in a random order of its own until one isn't empty, so two texts with the same
+shingles there take the same one. A bin keeps its eight low-order bits, eight bins to a long.
 Likeness is the share of equal bins, less what unequal bins have in common by chance.
 
 DataFrame functions only. Sorting the hashes puts the least of each bin first in its run.
@@ -16,12 +16,15 @@ followed by itself. An empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism, words
 
 SHINGLE, BINS, BITS = 5, 256, 8
+#: Bins that an empty bin tries at random before it goes through all in its order.
+PROBES = 6
 LONGS = BINS * BITS // 64
 
 
@@ -34,16 +37,30 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     bin_of = lambda x: F.shiftright(x, 56)  # noqa: E731  signed, as the sort is
     firsts = F.filter("__h", lambda x, k: (k == 0) | (bin_of(x) != bin_of(F.get("__h", k - 1))))
     own = own.withColumn("__first", firsts).drop("__h")
-    own = own.withColumn("__by", F.map_from_arrays(F.transform("__first", bin_of), "__first"))
+
+    first = BINS // 2
+    every = F.sequence(F.lit(-first).cast("long"), F.lit(first - 1).cast("long"))
+    tries = np.random.default_rng(7).integers(0, BINS, (PROBES, BINS))
+    probes = [F.array(*[F.lit(int(x)) for x in row]) for row in tries]
 
     def borrowed(j: Column) -> Column:
-        """What an empty bin takes from the bin that is first in its order, mixed with its own number."""
+        """Of the bins that aren't empty the first in j's order."""
         nearest = F.array_min(F.transform("__first", lambda x: F.struct(F.xxhash64(j, bin_of(x)).alias("turn"), x.alias("x"))))
-        return F.xxhash64(nearest["x"], j)
+        return nearest["x"]
+
+    def filled(bins: Column) -> Column:
+        def slot(j: Column) -> Column:
+            at = (j + first).cast("int")
+            taken = F.coalesce(*[F.get(bins, F.get(probe, at)) for probe in probes], borrowed(j))
+            return F.coalesce(F.get(bins, at), F.xxhash64(taken, j))
+
+        return F.transform(every, slot)
 
-    every = F.sequence(F.lit(-(BINS // 2)).cast("long"), F.lit(BINS // 2 - 1).cast("long"))
-    filled = F.transform(every, lambda j: F.coalesce(F.try_element_at("__by", j), borrowed(j)))
-    own = own.withColumn("__slots", F.when(F.size("__first") == BINS, F.col("__first")).otherwise(filled))
+    # As arguments of lambdas the map and the bins are built once for a text.
+    by_bin = F.map_from_arrays(F.transform("__first", bin_of), "__first")
+    bins = F.get(F.transform(F.array(by_bin), lambda by: F.transform(every, lambda j: F.try_element_at(by, j))), F.lit(0))
+    slots = F.get(F.transform(F.array(bins), filled), F.lit(0))
+    own = own.withColumn("__slots", F.when(F.size("__first") == BINS, F.col("__first")).otherwise(slots))
 
     def packed(i: Column) -> Column:
         low = [F.shiftleft(F.get("__slots", i * 8 + k).bitwiseAND(F.lit(255)), 8 * (7 - k)) for k in range(8)]
@@ -52,7 +69,7 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
             total = total.bitwiseOR(x)
         return total
 
-    return own.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), packed)).drop("__first", "__by", "__slots")
+    return own.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), packed)).drop("__first", "__slots")
 
 
 def likeness(a: Column, b: Column) -> Column:
