@@ -93,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     fed = picked.select("turn", "doc_id", "label", vectors(F.coalesce("text", F.lit(""))).alias("x")).select("turn", "doc_id", "label", "x.*")
     model = fed.repartition(1).sortWithinPartitions("turn", "doc_id", F.hash("i")).select("label", "i", "v").mapInPandas(follow, "w binary").first()
-    return np.frombuffer(model["w"], dtype=np.float32)
+    # Without any row no task trains.
+    return np.frombuffer(model["w"], dtype=np.float32) if model else np.zeros(SIZE, dtype=np.float32)
 
 
 def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -119,31 +119,31 @@ def _estimate(subset: DataFrame, rules: Rules, name: str) -> DataFrame:
     """Per cell the mean, and the inverse of the Cholesky factor of the floored covariance."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
     sums = subset.groupBy("__cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in pairs],
+        F.count(F.lit(1)).alias("__n"),
+        *[F.sum(x).alias(f"__s{i}") for i, x in enumerate(X)],
+        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"__q{i}{j}") for i, j in pairs],
     )
-    est = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIMS)})
+    est = sums.withColumns({f"__m{i}": F.col(f"__s{i}") / F.col("__n") for i in range(DIMS)})
     for j in range(DIMS):  # a column of the factor at a time, its diagonal first
         for rows in ([j], range(j + 1, DIMS)):
             column = {}
             for i in rows:
-                rest = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+                rest = F.col(f"__q{i}{j}") / F.col("__n") - F.col(f"__m{i}") * F.col(f"__m{j}")
                 for k in range(j):
-                    rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+                    rest = rest - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
                 if i == j:
                     rest = F.sqrt(F.greatest(rest + (rules.floors[i] * UNIT) ** 2, F.lit((rules.floors[i] * UNIT / 10) ** 2)))
-                column[f"l{i}{j}"] = rest if i == j else rest / F.col(f"l{j}{j}")
+                column[f"__l{i}{j}"] = rest if i == j else rest / F.col(f"__l{j}{j}")
             est = est.withColumns(column) if column else est
     for off in range(DIMS):  # a diagonal of the inverse at a time
         diagonal = {}
         for j in range(DIMS - off):
             total = F.lit(0.0 if off else 1.0)
             for k in range(j, j + off):
-                total = total - F.col(f"l{j + off}{k}") * F.col(f"p{k}{j}")
-            diagonal[f"p{j + off}{j}"] = total / F.col(f"l{j + off}{j + off}")
+                total = total - F.col(f"__l{j + off}{k}") * F.col(f"__p{k}{j}")
+            diagonal[f"__p{j + off}{j}"] = total / F.col(f"__l{j + off}{j + off}")
         est = est.withColumns(diagonal)
-    return materialize(est.select("__cell", *[f"m{i}" for i in range(DIMS)], *[f"p{i}{j}" for i, j in pairs]), name)
+    return materialize(est.select("__cell", *[f"__m{i}" for i in range(DIMS)], *[f"__p{i}{j}" for i, j in pairs]), name)
 
 
 def _distance() -> Column:
@@ -152,7 +152,7 @@ def _distance() -> Column:
     for i in range(DIMS):
         y = F.lit(0.0)
         for j in range(i + 1):
-            y = y + F.col(f"p{i}{j}") * (F.col(X[j]) - F.col(f"m{j}"))
+            y = y + F.col(f"__p{i}{j}") * (F.col(X[j]) - F.col(f"__m{j}"))
         total = total + y * y
     return total
 
@@ -172,8 +172,8 @@ def reject_outliers(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     members = passed.join(parts, ["__lang", "__source"]).select("__cell", *X)
 
     quartiles = members.groupBy("__cell").agg(*[F.percentile(x, [0.25, 0.5, 0.75]).alias(f"c{i}") for i, x in enumerate(X)])
-    start = quartiles.select("__cell", *[F.get(f"c{i}", F.lit(1)).alias(f"m{i}") for i in range(DIMS)], *[
-        (1 / F.greatest((F.get(f"c{i}", F.lit(2)) - F.get(f"c{i}", F.lit(0))) / 1.349, F.lit(rules.floors[i] * UNIT)) if i == j else F.lit(0.0)).alias(f"p{i}{j}")
+    start = quartiles.select("__cell", *[F.get(f"c{i}", F.lit(1)).alias(f"__m{i}") for i in range(DIMS)], *[
+        (1 / F.greatest((F.get(f"c{i}", F.lit(2)) - F.get(f"c{i}", F.lit(0))) / 1.349, F.lit(rules.floors[i] * UNIT)) if i == j else F.lit(0.0)).alias(f"__p{i}{j}")
         for i in range(DIMS) for j in range(i + 1)
     ])
     estimate = materialize(start, "mcd-start")
