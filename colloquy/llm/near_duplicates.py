@@ -46,6 +46,8 @@ class Near:
     #: 64 (XXH64) or 128 (XXH3).
     bits: int = 64
     radius: int = 2
+    #: Whether a shingle that a text repeats counts each time.
+    repeats: bool = True
     #: Of sampled blocks: similarity that is to be found, with what chance, and rows of a block.
     similarity: float = 0.8
     recall: float = 0.98
@@ -54,7 +56,7 @@ class Near:
 
 #: What the contract of the query asks for, and what finds five-word similarities of 0.8.
 EXACT = Near()
-LIKE = Near(shingle=5, bits=128, radius=26)
+LIKE = Near(shingle=5, bits=128, radius=28, repeats=False)
 
 
 def fingerprint(text: str | None, near: Near) -> bytes:
@@ -67,11 +69,14 @@ def fingerprint(text: str | None, near: Near) -> bytes:
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[min(near.shingle, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_digest if near.bits == 64 else xxhash.xxh3_128_digest
+    hashed = [digest(joined[s:e], 42) for s, e in zip(starts, ends)]
+    if not near.repeats:
+        hashed = list(set(hashed))
     counts = np.zeros(near.bits, dtype=np.int64)
-    for at in range(0, len(ends), ROWS):
-        hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + ROWS], ends[at : at + ROWS])])
+    for at in range(0, len(hashed), ROWS):
+        hashes = b"".join(hashed[at : at + ROWS])
         counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, near.bits // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(ends)).tobytes()
+    return np.packbits(2 * counts > len(hashed)).tobytes()
 
 
 def with_fingerprints(docs: DataFrame, near: Near) -> DataFrame:

@@ -99,6 +99,6 @@ def test_near_copies_go_and_others_stay(spark):
     left = sorted(r["doc_id"] for r in nd.drop_near_duplicates(df).collect())
     assert set(range(80)) <= set(left) and 6000 in left and 6001 not in left and 5000 not in left
     assert len(left) <= 80 + 1 + 4  # near all near copies, at the recall of the blocks
-    small = nd.drop_near_duplicates(df, nd.Near(shingle=5, bits=128, radius=26, max_block=16))
+    small = nd.drop_near_duplicates(df, nd.Near(shingle=5, bits=128, radius=28, repeats=False, max_block=16))
     assert set(range(80)) <= {r["doc_id"] for r in small.collect()}
     assert nd.drop_near_duplicates(df.limit(0)).count() == 0
