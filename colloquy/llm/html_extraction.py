@@ -201,9 +201,12 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", parse(F.coalesce("html", F.lit(""))).alias("x"))
     own = own.select("page_id", "url", F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1).alias("path"), "x.*")
     own = materialize(own.withColumn("__row", F.monotonically_increasing_id()), "pages-lines")
-    pairs = nearest_pages(own.where("host <> ''").select("__row", "host", "path"))
+    # A page that marks its article needs no neighbour, but may be one.
+    marked = F.array_contains("parts", F.lit(MAIN))
+    unmarked = own.where(~marked)
+    pairs = nearest_pages(own.where("host <> ''").select("__row", "host", "path")).join(unmarked.select("__row"), "__row", "left_semi")
     other = own.select(F.col("__row").alias("__nearest"), F.col("hashes").alias("__other"))
     pairs = pairs.join(other, "__nearest").select("__row", "__other")
-    found = own.join(pairs, "__row", "left")
+    found = own.where(marked).withColumn("__other", F.lit(None).cast("array<long>")).unionByName(unmarked.join(pairs, "__row", "left"))
     text = difference("lines", "parts", "hashes", "__other")
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
