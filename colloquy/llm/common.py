@@ -53,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/colloquy-{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
