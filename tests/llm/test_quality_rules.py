@@ -46,7 +46,7 @@ def test_estimate_is_minimum_covariance(spark, judged):
     """The same steps in numpy, for the one cell that all documents of this corpus share."""
     df, got = judged
     rules = q.Rules(min_cell=10**6)
-    x = np.array([[r[c] for c in q.X] for r in q.with_statistics(df).where("not base_failed").select(*q.X).collect()], dtype=float)
+    x = np.array([[r[c] for c in q.X] for r in q.materialize(q.with_statistics(df), "test-stats").where("not base_failed").select(*q.X).collect()], dtype=float)
     floors = np.array(rules.floors) * q.UNIT
 
     def estimate(rows):
