@@ -66,9 +66,7 @@ def test_estimate_is_minimum_covariance(spark, judged):
     np.testing.assert_allclose(ours, want, rtol=1e-6)
 
 
-def test_order_and_empty(spark, judged):
-    df, got = judged
-    again = q.quality_rules(df.repartition(9)).toPandas()
-    key = ["doc_id", "n_words"]
-    assert (got.sort_values(key).kept.to_numpy() == again.sort_values(key).kept.to_numpy()).all()
-    assert q.quality_rules(df.limit(0)).count() == 0 and q.quality_rules(df.where("doc_id = 3000")).first()["kept"] is False
+def test_nothing_passes_the_base_rules(spark, judged):
+    df, _ = judged
+    got = q.quality_rules(df.where("doc_id in (3000, 3001)").repartition(3)).collect()
+    assert len(got) == 2 and not any(r["kept"] for r in got)
