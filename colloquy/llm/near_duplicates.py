@@ -162,14 +162,15 @@ def stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near)
     label = np.arange(len(values))
     for a, b in _hits(values, starts, ends, near):
         while True:
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
+            # Only roots are tied to roots: what hung on a root before still does.
+            while ((up := label[label]) != label).any():
+                label = up
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
                 break
-            for x in (label[a], label[b], a, b):
-                np.minimum.at(label, x, low)
-        label = label[label]
-    while (label[label] != label).any():
-        label = label[label]
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
     return label
 
 

@@ -74,6 +74,25 @@ def test_bit_slices_find_every_pair(near):
     assert groups(want, range(n)) == dict(enumerate(labels.tolist()))
 
 
+def test_stars_keep_links_of_earlier_batches():
+    """One block of many batches: links of late rows tie what early rows had linked."""
+    rng = np.random.default_rng(5)
+    n = 5000
+    values = rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
+    bits = lambda *of: np.uint64(sum(1 << b for b in of))
+    values[5], values[4001], values[4002] = bits(), bits(0, 1), bits(2, 3)
+    values[4501], values[4502] = bits(0, 1, 4, 5), bits(2, 3, 8, 9)
+    values[3], values[2] = bits(0, 1, 4, 5, 6, 7), bits(2, 3, 8, 9, 10, 11)
+    for i in range(600, 4000, 2):  # and pairs that span batches
+        values[i] = values[i - 600] ^ bits(i % 64) if i >= 1200 else values[i]
+    starts, ends = np.zeros(n, dtype=np.int64), np.full(n, n)
+    batches = list(nd._hits(values, starts, ends, nd.EXACT))
+    assert len(batches) > 5
+    labels = nd.stars(values, starts, ends, nd.EXACT)
+    assert {labels[i] for i in (2, 3, 5, 4001, 4002, 4501, 4502)} == {2}
+    assert groups([(int(a), int(b)) for x in batches for a, b in zip(*x)], range(n)) == dict(enumerate(labels.tolist()))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i + 1, i) for i in range(60)] + [(200 + i, 199) for i in range(50)] + [(500, 3), (7, 7 - 1)]
     got = {r["node"]: r["component"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
