@@ -15,6 +15,11 @@ Two sets of blocks:
   a pair at the similarity threshold with the given recall. A block of more than `max_block` rows is
   compared chunk by chunk with itself in several tasks; none of its pairs is lost.
 
+With repeats = False near means more: the whole sets of shingle hashes have a Jaccard similarity of
+`similarity` at least. The blocks then only find candidates. Candidates that hang together are
+compared again, and each link between two trees of links is kept only if the two sets hold it.
+Texts go there once, or, of a component of more than `max_texts`, once for each pair of chunks.
+
 Defined results: a null or empty text has the fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows have equal fingerprints and are of one
 group; a null doc_id counts as larger than all others. An empty table gives no rows.
@@ -46,12 +51,14 @@ class Near:
     #: 64 (XXH64) or 128 (XXH3).
     bits: int = 64
     radius: int = 2
-    #: Whether a shingle that a text repeats counts each time.
+    #: Whether a shingle that a text repeats counts each time. If not, shingle sets decide.
     repeats: bool = True
     #: Of sampled blocks: similarity that is to be found, with what chance, and rows of a block.
     similarity: float = 0.8
     recall: float = 0.98
     max_block: int = 8192
+    #: Texts whose sets a task holds at once.
+    max_texts: int = 1024
 
 
 #: What the contract of the query asks for, and what finds five-word similarities of 0.8.
@@ -59,19 +66,21 @@ EXACT = Near()
 LIKE = Near(shingle=5, bits=128, radius=28, repeats=False)
 
 
-def fingerprint(text: str | None, near: Near) -> bytes:
-    """The big-endian fingerprint of a whole text."""
+def shingle_hashes(text: str | None, near: Near) -> list[bytes]:
+    """The hashes of a whole text's shingles; each once if repeats don't count."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return bytes(near.bits // 8)
+        return []
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     joined = b" ".join(parts)
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[min(near.shingle, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_digest if near.bits == 64 else xxhash.xxh3_128_digest
     hashed = [digest(joined[s:e], 42) for s, e in zip(starts, ends)]
-    if not near.repeats:
-        hashed = list(set(hashed))
+    return hashed if near.repeats else list(set(hashed))
+
+
+def _majority(hashed: list[bytes], near: Near) -> bytes:
     counts = np.zeros(near.bits, dtype=np.int64)
     for at in range(0, len(hashed), ROWS):
         hashes = b"".join(hashed[at : at + ROWS])
@@ -79,14 +88,41 @@ def fingerprint(text: str | None, near: Near) -> bytes:
     return np.packbits(2 * counts > len(hashed)).tobytes()
 
 
+def fingerprint(text: str | None, near: Near) -> bytes:
+    """The big-endian fingerprint of a whole text."""
+    return _majority(shingle_hashes(text, near), near)
+
+
+def _last_words(hashed: list[bytes]) -> np.ndarray:
+    """The last 64 bits of each hash."""
+    return np.frombuffer(b"".join(h[-8:] for h in hashed), dtype="<u8")
+
+
+def shingle_set(text: str | None, near: Near) -> np.ndarray:
+    return np.unique(_last_words(shingle_hashes(text, near)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as sorted arrays."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def with_fingerprints(docs: DataFrame, near: Near) -> DataFrame:
-    """docs with the fingerprint as longs __f0 (and __f1), and with a number __row of its own for each row."""
-    fields = ["__f0", "__f1"][: near.bits // 64]
+    """docs with the fingerprint as longs __f0 (and __f1), and with a number __row of its own for each row.
+
+    Where shingle sets decide, __set is a digest of the set, the sum of its hashes.
+    """
+    words = near.bits // 64
+    fields = [*["__f0", "__f1"][:words], *([] if near.repeats else ["__set"])]
 
     @F.pandas_udf(", ".join(f"{f} long" for f in fields))
     def prints(texts: pd.Series) -> pd.DataFrame:
-        found = np.frombuffer(b"".join(fingerprint(t, near) for t in texts), dtype=">i8").astype(np.int64)
-        return pd.DataFrame(found.reshape(-1, len(fields)), columns=fields)
+        rows = []
+        for hashed in (shingle_hashes(t, near) for t in texts):
+            own = np.frombuffer(_majority(hashed, near), dtype=">i8").tolist()
+            rows.append(own if near.repeats else [*own, int(_last_words(hashed).sum(dtype=np.uint64).astype(np.int64))])
+        return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(fields)), columns=fields)
 
     return docs.withColumn("__f", prints(F.coalesce(F.col("text"), F.lit("")))).select("*", "__f.*", F.monotonically_increasing_id().alias("__row")).drop("__f")
 
@@ -157,6 +193,30 @@ def _hits(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near)
         yield row[cell], 64 * word[cell] + lane
 
 
+def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near, sets: list[np.ndarray]) -> np.ndarray:
+    """As stars, by those hits alone whose sets are similar. A pair that is linked already needs no look."""
+    label = np.arange(len(values))
+
+    def root(x: int) -> int:
+        while (up := label[x]) != x:
+            x = up
+        return x
+
+    for a, b in _hits(values, starts, ends, near):
+        for at in range(0, len(a), 4096):
+            while ((up := label[label]) != label).any():
+                label = up
+            x, y = a[at : at + 4096], b[at : at + 4096]
+            apart = label[x] != label[y]
+            for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+                r, q = root(i), root(j)
+                if r != q and jaccard(sets[i], sets[j]) >= near.similarity:
+                    label[max(r, q)] = min(r, q)
+    while ((up := label[label]) != label).any():
+        label = up
+    return label
+
+
 def stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near) -> np.ndarray:
     """For each row the first row that it is linked to, directly or not, within its block."""
     label = np.arange(len(values))
@@ -174,12 +234,14 @@ def stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near)
     return label
 
 
-def _link(near: Near, fields: list[str], keys: list[str]):
+def _link(near: Near, fields: list[str], keys: list[str], verify: bool = False):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their blocks; a block that a batch breaks off waits for the next."""
         held: list[np.ndarray] = []
+        sets: list[np.ndarray] = []  # of the rows held
+        enough = near.max_texts if verify else ROWS
 
-        def linked(rows: np.ndarray) -> pa.RecordBatch:
+        def linked(rows: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
             block = rows[:, : len(keys)]
             new = np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)])
             begins = np.flatnonzero(new)
@@ -188,7 +250,13 @@ def _link(near: Near, fields: list[str], keys: list[str]):
             rows, sizes = rows[several], sizes[sizes > 1]
             begins = np.cumsum(sizes) - sizes
             starts, ends = np.repeat(begins, sizes), np.repeat(begins + sizes, sizes)
-            first = stars(rows[:, len(keys) + 1 :].astype(np.uint64), starts, ends, near) if len(rows) else np.zeros(0, dtype=np.int64)
+            values = rows[:, len(keys) + 1 :].astype(np.uint64)
+            if not len(rows):
+                first = np.zeros(0, dtype=np.int64)
+            elif verify:
+                first = verified_stars(values, starts, ends, near, [sets[i] for i in np.flatnonzero(several)])
+            else:
+                first = stars(values, starts, ends, near)
             own, other = rows[:, len(keys)], rows[first, len(keys)]
             link = own != other
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(own, other)[link]), pa.array(np.minimum(own, other)[link])], names=["a", "b"])
@@ -197,20 +265,33 @@ def _link(near: Near, fields: list[str], keys: list[str]):
             if not batch.num_rows:
                 continue
             held.append(np.stack([batch.column(c).to_numpy() for c in [*keys, "node", *fields]], axis=1))
-            if sum(map(len, held)) >= ROWS:
+            if verify:
+                sets += [shingle_set(t, near) for t in batch.column("text").to_pylist()]
+            if sum(map(len, held)) >= enough:
                 rows = np.concatenate(held)
                 last = len(rows) - int((rows[:, : len(keys)] != rows[-1, : len(keys)]).any(axis=1)[::-1].argmax())
                 if last == len(rows) and not (rows[:, : len(keys)] != rows[-1, : len(keys)]).any():
                     last = 0
                 held = [rows[last:]]
                 if last:
-                    yield linked(rows[:last])
+                    yield linked(rows[:last], sets[:last])
+                    sets = sets[last:]
         if held and len(rows := np.concatenate(held)):
-            yield linked(rows)
+            yield linked(rows, sets)
 
     return link
 
 
+def _chunked(keyed: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
+    """keyed with chunks c0 and c1: a block of more than size rows is dealt to each pair of its chunks."""
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("n") / (size / 2))).drop("n"), name)
+    chunk = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.when(F.col("parts").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    keyed = keyed.join(sizes, keys, "left").withColumn("own", F.coalesce(chunk, F.lit(0))).withColumn("other", F.explode(other))
+    return keyed.withColumns({"c0": F.least("own", "other"), "c1": F.greatest("own", "other")})
+
+
 def links(distinct: DataFrame, near: Near) -> DataFrame:
     """Links (a, b), a after b, between the nodes of distinct fingerprints, enough to connect all that are near."""
     fields = [c for c in distinct.columns if c in ("__f0", "__f1")]
@@ -220,17 +301,25 @@ def links(distinct: DataFrame, near: Near) -> DataFrame:
     keyed = distinct.select("node", *fields, blocks.alias("__b")).select("node", *fields, "__b.*")
     keys = ["t", *[f"k{w}" for w in range(len(fields))]]
     if not exact:
-        sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > near.max_block)
-        sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("n") / (near.max_block / 2))).drop("n"), "near-large")
-        chunk = F.pmod(F.xxhash64("node"), F.col("parts"))
-        other = F.when(F.col("parts").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))
-        keyed = keyed.join(sizes, keys, "left").withColumn("own", F.coalesce(chunk, F.lit(0))).withColumn("other", F.explode(other))
-        keyed = keyed.withColumns({"c0": F.least("own", "other"), "c1": F.greatest("own", "other")})
+        keyed = _chunked(keyed, keys, near.max_block, "near-large")
         keys = [*keys, "c0", "c1"]
     dealt = keyed.select(*keys, "node", *fields).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(_link(near, fields, keys), "a long, b long")
 
 
+def verified_links(distinct: DataFrame, candidates: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between similar sets, enough to connect all that are similar, within each component of candidates.
+
+    distinct: nodes with fingerprints; candidates: (node, component); docs: texts by __row, which nodes are.
+    """
+    fields = [c for c in distinct.columns if c in ("__f0", "__f1")]
+    keys = ["component", "c0", "c1"]
+    nodes = materialize(_chunked(distinct.join(candidates, "node"), ["component"], near.max_texts, "near-chunks").select(*keys, "node", *fields), "near-candidates")
+    texts = docs.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = nodes.join(texts, "node").select(*keys, "node", *fields, "text").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_link(near, fields, keys, verify=True), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), the smallest node of each component, for all nodes of edges (a, b).
 
@@ -262,20 +351,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, near: Near = EXACT, keep_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """docs with fingerprints and row numbers, and (fingerprint, component, component_id, first row).
+    Where shingle sets decide, a fingerprint comes once for each set that has it.
 
     component_id is the smallest doc_id of the component; the first row is of that doc_id.
     """
     own = with_fingerprints(docs, near)
-    own = materialize(own if keep_text else own.drop("text"), "near-docs")
-    fields = [c for c in own.columns if c in ("__f0", "__f1")]
+    own = materialize(own if keep_text or not near.repeats else own.drop("text"), "near-docs")
+    fields = ["__f0", "__f1"][: near.bits // 64]
+    same = fields if near.repeats else [*fields, "__set"]
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("id"), F.col("__row").alias("row")))
-    distinct = own.groupBy(*fields).agg(F.min("__row").alias("node"), first.alias("first"))
+    distinct = own.groupBy(*same).agg(F.min("__row").alias("node"), first.alias("first"))
     distinct = materialize(distinct, "near-distinct")
-    found = materialize(components(links(distinct.select("node", *fields), near)), "near-components")
+    nodes = distinct.select("node", *fields)
+    found = materialize(components(links(nodes, near)), "near-components")
+    if not near.repeats:
+        found = materialize(components(verified_links(nodes, found, own, near)), "near-verified")
     labelled = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = labelled.groupBy("component").agg(F.min("first").alias("head"))
     groups = labelled.drop("first").join(firsts, "component")
-    return own, materialize(groups.select(*fields, "component", F.nullif(F.col("head.id"), F.lit(LAST)).alias("component_id"), F.col("head.row").alias("__first")), "near-groups")
+    return own, materialize(groups.select(*same, "component", F.nullif(F.col("head.id"), F.lit(LAST)).alias("component_id"), F.col("head.row").alias("__first")), "near-groups")
 
 
 def hexadecimal(long: Column) -> Column:

@@ -121,3 +121,29 @@ def test_near_copies_go_and_others_stay(spark):
     small = nd.drop_near_duplicates(df, nd.Near(shingle=5, bits=128, radius=28, repeats=False, max_block=16))
     assert set(range(80)) <= {r["doc_id"] for r in small.collect()}
     assert nd.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_only_similar_sets_are_near_copies(spark):
+    """Documents that share long passages lie within the radius and stay; chains of near copies go."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(1000)]
+    texts = {}
+    for i in range(30):  # each shares 800 words with any other: a similarity of 0.66
+        texts[i] = base[:800] + [word() for _ in range(200)]
+    for i in range(30, 60):  # a chain, each with 30 more words of its own than the one before
+        texts[i] = texts[i - 1][30:] + [word() for _ in range(30)] if i > 30 else [word() for _ in range(600)]
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    similar = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    within = [int.from_bytes(nd.fingerprint(" ".join(texts[i]), nd.LIKE)) for i in range(30)]
+    assert sum((a ^ b).bit_count() <= nd.LIKE.radius for i, a in enumerate(within) for b in within[:i]) > 30
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    want = sorted(set(groups(similar, sets).values()))
+    assert want[:30] == list(range(30)) and len(want) == 31
+    for near in (nd.LIKE, nd.Near(shingle=5, bits=128, radius=28, repeats=False, max_texts=8)):
+        assert sorted(r["doc_id"] for r in nd.drop_near_duplicates(df, near).collect()) == want
+
+
+def test_similarity_of_shingle_sets():
+    assert nd.jaccard(nd.shingle_set("a b c d e f g", nd.LIKE), nd.shingle_set("b c d e f g", nd.LIKE)) == pytest.approx(2 / 3)
+    assert nd.jaccard(nd.shingle_set("", nd.LIKE), nd.shingle_set("a", nd.LIKE)) == 0
