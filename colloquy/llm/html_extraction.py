@@ -5,12 +5,13 @@ page whose URL path is nearest, its neighbour in the order of paths; the two lis
 their longest common subsequence, and lines that both share are deleted as template text.
 
 Differencing alone can't tell an article that two pages both carry from a template, and misses a
-template part that only one page has. So the markup speaks too: lines of menus, footers, forms and
-the like are never kept, and lines of a marked article are never deleted; if a page marks an
-article, only that is its text.
+template part that only one page has. So the markup corrects it: lines of menus, footers, forms and
+the like are never kept, and lines of a marked article are never deleted. Differencing decides on
+all other lines of every page that has a neighbour, whether or not the page marks an article.
 
 Defined results: a null or empty html has the empty text; a page whose url is null or has no host is
-alone, as is the only page of a host, and only its markup speaks; pages of one path are ordered by
+alone, as is the only page of a host, and only its markup speaks: if it marks an article, only that
+is its text; pages of one path are ordered by
 page_id and stay a pair; an element that is never closed ends with the one around it.
 """
 
@@ -159,12 +160,21 @@ def page_lines(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lines", "parts", "hashes"])
 
 
-def main_text(lines: pd.Series, parts: pd.Series, hashes: pd.Series, nearest: pd.Series) -> pd.Series:
+def shared_lines(hashes: pd.Series, nearest: pd.Series) -> pd.Series:
+    """Indices of the lines that a page shares with its neighbour."""
+    return pd.Series([sorted(common_lines(mine, other)) for mine, other in zip(hashes, nearest)], dtype=object)
+
+
+def main_text(lines: pd.Series, parts: pd.Series, shared: pd.Series) -> pd.Series:
+    """shared: null for a page without a neighbour."""
     texts = []
-    for own, part, mine, other in zip(lines, parts, hashes, nearest):
-        marked = MAIN in part
-        shared = common_lines(mine, other) if other is not None and not marked else set()
-        texts.append(" ".join(x for i, (x, p) in enumerate(zip(own, part)) if p == MAIN or p == PLAIN and not marked and i not in shared))
+    for own, part, template in zip(lines, parts, shared):
+        if template is None:
+            decided = [p == PLAIN and MAIN not in part for p in part]
+        else:
+            gone = set(template)
+            decided = [p == PLAIN and i not in gone for i, p in enumerate(part)]
+        texts.append(" ".join(x for x, p, keep in zip(own, part, decided) if p == MAIN or keep))
     return pd.Series(texts, dtype=object)
 
 
@@ -196,17 +206,18 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Every page (page_id, url) with its main text and n_chars."""
     parse = F.pandas_udf(page_lines, "lines array<string>, parts array<int>, hashes array<long>")
-    difference = F.pandas_udf(main_text, "string")
+    align = F.pandas_udf(shared_lines, "array<int>")
+    keep = F.pandas_udf(main_text, "string")
     url = F.coalesce(F.col("url"), F.lit(""))
     own = pages.select("page_id", "url", parse(F.coalesce("html", F.lit(""))).alias("x"))
     own = own.select("page_id", "url", F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1).alias("path"), "x.*")
     own = materialize(own.withColumn("__row", F.monotonically_increasing_id()), "pages-lines")
-    # A page that marks its article needs no neighbour, but may be one.
-    marked = F.array_contains("parts", F.lit(MAIN))
-    unmarked = own.where(~marked)
-    pairs = nearest_pages(own.where("host <> ''").select("__row", "host", "path")).join(unmarked.select("__row"), "__row", "left_semi")
+    # Every page is aligned with its neighbour, by hashes alone. Texts are joined only to the lines in
+    # whose place the markup says nothing.
+    pairs = nearest_pages(own.where("host <> ''").select("__row", "host", "path"))
+    hashes = own.select("__row", "hashes", F.array_contains("parts", F.lit(PLAIN)).alias("plain"))
     other = own.select(F.col("__row").alias("__nearest"), F.col("hashes").alias("__other"))
-    pairs = pairs.join(other, "__nearest").select("__row", "__other")
-    found = own.where(marked).withColumn("__other", F.lit(None).cast("array<long>")).unionByName(unmarked.join(pairs, "__row", "left"))
-    text = difference("lines", "parts", "hashes", "__other")
-    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    aligned = hashes.join(pairs, "__row").join(other, "__nearest").select("__row", "plain", align("hashes", "__other").alias("shared"))
+    aligned = materialize(aligned, "pages-shared").where("plain").select("__row", "shared")
+    found = own.join(aligned, "__row", "left")
+    return found.select("page_id", "url", keep("lines", "parts", "shared").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

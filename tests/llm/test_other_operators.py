@@ -99,6 +99,14 @@ def test_longest_common_lines():
         assert len(kept) == brute_lcs(a, b) and is_subsequence(a[kept].tolist(), b.tolist())
 
 
+def test_differencing_decides_beside_a_marked_article(spark):
+    page = "<div>Site name</div><article><p>Common line</p><p>{0} own</p></article><div>{0} note</div><nav>{0} menu</nav><div>All rights</div>"
+    rows = [(1, "http://a.b/x/1", page.format("one")), (2, "http://a.b/x/2", page.format("two")), (3, "http://c.d/x", page.format("alone"))]
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in found.collect()}
+    assert got == {1: "Common line one own one note", 2: "Common line two own two note", 3: "Common line alone own"}
+
+
 def test_extraction(spark):
     template = "<html><head><title>t</title><style>p{}</style></head><body><div>Site name</div><p>{}</p><div>All rights</div></body></html>"
     shared = "<nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two<br>three<p>f&eacute;e&nbsp;x<script>var t='</p>'</script><div class='ad box'>Buy</div><section id=comments><p>Nice!</p></section></article><footer>End</footer>"
