@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,15 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Only a local session may do without: there it is a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "colloquy-scratch")
-    return shared
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "colloquy-scratch")
+
+
+#: Where materialize writes; None: the shared folder itself.
+_folder: ContextVar[str | None] = ContextVar("colloquy_folder", default=None)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """What is materialized within goes to a folder of its own, which the caller may remove once nothing reads it."""
+    path = f"{scratch_dir(spark)}/colloquy-{uuid.uuid4().hex}"
+    before = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(before)
 
 
-#: Scratch tables written since the list was last looked at.
-WRITTEN: list[str] = []
 #: Rows that go to a Python worker at once; texts may be long.
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
@@ -50,17 +66,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage, survives lost executors, and gives the planner the measured size: a join
     broadcasts the table only if that size is under spark.sql.autoBroadcastJoinThreshold.
     """
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/colloquy-{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    path = f"{_folder.get() or scratch_dir(df.sparkSession)}/colloquy-{name}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder or table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -99,8 +114,8 @@ def salted_ranks(df: DataFrame, keys: list[str], salt: str, order: list[str], na
     starts = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     starts = materialize(starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), f"{name}-starts")
     within = Window.partitionBy(*keys, "__slice").orderBy(salt, *order)
-    numbered = cut.withColumn("__row", F.row_number().over(within) - 1)
+    numbered = cut.withColumn("__in_slice", F.row_number().over(within) - 1)
     starts = starts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__slice").alias("__s"), "__start")
     numbered = numbered.join(starts, on & (F.col("__slice") == F.col("__s")))
-    ranked = numbered.withColumn("rank", F.col("__start") + F.col("__row"))
-    return ranked.drop(*[f"__{k}" for k in keys], "__slice", "__s", "__start", "__row"), counts
+    ranked = numbered.withColumn("rank", F.col("__start") + F.col("__in_slice"))
+    return ranked.drop(*[f"__{k}" for k in keys], "__slice", "__s", "__start", "__in_slice"), counts

@@ -90,15 +90,17 @@ def with_text_likelihoods(rows: DataFrame, model: np.ndarray, fusion: Fusion = F
     return scored.select("*", F.col("__t.ll").alias("__ll"), F.col("__t.n").alias("__n")).drop("__t")
 
 
-def fuse(scored: DataFrame, fusion: Fusion = Fusion()) -> DataFrame:
-    """scored (with declared, suffix, host, domain, __ll, __n) with language, probability, text_language, accepted."""
+def fuse(scored: DataFrame, counted: DataFrame, fusion: Fusion = Fusion()) -> DataFrame:
+    """scored (with declared, suffix, host, domain, __ll, __n) with language, probability, text_language, accepted.
+
+    counted: the same rows, of which the evidence is counted.
+    """
     languages = range(len(fusion.languages))
-    scored = materialize(scored, "language-scored")
     ll = [F.get("__ll", F.lit(i)) for i in languages]
     best = F.when(F.col("__n") > 0, F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
     own = scored.withColumn("__best", best)
     counts = [F.sum(F.when(F.col("__best") == i, 1).otherwise(0)) for i in languages]
-    told = own.where(F.col("__best").isNotNull())
+    told = counted.withColumn("__best", best).where(F.col("__best").isNotNull())
 
     def evidence(column: str) -> DataFrame:
         """Per value of the column, the log of its share among the rows of each language."""
@@ -155,7 +157,9 @@ def fuse(scored: DataFrame, fusion: Fusion = Fusion()) -> DataFrame:
 def identify(rows: DataFrame, fusion: Fusion = Fusion(), keep_text: bool = True) -> DataFrame:
     """rows (text, declared, suffix, host, domain, any others) with their language."""
     scored = with_text_likelihoods(rows, text_model(rows, fusion), fusion)
-    return fuse(scored if keep_text else scored.drop("text"), fusion)
+    counted = materialize(scored.drop("text"), "language-scored")
+    # Texts are scored once more rather than written once more.
+    return fuse(scored if keep_text else counted, counted, fusion)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -88,10 +88,12 @@ def with_size(docs: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    own = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")
-    taken = with_copies(with_size(own).drop("text"), mix)
-    copies = taken.where(F.col("copies") > 0).select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.select("__doc.*")
+    own = with_size(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")).drop("text")
+    own = materialize(own.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    # Ranks need row numbers and sizes only. The documents are dealt out once, to meet their copies.
+    taken = with_copies(own.drop("__doc"), mix).where(F.col("copies") > 0).select("__row", "copies")
+    copies = own.select("__row", "__doc").join(taken.hint("shuffle_hash"), "__row")
+    return copies.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__doc.*")
 
 
 ORACLE = r"""

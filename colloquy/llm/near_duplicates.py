@@ -15,10 +15,14 @@ Two sets of blocks:
   a pair at the similarity threshold with the given recall. A block of more than `max_block` rows is
   compared chunk by chunk with itself in several tasks; none of its pairs is lost.
 
-With repeats = False near means more: the whole sets of shingle hashes have a Jaccard similarity of
-`similarity` at least. The blocks then only find candidates. Candidates that hang together are
-compared again, and each link between two trees of links is kept only if the two sets hold it.
-Texts go there once, or, of a component of more than `max_texts`, once for each pair of chunks.
+With repeats = False near means more, and words are runs of letters and digits, whatever marks stand
+between them. Two texts are near if the smaller of their whole sets of shingles has at least the
+share `similarity` in common with the other (a few edited words each take five shingles from either
+set, which counts once here, twice in a Jaccard similarity). The blocks then only find candidates.
+Candidates that hang together are compared again, and each link between two trees of links is kept
+only if the two sets hold it. Texts go there once, or, of a component of more than `max_texts`, once
+for each pair of chunks. Row numbers, fingerprints and links are all that is joined and contracted
+before; the texts of a table are dealt out twice, to verify and to keep, at every size alike.
 
 Defined results: a null or empty text has the fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows have equal fingerprints and are of one
@@ -28,6 +32,7 @@ group; a null doc_id counts as larger than all others. An empty table gives no r
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -43,6 +48,7 @@ from .common import materialize
 
 LAST = 2**63 - 1
 ROWS = 1 << 16
+WORDS = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -53,7 +59,7 @@ class Near:
     radius: int = 2
     #: Whether a shingle that a text repeats counts each time. If not, shingle sets decide.
     repeats: bool = True
-    #: Of sampled blocks: similarity that is to be found, with what chance, and rows of a block.
+    #: Share of the smaller set, with what chance blocks find it, and rows of a block.
     similarity: float = 0.8
     recall: float = 0.98
     max_block: int = 8192
@@ -63,12 +69,13 @@ class Near:
 
 #: What the contract of the query asks for, and what finds five-word similarities of 0.8.
 EXACT = Near()
-LIKE = Near(shingle=5, bits=128, radius=28, repeats=False)
+LIKE = Near(shingle=5, bits=128, radius=36, repeats=False)
 
 
 def shingle_hashes(text: str | None, near: Near) -> list[bytes]:
     """The hashes of a whole text's shingles; each once if repeats don't count."""
-    parts = (text or "").encode().lower().split()
+    text = text or ""
+    parts = text.encode().lower().split() if near.repeats else " ".join(WORDS.findall(text.lower())).encode().split()
     if not parts:
         return []
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
@@ -102,10 +109,9 @@ def shingle_set(text: str | None, near: Near) -> np.ndarray:
     return np.unique(_last_words(shingle_hashes(text, near)))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets as sorted arrays."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def in_common(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of the smaller of two sets, as sorted arrays, that the other has as well."""
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
 def with_fingerprints(docs: DataFrame, near: Near) -> DataFrame:
@@ -138,8 +144,8 @@ def _exact_masks() -> list[list[int]]:
 def _sampled_masks(rows: int, near: Near) -> list[list[int]]:
     """Samples of so many bits that an even block has half of max_block rows at most, and 8 at least."""
     width = max(8, math.ceil(math.log2(max(1, rows) / (near.max_block / 2))))
-    # Shingle sets of similarity s have a cosine of 2s / (1 + s); a bit agrees with chance 1 - angle / pi.
-    agree = 1 - math.acos(2 * near.similarity / (1 + near.similarity)) / math.pi
+    # Sets of one size have the share in common as their cosine; a bit agrees with chance 1 - angle / pi.
+    agree = 1 - math.acos(near.similarity) / math.pi
     tables = math.ceil(math.log(1 - near.recall) / math.log(1 - agree**width))
     rng, masks = np.random.default_rng(42), []
     for _ in range(tables):
@@ -210,7 +216,7 @@ def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, nea
             apart = label[x] != label[y]
             for i, j in zip(x[apart].tolist(), y[apart].tolist()):
                 r, q = root(i), root(j)
-                if r != q and jaccard(sets[i], sets[j]) >= near.similarity:
+                if r != q and in_common(sets[i], sets[j]) >= near.similarity:
                     label[max(r, q)] = min(r, q)
     while ((up := label[label]) != label).any():
         label = up
@@ -316,7 +322,7 @@ def verified_links(distinct: DataFrame, candidates: DataFrame, docs: DataFrame,
     keys = ["component", "c0", "c1"]
     nodes = materialize(_chunked(distinct.join(candidates, "node"), ["component"], near.max_texts, "near-chunks").select(*keys, "node", *fields), "near-candidates")
     texts = docs.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = nodes.join(texts, "node").select(*keys, "node", *fields, "text").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = texts.join(nodes.hint("shuffle_hash"), "node").select(*keys, "node", *fields, "text").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(_link(near, fields, keys, verify=True), "a long, b long")
 
 
@@ -366,9 +372,10 @@ def near_duplicate_groups(docs: DataFrame, near: Near = EXACT, keep_text: bool =
     found = materialize(components(links(nodes, near)), "near-components")
     if not near.repeats:
         found = materialize(components(verified_links(nodes, found, own, near)), "near-verified")
-    labelled = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = labelled.groupBy("component").agg(F.min("first").alias("head"))
-    groups = labelled.drop("first").join(firsts, "component")
+    labelled = materialize(distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-labelled")
+    # Written before they are joined, so that a component of many fingerprints can be split there.
+    firsts = materialize(labelled.groupBy("component").agg(F.min("first").alias("head")), "near-firsts")
+    groups = labelled.select(*same, "component").join(firsts, "component")
     return own, materialize(groups.select(*same, "component", F.nullif(F.col("head.id"), F.lit(LAST)).alias("component_id"), F.col("head.row").alias("__first")), "near-groups")
 
 
@@ -381,4 +388,4 @@ def drop_near_duplicates(docs: DataFrame, near: Near = LIKE) -> DataFrame:
     given = docs.columns
     own, groups = near_duplicate_groups(docs, near)
     kept = groups.select(F.col("__first").alias("__row")).distinct()
-    return own.join(kept, "__row", "left_semi").select(*given)
+    return own.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*given)

@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,13 +30,16 @@ from .common import materialize, salted_ranks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END = 2048, 0
-#: Words, and pieces of words, whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a worker remembers: some 150 MB.
+REMEMBERED = 1_000_000
 #: The tokenizer's own rule for the pieces of a word.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words that the rule splits as the tokenizer does: Latin-1 without its white space and controls.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
 
+#: Marks that begin no special token and no contraction.
+MARKS = b".,;:!?%&*#$()-"
+
 
 def _byte_letters() -> list[str]:
     """The letter of each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
@@ -44,6 +48,25 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+class Remembered:
+    """Ids by word, of the words that came lately: once as many are new as half of what is to be kept,
+    those that did not come again since the last time go."""
+
+    def __init__(self, most: int) -> None:
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def get(self, word: bytes) -> bytes | None:
+        found = self.new.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.put(word, found)
+        return found
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        if len(self.new) >= self.half:
+            self.new, self.old = {}, self.new
+        self.new[word] = ids
+
+
 class WordTokenizer:
     """A tokenizer that never joins across ASCII white space, with the ids of words remembered.
 
@@ -56,20 +79,22 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def piece(self, piece: str) -> bytes:
-        if piece not in self.pieces:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            spelled = "".join([self.letters[b] for b in piece.encode()])
-            self.pieces[piece] = b"".join([x.id.to_bytes(4, "little") for x in self.merge(spelled)])
-        return self.pieces[piece]
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = b"".join([x.id.to_bytes(4, "little") for x in self.merge(spelled)])
+            self.pieces.put(piece, ids)
+        return ids
 
     def word(self, word: bytes) -> bytes:
         if word.isalpha():  # of ASCII letters
             return self.piece(word.lower().decode())
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():  # with marks after them, which are one piece
+            return self.piece(letters.lower().decode()) + self.piece(word[len(letters) :].decode())
         text = word.decode()
         if not PLAIN.fullmatch(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -77,21 +102,29 @@ class WordTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         parts = text.encode().split()
-        found = list(map(self.words.get, parts))
+        found = list(map(self.words.new.get, parts))
         if None in found:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
             for at, (word, ids) in enumerate(zip(parts, found)):
                 if ids is None:
-                    found[at] = self.words[word] = self.word(word)
+                    ids = self.words.get(word)
+                    if ids is None:
+                        ids = self.word(word)
+                        self.words.put(word, ids)
+                    found[at] = ids
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks that a worker runs: loading it takes a quarter of a second, and the words of one task come again in the next."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for batch in batches:
             rows, numbers, lengths, sums = [], [], [], []
             for row, text in enumerate(batch.column("text")):

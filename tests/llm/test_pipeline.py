@@ -25,3 +25,8 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, DATA), f"empty-{name}")
     assert docs.count() == 0
+
+
+def test_two_runs_do_not_touch_each_other(spark):
+    one, two = corpus_pipeline.run(spark, DATA), corpus_pipeline.run(spark, DATA)
+    assert two.count() == one.count() > 0
