@@ -1,8 +1,15 @@
 """Operator 9, quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Every document becomes a short vector of transformed statistics. For each language and source the
-half of the documents whose covariance has the smallest determinant is searched by concentration
-steps; a document is rejected if its Mahalanobis distance from that half is too large.
+half of the documents whose covariance has the smallest determinant is searched: from three
+deterministic starts (coordinate-wise medians and quartiles, spatial signs, coordinates squeezed by
+the hyperbolic tangent), two concentration steps each, and from the start of least determinant then
+on, until no cell's determinant falls any more. A document is rejected if its Mahalanobis distance
+from the reweighted estimate of that half is too large.
+
+A squared distance of 45 is the cut-off: of normal vectors of six dimensions 5 in 10^8 lie beyond,
+so even a large corpus of clean documents loses none to chance, where the usual quantile of 0.975
+would take one in forty.
 
 All steps are DataFrame operations. What is estimated per cell are sums, counts and percentiles of
 integers, which merge before the shuffle and don't depend on the order of rows, so a hot source is
@@ -40,8 +47,9 @@ class Rules:
     max_repeat_percent: int = 50
     #: Documents that a cell must have for an estimate of its own.
     min_cell: int = 200
-    #: Concentration steps after the coordinate-wise start.
-    steps: int = 1
+    #: Concentration steps of each start, and the fall of the logarithm of a determinant that calls for another.
+    steps: int = 2
+    tolerance: float = 1e-3
     #: Least spread of a coordinate: word length, symbols, capitals, marks, repeated lines, repeated words.
     floors: tuple[float, ...] = (0.04, 0.03, 0.03, 0.05, 0.15, 0.15)
     #: Squared distance from which on a document is rejected.
@@ -115,15 +123,24 @@ def _cells(passed: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     return judged, materialize(part.join(used, part["__cell"] == used["__used"], "left_semi"), "mcd-parts")
 
 
-def _estimate(subset: DataFrame, rules: Rules, name: str) -> DataFrame:
-    """Per cell the mean, and the inverse of the Cholesky factor of the floored covariance."""
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    sums = subset.groupBy("__cell").agg(
+KEYS = ["__cell", "__start"]
+M = [f"__m{i}" for i in range(DIMS)]
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+P = [f"__p{i}{j}" for i, j in PAIRS]
+
+
+def _moments(subset: DataFrame) -> DataFrame:
+    """Sums and sums of products of the integers X by cell and start."""
+    return subset.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(x).alias(f"__s{i}") for i, x in enumerate(X)],
-        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"__q{i}{j}") for i, j in pairs],
+        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"__q{i}{j}") for i, j in PAIRS],
     )
-    est = sums.withColumns({f"__m{i}": F.col(f"__s{i}") / F.col("__n") for i in range(DIMS)})
+
+
+def _estimate(sums: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """By cell and start the mean, the inverse of the Cholesky factor of the floored covariance, and the log of its determinant."""
+    est = sums.withColumns({m: F.col(f"__s{i}") / F.col("__n") for i, m in enumerate(M)})
     for j in range(DIMS):  # a column of the factor at a time, its diagonal first
         for rows in ([j], range(j + 1, DIMS)):
             column = {}
@@ -132,7 +149,7 @@ def _estimate(subset: DataFrame, rules: Rules, name: str) -> DataFrame:
                 for k in range(j):
                     rest = rest - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
                 if i == j:
-                    rest = F.sqrt(F.greatest(rest + (rules.floors[i] * UNIT) ** 2, F.lit((rules.floors[i] * UNIT / 10) ** 2)))
+                    rest = F.sqrt(F.greatest(rest + (floors[i] * UNIT) ** 2, F.lit((floors[i] * UNIT / 10) ** 2)))
                 column[f"__l{i}{j}"] = rest if i == j else rest / F.col(f"__l{j}{j}")
             est = est.withColumns(column) if column else est
     for off in range(DIMS):  # a diagonal of the inverse at a time
@@ -143,7 +160,52 @@ def _estimate(subset: DataFrame, rules: Rules, name: str) -> DataFrame:
                 total = total - F.col(f"__l{j + off}{k}") * F.col(f"__p{k}{j}")
             diagonal[f"__p{j + off}{j}"] = total / F.col(f"__l{j + off}{j + off}")
         est = est.withColumns(diagonal)
-    return materialize(est.select("__cell", *[f"__m{i}" for i in range(DIMS)], *[f"__p{i}{j}" for i, j in pairs]), name)
+    determinant = sum((2 * F.log(F.col(f"__l{i}{i}")) for i in range(DIMS)), F.lit(0.0))
+    return est.select(*KEYS, *M, *P, determinant.alias("__det"))
+
+
+def _starts(members: DataFrame, rules: Rules) -> DataFrame:
+    """The three starting estimates of each cell."""
+    quartiles = members.groupBy("__cell").agg(*[F.percentile(x, [0.25, 0.5, 0.75]).alias(f"c{i}") for i, x in enumerate(X)])
+    spread = [F.greatest((F.get(f"c{i}", F.lit(2)) - F.get(f"c{i}", F.lit(0))) / 1.349, F.lit(rules.floors[i] * UNIT)) for i in range(DIMS)]
+    middle = quartiles.select("__cell", *[F.get(f"c{i}", F.lit(1)).alias(f"__c{i}") for i in range(DIMS)], *[x.alias(f"__d{i}") for i, x in enumerate(spread)])
+    middle = materialize(middle, "mcd-middle")
+    z = [(F.col(x) - F.col(f"__c{i}")) / F.col(f"__d{i}") for i, x in enumerate(X)]
+    length = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
+    whole = lambda values: [F.round(v * UNIT).cast("long").alias(x) for x, v in zip(X, values)]
+    kinds = F.array(F.struct(F.lit(1).alias("__start"), *whole([v / length for v in z])), F.struct(F.lit(2).alias("__start"), *whole([F.tanh(v) for v in z])))
+    shapes = _estimate(_moments(members.join(middle, "__cell").select("__cell", F.explode(kinds).alias("__k")).select("__cell", "__k.*")), (0.05,) * DIMS)
+    # Shapes are of coordinates in spreads around the medians.
+    scaled = [(F.col(f"__p{i}{j}") * UNIT / F.col(f"__d{j}")).alias(f"__p{i}{j}") for i, j in PAIRS]
+    centre = [F.col(f"__c{i}").cast("double").alias(m) for i, m in enumerate(M)]
+    found = shapes.drop(*M, "__det").join(middle, "__cell").select(*KEYS, *centre, *scaled)
+    plain = [(1 / F.col(f"__d{j}") if i == j else F.lit(0.0)).alias(f"__p{i}{j}") for i, j in PAIRS]
+    return materialize(found.unionByName(middle.select("__cell", F.lit(0).alias("__start"), *centre, *plain)), "mcd-starts")
+
+
+def _concentrated(members: DataFrame, estimate: DataFrame, rules: Rules, name: str) -> DataFrame:
+    """The estimate from the half of each cell that is nearest to the given one."""
+    far = members.join(estimate.drop("__det"), "__cell").select(*KEYS, *X, _bin(_distance()).alias("__bin"))
+    half = materialize(far.groupBy(*KEYS).agg(F.floor(F.percentile("__bin", 0.5)).alias("__half")), f"mcd-half-{name}")
+    return materialize(_estimate(_moments(far.join(half, KEYS).where(F.col("__bin") <= F.col("__half"))), rules.floors), f"mcd-{name}")
+
+
+def least_determinant(members: DataFrame, rules: Rules) -> DataFrame:
+    """The minimum covariance determinant estimate of each cell of members (__cell, X)."""
+    estimate = _starts(members, rules)
+    for step in range(rules.steps):
+        estimate = _concentrated(members, estimate, rules, f"start{step}")
+    least = estimate.groupBy("__cell").agg(F.min(F.struct("__det", "__start")).alias("x")).select("__cell", "x.__start")
+    best = materialize(estimate.join(least, KEYS, "left_semi"), "mcd-best")
+    falls = True
+    while falls:  # it ends: each round lowers a determinant by the tolerance, and the floors bound them
+        now = _concentrated(members, best, rules, "next").drop("__start").withColumnsRenamed({c: f"{c}_" for c in [*M, *P, "__det"]})
+        fell = F.col("__det_") < F.col("__det") - rules.tolerance
+        both = best.join(now, "__cell").select(*KEYS, *[F.when(fell, F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in [*M, *P, "__det"]], fell.alias("__fell"))
+        both = materialize(both, "mcd-best")
+        falls = not both.where("__fell").isEmpty()
+        best = both.drop("__fell")
+    return best
 
 
 def _distance() -> Column:
@@ -170,24 +232,14 @@ def reject_outliers(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     passed = own.where(~F.col("base_failed")).select("__lang", "__source", *X)
     judged, parts = _cells(passed, rules)
     members = passed.join(parts, ["__lang", "__source"]).select("__cell", *X)
-
-    quartiles = members.groupBy("__cell").agg(*[F.percentile(x, [0.25, 0.5, 0.75]).alias(f"c{i}") for i, x in enumerate(X)])
-    start = quartiles.select("__cell", *[F.get(f"c{i}", F.lit(1)).alias(f"__m{i}") for i in range(DIMS)], *[
-        (1 / F.greatest((F.get(f"c{i}", F.lit(2)) - F.get(f"c{i}", F.lit(0))) / 1.349, F.lit(rules.floors[i] * UNIT)) if i == j else F.lit(0.0)).alias(f"__p{i}{j}")
-        for i in range(DIMS) for j in range(i + 1)
-    ])
-    estimate = materialize(start, "mcd-start")
-    for step in range(rules.steps + 1):
-        far = members.join(estimate, "__cell").select("__cell", *X, _bin(_distance()).alias("__bin"))
-        half = materialize(far.groupBy("__cell").agg(F.floor(F.percentile("__bin", 0.5)).alias("__half")), f"mcd-half{step}")
-        estimate = _estimate(far.join(half, "__cell").where(F.col("__bin") <= F.col("__half")), rules, f"mcd-step{step}")
+    estimate = least_determinant(members, rules)
     # Reweighting: scale to the chi-square median, and estimate anew from all that lie inside.
-    far = members.join(estimate, "__cell").select("__cell", *X, _distance().alias("__d"))
+    far = members.join(estimate, "__cell").select(*KEYS, *X, _distance().alias("__d"))
     scale = far.groupBy("__cell").agg((F.pow(F.lit(2.0), F.percentile(_bin(F.col("__d")), 0.5) / 64) / CHI2_MEDIAN).alias("__scale"))
     scale = materialize(scale, "mcd-scale")
     inside = far.join(scale, "__cell").where(F.col("__d") <= CHI2_975 * F.greatest(F.col("__scale"), F.lit(0.1)))
-    final = _estimate(inside, rules, "mcd-final")
-    verdicts = materialize(judged.join(final, "__cell").drop("__cell"), "mcd-verdicts")
+    final = _estimate(_moments(inside), rules.floors)
+    verdicts = materialize(judged.join(final, "__cell").drop(*KEYS, "__det"), "mcd-verdicts")
     scored = own.join(verdicts, ["__lang", "__source"], "left")
     kept = ~F.col("base_failed") & F.coalesce(_distance() <= rules.cutoff, F.lit(True))
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance()))).withColumn("kept", kept)

@@ -54,11 +54,32 @@ def test_estimate_is_minimum_covariance(spark, judged):
         return rows.mean(0), np.linalg.inv(cov + np.diag(floors**2))
 
     bins = lambda d: np.floor(np.log2(d + 1) * 64)
+    distances = lambda m, p: np.einsum("ij,jk,ik->i", x - m, p, x - m)
     lo, mid, hi = (np.percentile(x, p, axis=0) for p in (25, 50, 75))
-    d = (((x - mid) / np.maximum((hi - lo) / 1.349, floors)) ** 2).sum(1)
-    for _ in range(rules.steps + 1):
-        m, p = estimate(x[bins(d) <= np.floor(np.percentile(bins(d), 50))])
-        d = np.einsum("ij,jk,ik->i", x - m, p, x - m)
+    spread = np.maximum((hi - lo) / 1.349, floors)
+    z, results = (x - mid) / spread, []
+
+    def shape(u):
+        cov = np.cov(np.rint(u * q.UNIT).T, bias=True) + np.eye(q.DIMS) * (0.05 * q.UNIT) ** 2
+        return np.linalg.inv(cov) * q.UNIT**2 / np.outer(spread, spread)
+
+    def step(m, p):
+        d = bins(distances(m, p))
+        return estimate(x[d <= np.floor(np.percentile(d, 50))])
+
+    for start in (np.diag(1 / spread**2), shape(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)), shape(np.tanh(z))):
+        m, p = mid, start
+        for _ in range(rules.steps):
+            m, p = step(m, p)
+        results.append((-np.linalg.slogdet(p)[1], m, p))
+    least, m, p = min(results, key=lambda r: r[0])
+    while True:
+        m2, p2 = step(m, p)
+        if -np.linalg.slogdet(p2)[1] >= least - rules.tolerance:
+            break
+        least, m, p = -np.linalg.slogdet(p2)[1], m2, p2
+    assert least <= min(r[0] for r in results)
+    d = distances(m, p)
     scale = 2 ** (np.percentile(bins(d), 50) / 64) / q.CHI2_MEDIAN
     m, p = estimate(x[d <= q.CHI2_975 * max(scale, 0.1)])
     want = np.sort(np.sqrt(np.einsum("ij,jk,ik->i", x - m, p, x - m)))
@@ -70,3 +91,14 @@ def test_nothing_passes_the_base_rules(spark, judged):
     df, _ = judged
     got = q.quality_rules(df.where("doc_id in (3000, 3001)").repartition(3)).collect()
     assert len(got) == 2 and not any(r["kept"] for r in got)
+
+
+def test_correlated_junk_does_not_carry_the_estimate(spark):
+    """A third of a cell is tight, correlated junk: the half of least determinant leaves it out."""
+    rng = np.random.default_rng(8)
+    clean = rng.normal(0, 300, (1400, q.DIMS)) + 2000
+    junk = np.outer(rng.normal(0, 1, 600), np.full(q.DIMS, 900)) + rng.normal(0, 60, (600, q.DIMS)) + 5200
+    rows = [("c", *map(int, v)) for v in np.vstack([clean, junk])]
+    members = spark.createDataFrame(rows, "__cell string, " + ", ".join(f"{x} long" for x in q.X))
+    found = q.least_determinant(members, q.Rules()).first()
+    assert all(abs(found[m] - 2000) < 60 for m in q.M)
