@@ -12,7 +12,9 @@ all other lines of every page that has a neighbour, whether or not the page mark
 Defined results: a null or empty html has the empty text; a page whose url is null or has no host is
 alone, as is the only page of a host, and only its markup speaks: if it marks an article, only that
 is its text; pages of one path are ordered by
-page_id and stay a pair; an element that is never closed ends with the one around it.
+page_id and stay a pair; an element that is never closed ends with the one around it; very long pages
+are read as a whole; repeated rows are pages that are each other's neighbours; of other columns none
+is read or returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ NEVER_NAMES = set(
     "ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr "
     "notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments discussion disqus respond form search".split()
 )
+#: A class or id such as site-footer or comment-list is of these and one of the names at least; comment-policy or ads-free is not.
+AROUND_NAMES = set("site page main global top bottom left right header box bar area section wrapper wrap container widget block list item items links buttons button icons slot unit row col column inner".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S,
@@ -49,6 +53,11 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 PLAIN, MAIN, NEVER_TEXT = 0, 1, 2
 
 
+def _never_name(name: str) -> bool:
+    parts = set(re.split(r"[-_]+", name))
+    return not parts.isdisjoint(NEVER_NAMES) and parts <= NEVER_NAMES | AROUND_NAMES
+
+
 def _part(tag: str, attributes: str, in_main: bool) -> int:
     role, names = "", set()
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -56,28 +65,31 @@ def _part(tag: str, attributes: str, in_main: bool) -> int:
         if name.lower() == "role":
             role = value
         else:
-            names.update(re.split(r"[^a-z]+", value))
-    if tag in NEVER or tag == "header" and not in_main or role in NEVER_ROLES or names & NEVER_NAMES and tag not in ("html", "body", "article", "main"):
+            names.update(value.split())
+    if tag in NEVER or tag == "header" and not in_main or role in NEVER_ROLES or tag not in ("html", "body", "main") and any(map(_never_name, names)):
         return NEVER_TEXT
     return MAIN if tag in ("article", "main") or role in MAIN_ROLES else PLAIN
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """The text lines of a whole page, each with what it is."""
+    """The text lines of a whole page, each with what it is. Of several articles the longest is meant; the others are teasers."""
     found: list[tuple[str, int]] = []
+    article_of: list[int] = []  # of each line: 0, or the number of the article it stands in
     block: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that hold blocks, and what they are
-    never = main = at = 0
+    never = main = at = articles = inside = 0
 
     def end_block() -> None:
         text = " ".join("".join(block).split())
         if text:
             found.append((text, NEVER_TEXT if never else MAIN if main else PLAIN))
+            article_of.append(articles if inside and not never else 0)
         block.clear()
 
     def close(depth: int) -> None:
-        nonlocal never, main
-        for _, part in stack[depth:]:
+        nonlocal never, main, inside
+        for tag, part in stack[depth:]:
+            inside -= tag == "article"
             never -= part == NEVER_TEXT
             main -= part == MAIN
         del stack[depth:]
@@ -124,7 +136,16 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         stack.append((tag, part))
         never += part == NEVER_TEXT
         main += part == MAIN
+        if tag == "article":
+            articles += not inside and not never
+            inside += 1
     end_block()
+    if articles > 1:
+        sizes = [0] * (articles + 1)
+        for (text, _), number in zip(found, article_of):
+            sizes[number] += len(text) if number else 0
+        longest = sizes.index(max(sizes[1:]), 1)
+        found = [(text, part if number in (0, longest) else NEVER_TEXT) for (text, part), number in zip(found, article_of)]
     return found
 
 

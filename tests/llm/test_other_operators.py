@@ -121,6 +121,49 @@ def test_extraction(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_parts(spark):
+    """Class words count as whole tokens, compounds only of words that name parts; teasers are no article."""
+    pages = [
+        "<div class='upload-form-guide'><p>real words</p></div>", "<article><div class='comment-policy'>Policy.</div><p class='ads-free'>Text.</p></article>",
+        "<article><p>The long story here.</p></article><article class='card'>Related teaser</article>", "<main><article>Teaser</article><article><p>Own text of a page</p><article class='comment'>Nice</article></article></main>",
+        "<div id=site-footer>End</div><div class='x comment_list'>Wow</div><p>kept", "<article></article><article>only this</article>" + "<p>beside</p>" * 3, "<article>" + "x" * 300_000 + "<p>" + "y z " * 50_000 + "</article>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.com/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert [got[i] for i in range(6)] == ["real words", "Policy. Text.", "The long story here.", "Own text of a page", "kept", "only this"]
+    assert got[6] == "x" * 300_000 + " " + "y z " * 49_999 + "y z"
+
+
+def test_extraction_against_brute_force(spark):
+    """Generated pages of a host with template lines: what differencing by brute force leaves is the text."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    template = [word() for _ in range(6)]
+    rows, own = [], {}
+    for i in range(40):
+        lines = [[word() for _ in range(rng.randint(1, 4))] for _ in range(3)]
+        body = "".join(f"<div>{t}</div>" + "".join(f"<p>{x}</p>" for x in part) for t, part in zip(template, [*lines, [], [], []]))
+        own[i] = (f"/{rng.choice('ab')}/{rng.randint(0, 99)}", [x for t, part in zip(template, [*lines, [], [], []]) for x in [t, *part]])
+        rows.append((i, "http://host.org" + own[i][0], body))
+    order = sorted(own, key=lambda i: (own[i][0], i))
+    distance = lambda a, b: edits(own[a][0], own[b][0])
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    for k, i in enumerate(order):
+        near = min([j for j in order[max(0, k - 1) : k] + order[k + 1 : k + 2]], key=lambda j: distance(i, j))
+        want = [x for x in own[i][1] if x not in own[near][1]]
+        assert got[i] == " ".join(want)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        row = out
+    return row[-1]
+
+
 def test_nearest_pages_do_not_depend_on_ranges(spark):
     rows = [(i, "h" if i % 3 else "g", f"/{'ab'[i % 2]}/{i % 17}") for i in range(200)] + [(500, "single", "/")]
     df = spark.createDataFrame(rows, "__row long, host string, path string")
