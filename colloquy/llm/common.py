@@ -87,6 +87,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+#: Second labels under which countries register domains (fixed values), as in example.co.uk.
+REGISTRIES = "ac co com edu go gob gov gv ne net or org"
+
+
+def host_levels(host: Column) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, without user and port; an address of digits is its own domain without a suffix."""
+    suffix = rf"(?:{'|'.join(REGISTRIES.split())})\.[a-z]{{2}}|[^.]+"
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    digits = name.rlike(r"^[0-9.]*$|^\[")
+    domain = F.regexp_extract(name, rf"((?:[^.]+\.)?(?:{suffix}))$", 1)
+    return F.when(digits | (domain == ""), name).otherwise(domain), F.when(digits, "").otherwise(F.regexp_extract(name, rf"(?:^|\.)({suffix})$", 1))
+
+
 def spread(key: Column) -> Column:
     """A 32-bit mix of an integer key that DuckDB can compute as well; null as -1."""
     return F.pmod(F.pmod(F.coalesce(key, F.lit(-1)), F.lit(1000003)) * F.lit(2654435761), F.lit(4294967296))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import host_levels, materialize
 
 #: Hashed letter trigrams, 2^13.
 SHIFT = np.uint64(51)
@@ -169,13 +169,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     body = F.when(article != "", article).otherwise(html)
     text = F.regexp_replace(body, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;?", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "://([^/?#]*)", 1))
+    domain, suffix = host_levels(host)
     return pages.withColumns(
         {
             "text": text,
             "declared": F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1)),
             "host": F.nullif(host, F.lit("")),
-            "domain": F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")),
-            "suffix": F.nullif(F.regexp_extract(host, r"([^.]+)$", 1), F.lit("")),
+            "domain": F.nullif(domain, F.lit("")),
+            "suffix": F.nullif(suffix, F.lit("")),
         }
     )
 

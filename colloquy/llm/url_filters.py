@@ -3,23 +3,28 @@
 Labelled page outcomes give each host a rate of bad pages. The rate of a suffix is shrunk towards
 that of all pages, a registered domain's towards its suffix's, a host's towards its domain's, each
 by a beta-binomial prior whose strength follows from how much the rates differ on that level. A host
-is blocked if the lower bound of its posterior exceeds `most_bad`. Rules go before that.
+is blocked if the lower bound of its posterior, the quantile 1 - `certain` of its beta distribution,
+exceeds `most_bad`. Rules go before that. Domain and suffix are without port, and know registries
+such as co.uk.
 
 A page takes its outcome from the labelled documents that have the same text as its article.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule, and is
-judged by the prior of all pages; without labelled pages nothing but rules blocks; a document
-text or page text that occurs several times is bad if any of its labels is.
+judged by the prior of all pages; without labelled pages nothing but rules blocks; a page without an
+article, or an empty one, and an empty document tell nothing; a text that occurs several times is
+bad if any of its labels is; very long texts count as a whole; repeated pages count, and are judged,
+each; without pages there are no rows. Input columns with the names of result columns are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import REGISTRIES, host_levels, materialize, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,8 +34,8 @@ class Filter:
     #: (verdict, host, path)
     rules: tuple[tuple[str, str, str], ...] = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
     most_bad: float = 0.5
-    #: Standard deviations from the posterior mean to its bound.
-    bound: float = 1.645
+    #: The chance of a worse rate than most_bad from which on a host is blocked.
+    certain: float = 0.95
     least_strength: float = 1.0
     most_strength: float = 1000.0
 
@@ -50,8 +55,8 @@ def matching_rule(filter_: Filter) -> Column:
 
 
 def article_text(html: Column) -> Column:
-    """The words of the article after its heading, joined by single spaces."""
-    body = F.regexp_extract(F.coalesce(html, F.lit("")), "(?s)<article>.*?</h1>(.*?)</article>", 1)
+    """The words of the first article, after its heading if it has one, joined by single spaces."""
+    body = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<article\b[^>]*>(?:.*?</h1>)?(.*?)</article>", 1)
     plain = F.regexp_replace(body, "<[^>]*>", " ")
     for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
@@ -60,10 +65,33 @@ def article_text(html: Column) -> Column:
 
 def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, bad) of the pages whose article is the text of a labelled document."""
-    told = docs.select("doc_id", F.xxhash64(F.array_join(words(F.col("text")), " ")).alias("h"))
+    texts = docs.select("doc_id", F.array_join(words(F.col("text")), " ").alias("body")).where("body <> ''")
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
-    told = told.join(labels.select("doc_id", bad.alias("bad")), "doc_id").groupBy("h").agg(F.max("bad").alias("bad"))
-    return pages.select("page_id", F.xxhash64(article_text(F.col("html"))).alias("h")).join(told, "h").select("page_id", "bad")
+    told = texts.select("doc_id", F.xxhash64("body").alias("h")).join(labels.select("doc_id", bad.alias("bad")), "doc_id")
+    told = materialize(told.groupBy("h").agg(F.max("bad").alias("bad")), "url-labelled")
+    articles = pages.select("page_id", article_text(F.col("html")).alias("body")).where("body <> ''")
+    return articles.select("page_id", F.xxhash64("body").alias("h")).join(told, "h").select("page_id", "bad")
+
+
+#: Points on which a beta distribution is summed up, and of them those below most_bad.
+GRID = 512
+
+
+def chance_above(bad: Column, good: Column, most: float) -> Column:
+    """The chance that a rate exceeds `most` under the beta distribution (bad, good).
+
+    With the rate as sin(u)^2 the density is sin(u)^(2 bad - 1) cos(u)^(2 good - 1), summed at evenly spaced u.
+    """
+    u = lambda k: (k + 0.5) * (math.pi / 2 / GRID)
+    logs = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: (2 * bad - 1) * F.log(F.sin(u(k))) + (2 * good - 1) * F.log(F.cos(u(k))))
+    weights = F.flatten(F.transform(F.array(logs), lambda ls: F.transform(ls, lambda x: F.exp(x - F.array_max(ls)))))
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w)
+    below = _below(most)
+    return F.get(F.transform(F.array(weights), lambda ws: total(F.slice(ws, below + 1, GRID)) / total(ws)), F.lit(0))
+
+
+def _below(most: float) -> int:
+    return round(GRID * math.asin(math.sqrt(most)) / (math.pi / 2))
 
 
 def _strength(groups: DataFrame, filter_: Filter) -> tuple[float, float]:
@@ -80,10 +108,11 @@ def _strength(groups: DataFrame, filter_: Filter) -> tuple[float, float]:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, filter_: Filter = Filter()) -> DataFrame:
-    """pages (page_id, url) with host, path, rule, verdict, and the posterior mean and bound of the host."""
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    own = with_host_and_path(pages).withColumn("__domain", F.when(domain != "", domain).otherwise(F.col("host"))).withColumn("__suffix", F.regexp_extract("host", r"([^.]*)$", 1))
-    told = own.select("page_id", "host", "__domain", "__suffix").join(outcomes, "page_id").groupBy("host", "__domain", "__suffix")
+    """pages (page_id, url) with host, path, rule, verdict, and the posterior mean of the host."""
+    domain, suffix = host_levels(F.col("host"))
+    own = with_host_and_path(pages).withColumns({"__domain": domain, "__suffix": suffix})
+    of_page = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))  # repeated pages count by their own rows
+    told = own.select("page_id", "host", "__domain", "__suffix").join(of_page, "page_id").groupBy("host", "__domain", "__suffix")
     hosts = materialize(told.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")), "url-hosts")
     domains = hosts.groupBy("__domain", "__suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = hosts.groupBy("__suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -94,13 +123,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, filter_: Filter = Filter()) ->
     own = own.join(hosts, "host", "left").join(domains, "__domain", "left").join(materialize(suffixes, "url-suffixes"), "__suffix", "left")
     prior = F.coalesce("__pd", "__ps", F.lit(rate))
     n, b = F.coalesce("__n", F.lit(0)), F.coalesce("__b", F.lit(0))
-    own = own.withColumn("posterior", (b + k2 * prior) / (n + k2)).withColumn("__weight", n + k2)
-    own = own.withColumn("bound", F.col("posterior") - filter_.bound * F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("__weight") + 1)))
+    own = own.withColumns({"posterior": (b + k2 * prior) / (n + k2), "__bad": b + k2 * prior, "__good": n - b + k2 * (1 - prior)})
+    # By Markov's inequality the chance is under `certain` wherever the mean is under its share of most_bad.
+    doubtful = F.col("posterior") >= filter_.certain * filter_.most_bad
+    blocked = F.when(doubtful, chance_above(F.col("__bad"), F.col("__good"), filter_.most_bad) > filter_.certain).otherwise(F.lit(False))
     own = own.withColumn("__rule", matching_rule(filter_))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("bound") > filter_.most_bad, "block").otherwise("allow"))
-    return own.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__domain", "__suffix", "__n", "__b", "__pd", "__ps", "__weight", "__rule")
+    verdict = F.coalesce(F.col("__rule.verdict"), F.when(blocked, "block").otherwise("allow"))
+    return own.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__domain", "__suffix", "__n", "__b", "__pd", "__ps", "__bad", "__good", "__rule")
 
 
+SUFFIX = rf"(?:{'|'.join(REGISTRIES.split())})\.[a-z]{{2}}|[^.]+"
 ORACLE = r"""
 WITH parsed AS (
   SELECT page_id, html,
@@ -108,16 +140,17 @@ WITH parsed AS (
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), own AS (
-  SELECT *, CASE WHEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> '' THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) ELSE host END AS domain,
-    regexp_extract(host, '([^.]*)$', 1) AS suffix,
+  SELECT *, CASE WHEN regexp_matches(name, '^[0-9.]*$|^\[') OR regexp_extract(name, '((?:[^.]+\.)?(?:SUFFIX))$', 1) = '' THEN name
+      ELSE regexp_extract(name, '((?:[^.]+\.)?(?:SUFFIX))$', 1) END AS domain,
+    CASE WHEN regexp_matches(name, '^[0-9.]*$|^\[') THEN '' ELSE regexp_extract(name, '(?:^|\.)(SUFFIX)$', 1) END AS suffix,
     array_to_string(regexp_extract_all(replace(replace(replace(replace(replace(replace(regexp_replace(
-      regexp_extract(coalesce(html, ''), '(?s)<article>.*?</h1>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
+      regexp_extract(coalesce(html, ''), '(?is)<article\b[^>]*>(?:.*?</h1>)?(.*?)</article>', 1), '<[^>]*>', ' ', 'g'),
       '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[^\x20\x09-\x0D]+'), ' ') AS body
-  FROM parsed
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM parsed)
 ), told AS (
   SELECT array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), ' ') AS body,
     max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
-  FROM documents JOIN labels USING (doc_id) GROUP BY 1
+  FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING body <> ''
 ), hosts AS (
   SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM own JOIN told USING (body) GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
@@ -144,7 +177,10 @@ levels AS (
   SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM own JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
 )
-SELECT page_id, host, path, rule, round(posterior, 6) AS posterior,
-  coalesce(verdict, CASE WHEN posterior - 1.645 * sqrt(posterior * (1 - posterior) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, round(posterior, 6) AS posterior, coalesce(verdict, CASE WHEN posterior >= 0.95 * 0.5 AND (
+    SELECT sum(CASE WHEN k >= 256 THEN w ELSE 0 END) / sum(w) FROM (
+      SELECT k, exp(l - max(l) OVER ()) AS w FROM (
+        SELECT k, (2 * weight * posterior - 1) * ln(sin((k + 0.5) * pi() / 1024)) + (2 * weight * (1 - posterior) - 1) * ln(cos((k + 0.5) * pi() / 1024)) AS l FROM range(512) AS t(k)))
+  ) > 0.95 THEN 'block' ELSE 'allow' END) AS verdict
 FROM posteriors LEFT JOIN fitting USING (page_id)
-"""
+""".replace("SUFFIX", SUFFIX)

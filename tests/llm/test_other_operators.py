@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.llm import chat_formatting, fingerprints, html_extraction, language_id, quality_classifier, url_filters
+from colloquy.llm.common import host_levels
 
 
 def shingles(text):
@@ -78,6 +80,56 @@ def test_page_outcomes(spark):
     assert [tuple(r) for r in url_filters.page_outcomes(pages, docs, labels).collect()] == [(1, 1)]
 
 
+def test_empty_articles_tell_nothing(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", x) for i, x in enumerate([None, "", "<p>x", "<article></article>", "<ARTICLE class='a b'><p>one</p></ARTICLE>", "<article>one</article>"])], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, None), (2, " "), (3, "one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    outcomes = url_filters.page_outcomes(pages, docs, labels)
+    assert sorted(map(tuple, outcomes.collect())) == [(4, 1), (5, 1)]
+    assert {r["verdict"] for r in url_filters.judge(pages.where("page_id < 4"), outcomes.where("page_id < 4")).collect()} == {"allow"}
+    assert url_filters.judge(pages.limit(0), outcomes).count() == 0
+
+
+def test_host_levels(spark):
+    hosts = {"a.net:8080": ("a.net", "net"), "u:p@www.a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"), "": ("", ""), "x.b.com": ("b.com", "com"), "com.de": ("com.de", "com.de"), "[::1]": ("[::1]", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in df.select("host", *[c.alias(n) for n, c in zip("ds", host_levels(F.col("host")))]).collect()} == hosts
+
+
+def test_beta_quantile(spark):
+    rng = np.random.default_rng(1)
+    cases = [(1.0, 1.0), (0.6, 0.9), (8.0, 3.0), (40.0, 30.0), (900.0, 800.0), (3e6, 2e6), (5.0, 9.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    for most in (0.5, 0.3):
+        got = [r["x"] for r in df.select(url_filters.chance_above(F.col("a"), F.col("b"), most).alias("x")).collect()]
+        np.testing.assert_allclose(got, [(rng.beta(a, b, 400_000) > most).mean() for a, b in cases], atol=0.004)
+
+
+def test_posteriors_block_as_sql_says(spark, tmp_path):
+    """Hosts of all rates, ports, several suffixes, repeated pages and empty articles, against the SQL."""
+    rng = random.Random(4)
+    pages, docs, labels = [], [], []
+    for i in range(1500):
+        k = rng.randrange(30)
+        host = f"h{k}.{'ab'[k % 2]}.{['com', 'co.uk', 'info:8080'][k % 3]}"
+        bad = rng.random() < k / 30
+        html = f"<html><article id=x><h1>T</h1><p>page {i} &amp; {'bad' if bad else 'good'}</p></article>" if i % 7 else "<p>none</p>"
+        pages.append((i, f"http://{host}/p{i}", html))
+        docs.append((i, f"page {i} & {'bad' if bad else 'good'}" if i % 11 else ""))
+        labels.append((i, int(not bad), 0))
+    pages += [pages[1], (5000, None, None)]
+    frames = {"pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "documents": spark.createDataFrame(docs, "doc_id long, text string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int")}
+    con = duckdb.connect()
+    for name, df in frames.items():
+        con.register(name, df.toPandas())
+    want = con.execute(url_filters.ORACLE).df()
+    found = url_filters.judge(frames["pages"].withColumn("verdict", F.lit("mine")), url_filters.page_outcomes(frames["pages"], frames["documents"], frames["labels"]))
+    got = found.select("page_id", "host", "verdict", F.round("posterior", 6).alias("posterior")).toPandas()
+    key = lambda d: sorted((int(r.page_id), r.host, r.verdict, round(float(r.posterior), 5)) for r in d.itertuples())
+    assert key(got) == key(want)
+    assert 100 < (got.verdict == "block").sum() < 1200 and len(got) == len(pages)
+
+
 def brute_lcs(a, b):
     best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i, x in enumerate(a):
@@ -188,7 +240,7 @@ def test_languages(spark):
     assert language_id.identify(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, "http://A.co.uk/x", "<html lang='FR-ca'><article>b&amp;<i>c</i></article><nav>n"), (2, None, None)], "page_id long, url string, html string")
     one, two = language_id.page_evidence(pages).orderBy("page_id").collect()
-    assert (one["declared"], one["host"], one["domain"], one["suffix"], one["text"].split()) == ("fr", "a.co.uk", "co.uk", "uk", ["b", "c"]) and two["host"] is None and two["text"] == ""
+    assert (one["declared"], one["host"], one["domain"], one["suffix"], one["text"].split()) == ("fr", "a.co.uk", "a.co.uk", "co.uk", ["b", "c"]) and two["host"] is None and two["text"] == ""
 
 
 def test_chats(spark):
