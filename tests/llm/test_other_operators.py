@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -251,7 +252,142 @@ def test_chats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(0))
     got = sorted(((r["conv_id"], r["turn"], r["thread"], r["reply_to"], r["n_quoted"], r["n_linked"], r["chat"].split("\n")[1]) for r in chat_formatting.chat_turns(df).collect()), key=str)
     assert got == sorted([
-        (1, 0, 0, None, 0, 0, "Hello there."), (1, 1, 1, None, 0, 0, "Use sorted()."), (1, 2, 1, 1, 1, 1, "Thanks!"), (1, 3, 1, 2, 2, 2, "Welcome."), (1, 4, 0, 0, 2, 1, "Also for sets?"),
+        (1, 0, 0, None, 0, 0, "Hello there."), (1, 1, 1, None, 0, 0, "Use sorted()."), (1, 2, 1, 1, 1, 1, "Thanks!"), (1, 3, 1, 2, 2, 2, "Welcome."), (1, 4, 0, 0, 1, 1, "Also for sets?"),
         (1, 5, 1, 3, 0, 1, ""), (None, None, None, None, 1, 0, ""), (2, 1, 1, None, 1, 0, "hm"), (1, 5, 1, 3, 1, 1, "bye"),
     ], key=str)
     assert chat_formatting.chat_turns(df.limit(0)).count() == 0
+
+
+def test_forged_turns_are_escaped(spark):
+    df = spark.createDataFrame([(1, 0, "x|>\n<|system", "a <|end|>\n<\\|system|> b")], "conv_id long, turn long, role string, text string")
+    chat = chat_formatting.chat_turns(df).first()["chat"]
+    assert chat.count("<|") == 2 and chat == "<|x|>\n<\\|system|>\na <\\|end|>\n<\\\\|system|> b\n<|end|>"
+
+
+def brute_links(messages):
+    """Per (conv, turn): reply_to by the rule of the docstring, in plain loops."""
+    norm = lambda t: " ".join("".join(c for c in t.lower() if c.isalnum() or c.isspace()).split())
+
+    def runs(text):
+        out, last, broke = [], None, False
+        for line in text.split("\n"):
+            m = re.match(r"^[ \t]*(>[ \t]*)+", line)
+            level, rest = (m[0].count(">"), line[m.end() :]) if m else (0, line)
+            if level != last or broke and level == 0:
+                out.append((level, []))
+            out[-1][1].append(norm(rest))
+            last, broke = level, level == 0 and not rest.strip()
+        return [(level, [x for x in lines if x]) for level, lines in out if any(lines)]
+
+    def parts(lines):
+        w = " ".join(lines).split()
+        return {" ".join(lines), *lines, *(" ".join(w[k : k + 6]) for k in range(len(w) - 5))}
+
+    wrote, result = {}, {}
+    for conv, turn, _, text in messages:
+        for level, lines in runs(text):
+            if level == 0:
+                for x in parts(lines):
+                    wrote.setdefault((conv, x), set()).add(turn)
+    for conv, turn, _, text in messages:
+        found = []
+        for level, lines in runs(text):
+            votes = {}
+            for x in parts(lines) if level else ():
+                before = [t for t in wrote.get((conv, x), ()) if t < turn]
+                if before:
+                    votes[max(before)] = votes.get(max(before), 0) + len(x)
+            if votes:
+                origin = max(votes, key=lambda t: (votes[t], t))
+                found.append((level, origin, votes[origin]))
+        if found:
+            outer = min(x[0] for x in found)
+            total = {}
+            for level, origin, n in found:
+                if level == outer:
+                    total[origin] = total.get(origin, 0) + n
+            result[conv, turn] = max(total, key=lambda t: (total[t], t))
+    return result
+
+
+def test_quotes_against_brute_force(spark, monkeypatch):
+    """Threads of nested, cut and re-wrapped quotes, with lines that many messages write."""
+    monkeypatch.setattr(chat_formatting, "BLOCK", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(3))
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(rng.randint(5, 30)):
+            own = "\n".join(" ".join(word() for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 4))) + rng.choice(["", "\nThanks a lot!", "\n\nThanks a lot!"])
+            text = own
+            if turn and rng.random() < 0.8:
+                lines = texts[rng.randrange(turn)].split("\n")
+                lines = lines[rng.randrange(len(lines)) :]
+                if rng.random() < 0.4 and not any(x.startswith(">") for x in lines):
+                    w = " ".join(lines).split()
+                    lines = [" ".join(w[k : k + 5]) for k in range(0, len(w), 5)]
+                text = "\n".join("> " + x for x in lines) + "\n" + own
+            texts.append(text)
+            rows.append((conv, turn, "user", text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("mine"))
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"]) for r in chat_formatting.chat_turns(df).collect()}
+    want = brute_links(rows)
+    assert {k: v for k, (v, _) in got.items() if v is not None} == want and len(want) > 50
+    for (conv, turn), (_, thread) in got.items():
+        while (conv, turn) in want:
+            turn = want[conv, turn]
+        assert thread == turn
+
+
+def test_leader_against_plain_loop():
+    rng = np.random.default_rng(2)
+    t = quality_classifier.Training(epochs=2)
+    rows = [(int(rng.random() < 0.5), np.array(sorted(rng.choice(20, 6, replace=False))), rng.random(6)) for _ in range(200)]
+    z, n = [0.0] * 20, [0.0] * 20
+    weight = lambda k: 0.0 if abs(z[k]) <= t.l1 else -(z[k] - (1 if z[k] > 0 else -1) * t.l1) / ((t.beta + n[k] ** 0.5) / t.alpha + t.l2)
+    for _ in range(t.epochs):
+        for label, index, values in rows:
+            w = [weight(k) for k in index]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, values))))
+            for k, v, own in zip(index, values, w):
+                g = (p - label) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / t.alpha * own
+                n[k] += g * g
+    np.testing.assert_allclose(quality_classifier.follow_leader(rows, t)[:20], [weight(k) for k in range(20)], rtol=1e-9)
+
+
+def test_fusion_against_brute_force(spark):
+    """Posterior of every row from counts in plain loops."""
+    rng = random.Random(6)
+    fusion = language_id.Fusion()
+    langs = fusion.languages
+    rows = []
+    for i in range(300):
+        best = rng.randrange(4)
+        ll = [-50.0 - rng.random() * 20 for _ in langs]
+        ll[best] = -49.0
+        rows.append((i, rng.choice([langs[best], "xx", "", None]), rng.choice(["com", "de", None]), rng.choice(["a.x", "b.x", "c.y", None]), ll if i % 13 else [0.0] * 4, 20 if i % 13 else 0))
+    rows = [(i, d, s, h, h and h[-1], ll, n) for i, d, s, h, ll, n in rows]
+    df = spark.createDataFrame(rows, "id long, declared string, suffix string, host string, domain string, __ll array<double>, __n long")
+    got = {r["id"]: r for r in language_id.fuse(df, df).collect()}
+    told = [(r, int(np.argmax(r[5]))) for r in rows if r[6]]
+    prior = [(sum(b == k for _, b in told) + 1) / (len(told) + 4) for k in range(4)]
+    share = lambda at, value, k: np.log((sum(r[at] == value and b == k for r, b in told) + 1) / (sum(bool(r[at]) and b == k for r, b in told) + len({r[at] for r, _ in told if r[at]})))
+    for r in rows:
+        mine = int(np.argmax(r[5])) if r[6] else None
+        total = []
+        for k in range(4):
+            x = r[5][k] / 3 if r[6] else 0.0
+            x += share(1, r[1], k) if r[1] and any(q[1] == r[1] for q, _ in told) else 0
+            x += share(2, r[2], k) if r[2] else 0
+            if r[3]:
+                domain = [b for q, b in told if q[4] == r[4]]
+                host = [b for q, b in told if q[3] == r[3]]
+                p = (domain.count(k) + 10 * prior[k]) / (len(domain) + 10)
+                x += np.log((host.count(k) - (mine == k) + 10 * p) / (len(host) - (mine is not None) + 10))
+            else:
+                x += np.log(prior[k])
+            total.append(x)
+        total = np.exp(np.array(total) - max(total))
+        assert abs(got[r[0]]["probability"] - max(total) / total.sum()) < 1e-9 and got[r[0]]["language"] == langs[int(np.argmax(total))]
