@@ -48,6 +48,8 @@ from .common import materialize
 
 LAST = 2**63 - 1
 ROWS = 1 << 16
+#: Links that a task connects at once.
+EDGES = 1 << 20
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -223,20 +225,25 @@ def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, nea
     return label
 
 
+def tied(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links (a, b): each row's is the first row that it is linked to, directly or not."""
+    while True:
+        # Only roots are tied to roots: what hung on a root before still does.
+        while ((up := label[label]) != label).any():
+            label = up
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+
+
 def stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near) -> np.ndarray:
     """For each row the first row that it is linked to, directly or not, within its block."""
     label = np.arange(len(values))
     for a, b in _hits(values, starts, ends, near):
-        while True:
-            # Only roots are tied to roots: what hung on a root before still does.
-            while ((up := label[label]) != label).any():
-                label = up
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b = a[apart], b[apart]
-            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        label = tied(label, a, b)
     return label
 
 
@@ -309,7 +316,7 @@ def links(distinct: DataFrame, near: Near) -> DataFrame:
     if not exact:
         keyed = _chunked(keyed, keys, near.max_block, "near-large")
         keys = [*keys, "c0", "c1"]
-    dealt = keyed.select(*keys, "node", *fields).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = keyed.select(*keys, "node", *fields).repartition(*keys).sortWithinPartitions(*keys, "node")
     return dealt.mapInArrow(_link(near, fields, keys), "a long, b long")
 
 
@@ -322,32 +329,53 @@ def verified_links(distinct: DataFrame, candidates: DataFrame, docs: DataFrame,
     keys = ["component", "c0", "c1"]
     nodes = materialize(_chunked(distinct.join(candidates, "node"), ["component"], near.max_texts, "near-chunks").select(*keys, "node", *fields), "near-candidates")
     texts = docs.select(F.col("__row").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.join(nodes.hint("shuffle_hash"), "node").select(*keys, "node", *fields, "text").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = texts.join(nodes.hint("shuffle_hash"), "node").select(*keys, "node", *fields, "text").repartition(*keys).sortWithinPartitions(*keys, "node")
     return dealt.mapInArrow(_link(near, fields, keys, verify=True), "a long, b long")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, each to the smallest node that they connect it to. At most `EDGES` are held."""
+    held: list[np.ndarray] = []
+
+    def trees() -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        label = tied(np.arange(len(nodes)), a, b)
+        own = label != np.arange(len(nodes))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in "ab"]))
+        if sum(x.shape[1] for x in held) >= EDGES:
+            yield trees()
+    if held:
+        yield trees()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component), the smallest node of each component, for all nodes of edges (a, b).
+    """(node, component), the smallest node of each component, for all nodes of edges (a, b), a after b.
 
-    Large-star and small-star contraction: after each round a node points to smaller ones, until
-    the links are stars.
+    Each task first connects the links it reads by itself. Then large-star and small-star contraction:
+    after each round a node points to smaller ones, until the links are stars. Least neighbours are
+    written before they are joined, so that a node of many links can be split there.
     """
 
-    def with_least(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        return pairs.join(least, "a").withColumn("m", F.least("a", "m"))
-
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = materialize(edges.distinct(), "links")
+    edges = materialize(materialize(edges, "links-given").mapInArrow(_forest, "a long, b long").distinct(), "links")
     now = state(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = with_least(large)
-        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where(F.col("a") != F.col("b")).distinct(), "links")
+        # Of a node's neighbours those after it go to its least one; those of a root already do.
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m"), "links-least")
+        moved = edges.join(least, "b").select("a", F.col("m").alias("b"))
+        large = materialize(edges.join(least, "b", "left_anti").select("a", "b").unionByName(moved).distinct(), "links-large")
+        # Where several smaller ones are left, all of them go to the least.
+        several = large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
+        least = materialize(several, "links-least")
+        small = large.join(least.where("m < most").select("a", "m"), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         before, now = now, state(edges)
         if now == before:
             break
