@@ -26,7 +26,7 @@ def pair_exchanges(turns: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
 
     turns: record, session, pos, ts, role, text, interrupted, interrupt_kind, denial, denied_tools,
     tools, cwd, git_branch, images. A typed message closes the pair; interrupts and denials before it
-    belong to the pair; working folder and branch are carried on.
+    belong to the pair; working folder, branch and the time of the last answer are carried on.
     """
     seen = Window.partitionBy(*KEYS).orderBy("pos")
     typed = is_typed(F.col("role"), F.col("interrupted"), F.col("text"))
@@ -70,7 +70,7 @@ def pair_exchanges(turns: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
             "said_len": F.length("said_raw"),
             "reaction": F.substring("raw", 1, limits.text_cap),
             "reply_len": F.length("raw"),
-            "ts": F.coalesce(F.nullif("ts", F.lit("")), F.col("said_ts"), F.lit("")),
+            "ts": F.coalesce(F.nullif("ts", F.lit("")), F.last("said_ts", ignorenulls=True).over(order), F.lit("")),
         }
     )
     pairs = pairs.withColumns(
@@ -89,11 +89,11 @@ def gap_seconds(now: Column, before: Column) -> Column:
     return F.when(gap >= 0, F.floor(gap + 0.5).cast("long"))
 
 
-def mark_first_of_day(exchanges: DataFrame) -> DataFrame:
-    """first_of_day: the first exchange of each day that starts at four, in the order of ts, by record."""
-    day = working_day(F.to_timestamp("ts"))
-    first = F.row_number().over(Window.partitionBy("record", "__day").orderBy("ts", "session", "idx")) == 1
-    return exchanges.withColumn("__day", day).withColumn("first_of_day", first & F.col("__day").isNotNull()).drop("__day")
+def mark_first_of_day(exchanges: DataFrame, at: str = "ts", order: tuple[str, ...] = ("ts", "session", "idx")) -> DataFrame:
+    """first_of_day: the first exchange of each day that starts at four, by record. Minima merge before the shuffle."""
+    own = exchanges.withColumns({"__day": working_day(F.to_timestamp(at)), "__at": F.struct(*order)})
+    first = own.where("__day is not null").groupBy("record", "__day").agg(F.min("__at").alias("__first"))
+    return own.join(first, ["record", "__day"], "left").withColumn("first_of_day", F.coalesce(F.col("__at") == F.col("__first"), F.lit(False))).drop("__day", "__at", "__first")
 
 
 def newest_per_hash(exchanges: DataFrame) -> DataFrame:
@@ -109,6 +109,7 @@ def to_moments(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
         F.substring("reaction", 1, limits.reply_cap).alias("reply"), "reply_len",
         F.array_distinct("tools").alias("tools"), F.size("tools").alias("calls"), F.array_distinct("denied").alias("denied"),
         F.substring("said", 1, limits.excerpt).alias("ai_head"), F.right("said", F.lit(limits.excerpt)).alias("ai_tail"), "said_len",
+        F.transform(term_counts(F.col("said_full"), limits.terms_cap), lambda x: x["term"]).alias("ai_terms"),
     )
 
 
@@ -121,9 +122,24 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
     return incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
+def term_counts(text: Column, cap: int) -> Column:
+    """The most frequent terms of a text, by count, first position and name, as (neg, first_pos, term), neg the count below zero.
+
+    All within the row: terms are sorted so that equal ones are neighbours, and counted by where they begin.
+    """
+    found = F.filter(F.transform(raw_terms(F.coalesce(text, F.lit(""))), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: is_term(x["term"]))
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, i - 2)["term"]))
+        entry = lambda b: F.transform(b, lambda i, k: F.struct((i - F.coalesce(F.get(b, k + 1), F.size(s) + 1)).alias("neg"), F.get(s, i - 1)["pos"].alias("first_pos"), F.get(s, i - 1)["term"].alias("term")))
+        return F.slice(F.sort_array(F.get(F.transform(F.array(begins), entry), F.lit(0))), 1, cap)
+
+    # As arguments of lambdas the sorted terms and their beginnings are made once for a text.
+    none = F.array().cast("array<struct<neg:int,first_pos:int,term:string>>")
+    return F.get(F.transform(F.array(F.sort_array(found)), lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(none)), F.lit(0))
+
+
 def top_terms(texts: DataFrame, keys: list[str], text: str, cap: int = DEFAULT.terms_cap) -> DataFrame:
-    """The most frequent terms of each row: by count, first position, name, with their rank."""
-    each = texts.select(*keys, F.posexplode(raw_terms(F.col(text))).alias("pos", "term")).where(is_term(F.col("term")))
-    counted = each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first_pos", "term"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= cap)
+    """The most frequent terms of each row, with count, first position and rank. Rows of equal keys stay apart."""
+    each = texts.select(*keys, F.posexplode(term_counts(F.col(text), cap)).alias("rank", "x"))
+    return each.select(*keys, "x.term", (-F.col("x.neg")).cast("long").alias("n"), "x.first_pos", (F.col("rank") + 1).alias("rank"))

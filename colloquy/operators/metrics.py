@@ -61,19 +61,29 @@ def burst(labelled: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     return out.withColumn("burst", F.coalesce(F.col("busiest") >= limits.burst_share * F.col("n"), F.lit(False)))
 
 
+def in_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (record, ms, others) with each span (lo, hi, others) of their record that they lie in.
+
+    A record has as many spans as categories, a few dozen: they are one array, so that a row of the
+    record meets one row, and looks its spans up there.
+    """
+    columns = [c for c in spans.columns if c != "record"]
+    of_record = spans.groupBy("record").agg(F.collect_list(F.struct(*columns)).alias("__spans"))
+    inside = F.filter("__spans", lambda s: F.col("ms").between(s["lo"], s["hi"]))
+    return rows.join(of_record, "record").withColumn("__span", F.explode(inside)).select(*rows.columns, "__span.*")
+
+
 def trend(labelled: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Rates of a category before and after the middle of its own span, and its direction.
 
-    The number of all rows in a span comes from counts by time, joined to the spans of the same record.
+    Every moment counts for the spans of its record that it lies in.
     """
     each = labelled.where("ms is not null").select("record", "ms", F.explode(F.array_distinct("kinds")).alias("name"))
     span = each.groupBy("record", "name").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     span = span.where((F.col("n") >= limits.trend_min) & (F.col("hi") > F.col("lo"))).withColumn("mid", F.col("lo") + (F.col("hi") - F.col("lo")) / 2)
     own = each.join(span, ["record", "name"]).groupBy("record", "name").agg(F.count_if(F.col("ms") < F.col("mid")).alias("early"), F.count_if(F.col("ms") >= F.col("mid")).alias("late"))
-    # Spans are few; every moment meets those of its record.
-    every = labelled.where("ms is not null").groupBy("record", "ms").agg(F.count(F.lit(1)).alias("m"))
-    within = every.join(span, "record").where(F.col("ms").between(F.col("lo"), F.col("hi")))
-    everything = within.groupBy("record", "name").agg(F.sum(F.when(F.col("ms") < F.col("mid"), F.col("m")).otherwise(0)).alias("early_all"), F.sum(F.when(F.col("ms") >= F.col("mid"), F.col("m")).otherwise(0)).alias("late_all"))
+    within = in_spans(labelled.where("ms is not null").select("record", "ms"), span.select("record", "name", "lo", "mid", "hi"))
+    everything = within.groupBy("record", "name").agg(F.count_if(F.col("ms") < F.col("mid")).alias("early_all"), F.count_if(F.col("ms") >= F.col("mid")).alias("late_all"))
     out = own.join(everything, ["record", "name"])
     out = out.withColumns({"early_rate": rate(F.col("early"), F.col("early_all")), "late_rate": rate(F.col("late"), F.col("late_all"))})
     rising = (F.col("early_rate") == 0) & (F.col("late_rate") > 0) | (F.col("early_rate") > 0) & (F.col("late_rate") >= F.col("early_rate") * limits.rise)
@@ -111,7 +121,7 @@ def supply(labelled: DataFrame, actions: DataFrame, limits: Thresholds = DEFAULT
     span = span.where((F.col("n") >= limits.trend_min) & (F.col("hi") > F.col("lo"))).withColumn("mid", F.col("lo") + (F.col("hi") - F.col("lo")) / 2)
     told = labelled.where(F.size("denied") > 0).select("record").distinct()
     asked = span.join(actions.select("record", "name", "action"), ["record", "name"]).join(told, "record", "left_semi")
-    rows = labelled.where("ms is not null").select("record", "ms", "tools", "denied").join(asked, "record").where(F.col("ms").between(F.col("lo"), F.col("hi")))
+    rows = in_spans(labelled.where("ms is not null").select("record", "ms", "tools", "denied"), asked)
     late, acts, refused = F.col("ms") >= F.col("mid"), F.array_contains("tools", F.col("action")), F.coalesce(F.array_contains("denied", F.col("action")), F.lit(False))
     out = rows.groupBy("record", "name", "action").agg(*[
         F.count_if(test & side).alias(f"{when}_{what}")

@@ -58,11 +58,11 @@ def rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     return found.select("record", F.lit("rule").alias("kind"), _id("rule", F.col("phrase")).alias("id"), claim.alias("claim"), F.create_map(F.lit("count"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
 
 
-def approvals(exchanges: DataFrame) -> DataFrame:
+def approvals(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
     """Short prompts that approve, with what was said before: record, session, idx, quote, approved."""
     order = Window.partitionBy("record", "session").orderBy("idx")
     own = exchanges.withColumn("p", normal_prompt(F.col("prompt"))).withColumn("before", F.lag("said").over(order))
-    own = own.where((F.col("p") != "") & (F.length("p") <= 60) & F.col("p").rlike(APPROVAL))
+    own = own.where((F.col("p") != "") & (F.length("p") <= 60) & F.col("p").rlike(opening))
     return own.select("record", "session", "idx", F.substring("p", 1, 60).alias("quote"), F.substring(normal_prompt(F.col("before")), 1, 80).alias("approved"))
 
 

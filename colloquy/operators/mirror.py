@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.numbers import floor_quantile, rate, working_day
+from ..functions.numbers import DAY_MS, floor_quantile, rate, working_day
 from ..functions.text import is_question, trim_white, word_count
 from .exchanges import is_typed
 from .metrics import hours_to_cover, longest_streak
@@ -66,23 +66,45 @@ def hourly(messages: DataFrame) -> DataFrame:
     return messages.groupBy("record", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def repos(typed: DataFrame) -> DataFrame:
+    """(record, root, messages) of the typed turns that name a folder."""
+    folders = typed.where("cwd <> ''").groupBy("record", F.col("cwd").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    return folders.join(repo_roots(folders.select("record", "folder")), ["record", "folder"]).groupBy("record", "root").agg(F.sum("n").alias("messages"))
+
+
+def places(typed: DataFrame) -> DataFrame:
+    """Repositories, branch names, and pairs of the two, per record. A detached HEAD is no branch; a folder counts as its root."""
+    roots = repo_roots(typed.where("cwd <> ''").select("record", F.col("cwd").alias("folder")).distinct())
+    on_branch = typed.where("git_branch <> '' and git_branch <> 'HEAD'").select("record", F.coalesce("cwd", F.lit("")).alias("folder"), "git_branch").distinct()
+    pairs = on_branch.join(roots, ["record", "folder"], "left").groupBy("record").agg(F.countDistinct(F.coalesce("root", "folder"), "git_branch").alias("branch_pairs"), F.countDistinct("git_branch").alias("branch_names"))
+    counted = roots.groupBy("record").agg(F.countDistinct("root").alias("repos"))
+    every = typed.select("record").distinct().join(counted, "record", "left").join(pairs, "record", "left")
+    return every.select("record", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repos", "branch_names", "branch_pairs")])
+
+
 def mirror(turns: DataFrame, titles: DataFrame | None = None, limits: Thresholds = DEFAULT) -> DataFrame:
     """One row for each record: messages, days, lengths, friction, hours, places."""
-    typed = turns.where(is_typed(F.col("role"), F.col("interrupted"), F.col("text"))).withColumn("at", F.try_to_timestamp("ts"))
+    human = turns.where("role = 'user'").withColumns({"at": F.try_to_timestamp("ts"), "day": working_day(F.try_to_timestamp("ts"))})
+    typed = human.where(is_typed(F.col("role"), F.col("interrupted"), F.col("text")))
     plain = typed.where(F.length("text") <= limits.paste_bound)
-    days = typed.select("record", working_day(F.col("at")).alias("day")).where("day is not null")
-    lengths = counted_quantiles(plain.withColumn("len", F.length("text")), ["record"], "len", {"len_p25": 0.25, "len_median": 0.5, "len_p75": 0.75, "len_p90": 0.9}).drop("n")
+    days = typed.select("record", "day").where("day is not null")
+    # Lengths are in words.
+    lengths = counted_quantiles(plain.withColumn("len", word_count(F.col("text"))), ["record"], "len", {"len_p25": 0.25, "len_median": 0.5, "len_p75": 0.75, "len_p90": 0.9}).drop("n")
     whole = typed.groupBy("record").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg(is_question(F.col("text")).cast("int")).alias("question_share"),
-        F.count_if(F.length("text") > limits.paste_bound).alias("pastes"), F.countDistinct(F.struct("cwd", F.nullif("git_branch", F.lit("HEAD")))).alias("branch_pairs"),
+        F.count_if(F.length("text") > limits.paste_bound).alias("pastes"),
+        F.coalesce(F.round((F.unix_millis(F.max("at")) - F.unix_millis(F.min("at"))) / DAY_MS) + 1, F.lit(0)).cast("long").alias("span_days"),
     )
+    bad = (F.col("interrupted") & (F.coalesce("interrupt_kind", F.lit("plain")) == "plain")) | (F.col("denial") == "user-rejected")
+    trouble = human.where(bad & F.col("day").isNotNull()).groupBy("record").agg(F.countDistinct("day").alias("days_with_any"))
     terse = plain.groupBy("record").agg(F.avg((word_count(F.col("text")) <= 4).cast("int")).alias("terse_share"))
     per_day = days.groupBy("record", "day").agg(F.count(F.lit(1)).alias("n"))
     active = per_day.groupBy("record").agg(F.count(F.lit(1)).alias("active_days"), floor_quantile(F.sort_array(F.collect_list("n")), 0.5).alias("median_per_day"))
     images = turns.where("role = 'user'").groupBy("record").agg(F.sum(F.coalesce("images", F.lit(0))).alias("images"))
+    calls = turns.groupBy("record").agg(F.sum(F.coalesce(F.size(F.coalesce("tools", F.array().cast("array<string>"))), F.lit(0))).alias("tool_calls"))
     cover = hours_to_cover(hourly(typed.withColumn("ts", F.col("at")).where("ts is not null")), ["record"])
     out = friction(turns)
-    for part in (whole, lengths, terse, active, longest_streak(days.distinct(), ["record"]), images, cover):
+    for part in (whole, trouble, places(typed), calls, lengths, terse, active, longest_streak(days.distinct(), ["record"]), images, cover):
         out = out.join(part, "record", "left")
     if titles is not None:
         topics = titles.join(turns.select("session").distinct(), "session", "left_semi").select("record", trim_white(F.col("title")).alias("title")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot
@@ -78,27 +78,28 @@ def random_numbers(seed: int = SEED):
         yield s / 0x7FFFFFFF
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Assignment and unit centres of unit vectors; the assignment is that before the last move of the centres."""
+def seeded(x: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
+    """k of the unit vectors, drawn by their distances to those before with the seeded generator, in the order of rows."""
     n, draw = len(x), random_numbers(seed)
     wide = x.astype(np.float64)
     centres = [x[int(np.floor(next(draw) * n))]]
     best = wide @ centres[0].astype(np.float64)
     while len(centres) < k:
         far = 1 - best
-        t, i = next(draw) * float(np.sum(far)), 0
-        total = np.cumsum(far)
-        i = min(int(np.searchsorted(total, t, side="left")), n - 1)
+        i = min(int(np.searchsorted(np.cumsum(far), next(draw) * float(np.sum(far)), side="left")), n - 1)
         centres.append(x[i])
         best = np.maximum(best, wide @ x[i].astype(np.float64))
-    c = np.stack(centres).astype(np.float32)
+    return np.stack(centres).astype(np.float32)
+
+
+def kmeans(x: np.ndarray, k: int, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Assignment and unit centres of unit vectors; the assignment is that before the last move of the centres."""
+    wide, c = x.astype(np.float64), (seeded(x, k) if seeds is None else seeds[:k]).copy()
     for _ in range(ROUNDS):
         assign = np.argmax(wide @ c.T.astype(np.float64), axis=1)
         for j in range(k):
             if (mine := assign == j).any():
-                mean = wide[mine].sum(axis=0).astype(np.float32)
-                norm = np.sqrt(np.sum(mean.astype(np.float64) ** 2)) or 1
-                c[j] = (mean / norm).astype(np.float32)
+                c[j] = _unit(wide[mine].sum(axis=0))
     return assign, c
 
 
@@ -112,33 +113,124 @@ def silhouette(x: np.ndarray, assign: np.ndarray, centres: np.ndarray) -> float:
     return float(np.mean((b - a) / np.maximum(np.maximum(a, b), 1e-9)))
 
 
-def bounded_sample(vectors: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """At most max_rows vectors, those of the least hash: a fit is of a bounded sample, placement of all rows."""
-    return vectors.orderBy(F.xxhash64(key), key).limit(max_rows)
-
-
-def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id", max_rows: int = 20_000) -> DataFrame:
-    """(record, k, silhouette, centres) for each k, one task each, fitted on a bounded sample of each record."""
-    order = Window.partitionBy("record").orderBy(F.xxhash64(key), key)
-    sample = vectors.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= max_rows).select("record", key, "embedding")
-    each = sample.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        k, x = int(rows["k"].iloc[0]), np.stack(rows["embedding"]).astype(np.float32)
-        if len(x) < k:
-            return pd.DataFrame({"record": [], "k": [], "silhouette": [], "centres": []})
-        assign, centres = kmeans(x, k)
-        score = silhouette(x, assign, centres) if k > 1 else 0.0
-        return pd.DataFrame({"record": [rows["record"].iloc[0]], "k": [k], "silhouette": [score], "centres": [centres.tolist()]})
-
-    return each.groupBy("record", "k").applyInPandas(fit, "record string, k int, silhouette double, centres array<array<float>>")
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column).astype(np.float32)
+
+
+def _distance_to(centres: dict[str, np.ndarray]):
+    """A function of record and vector: one less the nearest of the record's centres, 1 where there are none."""
+
+    @F.pandas_udf("double")
+    def far(records: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.ones(len(x))
+        for r in records.unique():
+            if r in centres:
+                mine = (records == r).to_numpy()
+                out[mine] = 1 - (_matrix(x[mine]).astype(np.float64) @ centres[r].T.astype(np.float64)).max(axis=1)
+        return pd.Series(out)
+
+    return far
+
+
+def uniform(key: str, turn: int) -> Column:
+    """A number of (0, 1) for each key and turn, always the same."""
+    return (F.pmod(F.xxhash64(F.lit(SEED + turn), key), F.lit(2**52)) + 0.5) / F.lit(2.0**52)
+
+
+def _seeds(own: DataFrame, key: str, sizes: dict[str, int], most: int) -> dict[str, np.ndarray]:
+    """The first `most` centres of each record, those of any smaller k first.
+
+    Each is drawn with a chance in proportion to its distance from the centres so far: the row of the
+    least exponential variable of that rate, which merges over the tasks without any order of rows.
+    """
+    found: dict[str, list] = {r: [] for r in sizes}
+    for turn in range(min(most, max(sizes.values(), default=0))):
+        centres = {r: np.stack(c) for r, c in found.items() if c}
+        wait = -F.log(uniform(key, turn)) / F.greatest(_distance_to(centres)("record", "embedding"), F.lit(1e-12))
+        picks = own.groupBy("record").agg(F.min_by("embedding", F.struct(wait, key)).alias("x"))
+        for row in picks.collect():
+            if turn < sizes[row["record"]]:
+                found[row["record"]].append(np.array(row["x"], dtype=np.float32))
+    return {r: np.stack(c) for r, c in found.items()}
+
+
+def _unit(total: np.ndarray) -> np.ndarray:
+    mean = total.astype(np.float32)
+    return (mean / (np.sqrt(np.sum(mean.astype(np.float64) ** 2)) or 1)).astype(np.float32)
+
+
+def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id") -> DataFrame:
+    """(record, k, silhouette, centres) for each k: seeded k-means over all vectors of each record.
+
+    A round is one pass over the vectors for all k together: each task sums up its vectors by centre,
+    and the sums are added. Only the centres, k of each k and record, go to the driver and back. A k
+    above the number of a record's vectors is left out.
+    """
+    spark = vectors.sparkSession
+    own = vectors.select("record", key, "embedding").persist()
+    try:
+        sizes = {r["record"]: r["n"] for r in own.groupBy("record").agg(F.count(F.lit(1)).alias("n")).collect()}
+        seeds = _seeds(own, key, sizes, max(ks))
+        model = {(r, k): seeds[r][:k].copy() for r, n in sizes.items() for k in ks if k <= n}
+        before = model
+        for _ in range(ROUNDS):  # or fewer, once no centre moves
+            before, sums = model, _sums(own, model)
+            model = {at: np.stack([_unit(sums[(*at, c)]) if (*at, c) in sums else x for c, x in enumerate(centres)]) for at, centres in model.items()}
+            if all(np.array_equal(before[at], model[at]) for at in model):
+                break
+        scores = _silhouettes(own, before, model)
+    finally:
+        own.unpersist()
+    rows = [(r, k, float(scores[r, k] / sizes[r]) if k > 1 else 0.0, model[r, k].tolist()) for r, k in model]
+    return spark.createDataFrame(rows, "record string, k int, silhouette double, centres array<array<float>>")
+
+
+def _sums(own: DataFrame, model: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int, int], np.ndarray]:
+    """The sum of the vectors nearest to each centre, by (record, k, centre)."""
+
+    def add(batches):
+        totals: dict[tuple[str, int, int], np.ndarray] = {}
+        for batch in batches:
+            for r, part in batch.groupby("record"):
+                x = _matrix(part["embedding"]).astype(np.float64)
+                for (of, k), centres in model.items():
+                    if of == r:
+                        assign = np.argmax(x @ centres.T.astype(np.float64), axis=1)
+                        for c in np.unique(assign).tolist():
+                            totals[r, k, c] = totals.get((r, k, c), 0) + x[assign == c].sum(axis=0)
+        if totals:
+            yield pd.DataFrame([(*at, v.tolist()) for at, v in totals.items()], columns=["record", "k", "c", "total"])
+
+    parts = own.select("record", "embedding").mapInPandas(add, "record string, k int, c int, total array<double>")
+    # A row for each centre and task: lists are as long as there are tasks.
+    sums = parts.groupBy("record", "k", "c").agg(F.collect_list("total").alias("all"))
+    sums = sums.select("record", "k", "c", F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("total"))
+    return {(row["record"], row["k"], row["c"]): np.array(row["total"]) for row in sums.collect()}
+
+
+def _silhouettes(own: DataFrame, before: dict[tuple[str, int], np.ndarray], model: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], float]:
+    """Sums of the simplified silhouette, of the assignment before the last move of the centres."""
+
+    def score(batches):
+        totals: dict[tuple[str, int], float] = {}
+        for batch in batches:
+            for r, part in batch.groupby("record"):
+                x = _matrix(part["embedding"])
+                for (of, k), centres in model.items():
+                    if of == r and k > 1:
+                        assign = np.argmax(x.astype(np.float64) @ before[r, k].T.astype(np.float64), axis=1)
+                        totals[r, k] = totals.get((r, k), 0.0) + silhouette(x, assign, centres) * len(x)
+        if totals:
+            yield pd.DataFrame([(*at, v) for at, v in totals.items()], columns=["record", "k", "total"])
+
+    found = own.select("record", "embedding").mapInPandas(score, "record string, k int, total double").groupBy("record", "k").agg(F.sum("total").alias("total"))
+    return {(row["record"], row["k"]): row["total"] for row in found.collect()}
 
 
 def derive_k(fits: DataFrame, eps: float = 0.01) -> DataFrame:
     """The largest k whose silhouette is within eps of the best."""
-    peak = fits.groupBy("record").agg(F.max("silhouette").alias("peak"))
-    return fits.join(peak, "record").where(F.col("silhouette") >= F.col("peak") - eps).groupBy("record").agg(F.max_by(F.struct("k", "silhouette", "centres"), "k").alias("b")).select("record", "b.*")
+    best = fits.withColumn("peak", F.max("silhouette").over(Window.partitionBy("record")))  # a row for each k
+    return best.where(F.col("silhouette") >= F.col("peak") - eps).groupBy("record").agg(F.max_by(F.struct("k", "silhouette", "centres"), "k").alias("b")).select("record", "b.*")
 
 
 def centres_of(chosen: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def shaped_vectors(moments: DataFrame, words: DataFrame, embedder: vectors.Embed
     return vectors.embed(own.select("record", "key", "session", "pile", "ts", "shaped"), "shaped", embedder=embedder)
 
 
-def cold_build(store: Store, record: str, namer: Namer = "behaviour {}".format, max_rows: int = 20_000) -> int:
+def cold_build(store: Store, record: str, namer: Namer = "behaviour {}".format) -> int:
     """Vocabulary, vectors, clusters, names and assignments of a record, all anew. Returns the number of categories."""
     moments = store.read("moments").where(F.col("record") == record)
     words = phrases.vocabulary(moments, ["record"], "reply")
@@ -40,7 +40,7 @@ def cold_build(store: Store, record: str, namer: Namer = "behaviour {}".format,
     band = metrics.supported_clusters(moments, least=1).first()
     if band is None:
         return 0
-    fits = vectors.cluster(placed.withColumnRenamed("key", "vec_id"), list(range(band["lo"], band["hi"] + 1)), max_rows=max_rows)
+    fits = vectors.cluster(placed.withColumnRenamed("key", "vec_id"), list(range(band["lo"], band["hi"] + 1)))
     centres = vectors.centres_of(vectors.derive_k(fits))
     near = vectors.nearest_centre(placed, centres.select("idx", "centre"), ["record", "key", "session", "pile"])
     kept = metrics.admitted(near.select("record", F.col("idx").alias("cluster"), "session", (F.col("pile") != "ordinary").alias("anchor")))

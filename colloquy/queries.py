@@ -22,6 +22,9 @@ STOPS = ", ".join(f"'{w}'" for w in sorted({*text.MINER_STOPS, *text.FILLERS}))
 OPENING_STOPS = ", ".join(f"'{w}'" for w in text.OPENING_STOPS)
 DANGLING = ", ".join(f"'{w}'" for w in text.DANGLING)
 
+#: Stands for the openings of approvals.
+OPENING = "^[a-z]"
+
 # Parts that several oracles share.
 PAIRS = r"""
 turns AS (
@@ -144,9 +147,8 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_and_first_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = moments(spark, sf_dir)
     order = Window.partitionBy("record", "session").orderBy("ms", "key")
-    day = numbers.working_day(F.col("at"))
-    own = own.withColumn("gap_sec", exchanges.gap_seconds(F.col("ms"), F.lag("ms").over(order))).withColumn("day", day)
-    return own.select("key", F.col("gap_sec").cast("double").alias("gap_sec"), (F.row_number().over(Window.partitionBy("record", "day").orderBy("ms", "key")) == 1).alias("first_of_day"))
+    own = own.withColumn("gap_sec", exchanges.gap_seconds(F.col("ms"), F.lag("ms").over(order)))
+    return exchanges.mark_first_of_day(own, "at", ("ms", "key")).select("key", F.col("gap_sec").cast("double").alias("gap_sec"), "first_of_day")
 
 
 # --- text ------------------------------------------------------------------------------------------
@@ -220,13 +222,13 @@ def repeated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return miners.repeated_rules(own).select("phrase", "n", "sessions")
 
 
-@register("approvals", f"""WITH {PAIRS}, normal AS (SELECT conv_id, idx, trim(regexp_replace(regexp_replace(lower(substr(raw_prompt, 1, 14)), '[^a-z0-9 ''/.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM hashed)
-SELECT conv_id, idx, p AS quote FROM normal WHERE p <> '' AND length(p) <= 60 AND regexp_matches(p, '^(the|is|in|of|to|la|le|de|die|en)\\b')""")
+@register("approvals", f"""WITH {PAIRS}, normal AS (SELECT conv_id, idx, trim(regexp_replace(regexp_replace(lower(prompt), '[^a-z0-9 ''/.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS p,
+  trim(regexp_replace(regexp_replace(lower(lag(said) OVER (PARTITION BY conv_id ORDER BY idx)), '[^a-z0-9 ''/.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS before FROM hashed)
+SELECT conv_id, idx, substr(p, 1, 60) AS quote, substr(before, 1, 80) AS approved FROM normal WHERE p <> '' AND length(p) <= 60 AND regexp_matches(p, '{OPENING}')""")
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts that open in a given way. The data have no English approvals, so short openings stand for them."""
-    p = text.normal_prompt(F.substring("prompt", 1, 14))
-    own = chats(spark, sf_dir).withColumn("p", p)
-    return own.where((F.col("p") != "") & (F.length("p") <= 60) & F.col("p").rlike("^(the|is|in|of|to|la|le|de|die|en)\\b")).select("conv_id", F.col("idx").cast("long").alias("idx"), F.col("p").alias("quote"))
+    """Short prompts with what was said before. The data have no English approvals: any opening word stands for one."""
+    found = miners.approvals(chats(spark, sf_dir), OPENING)
+    return found.select(F.col("session").cast("long").alias("conv_id"), F.col("idx").cast("long").alias("idx"), "quote", "approved")
 
 
 @register("text_normalisers", r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS quote, trim(regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '\s+', ' ', 'g')) AS no_digits,
@@ -485,13 +487,13 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return miners.arriving_terms(own).select("term", "first_ms", "n", "sessions")
 
 
-@register("evidence_window", f"""WITH {EVENTS}, days AS (SELECT DISTINCT session, ts::DATE AS day FROM moments WHERE k < 3), marked AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY session ORDER BY day) > 30 THEN 1 ELSE 0 END AS new FROM days),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY day) AS island FROM marked), islands AS (SELECT session, island, min(day) AS lo, max(day) AS hi, count(*) AS days FROM numbered GROUP BY ALL),
-last AS (SELECT session, arg_max(lo, island) AS llo, arg_max(hi, island) AS lhi, arg_max(days, island) AS ldays, min(lo) AS lo, max(hi) AS hi, sum(days)::BIGINT AS days FROM islands GROUP BY session)
-SELECT session, CASE WHEN ldays >= 2 THEN llo ELSE lo END AS from_day, CASE WHEN ldays >= 2 THEN lhi ELSE hi END AS to_day, CASE WHEN ldays >= 2 THEN ldays ELSE days END AS days FROM last""")
+@register("evidence_window", f"""WITH {EVENTS}, days AS (SELECT DISTINCT session, k, ts::DATE AS day FROM moments), marked AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY session, k ORDER BY day) > 30 THEN 1 ELSE 0 END AS new FROM days),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY session, k ORDER BY day) AS island FROM marked), islands AS (SELECT session, k, island, min(day) AS lo, max(day) AS hi, count(*) AS days FROM numbered GROUP BY ALL),
+last AS (SELECT session, k, arg_max(lo, island) AS llo, arg_max(hi, island) AS lhi, arg_max(days, island) AS ldays, min(lo) AS lo, max(hi) AS hi, sum(days)::BIGINT AS days FROM islands GROUP BY session, k)
+SELECT session, k, CASE WHEN ldays >= 2 THEN llo ELSE lo END AS from_day, CASE WHEN ldays >= 2 THEN lhi ELSE hi END AS to_day, CASE WHEN ldays >= 2 THEN ldays ELSE days END AS days FROM last""")
 def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = moments(spark, sf_dir).where("k < 3").select("session", F.to_date("at").alias("day")).distinct()
-    return metrics.evidence_window(days, ["session"])
+    days = moments(spark, sf_dir).select("session", "k", F.to_date("at").alias("day")).distinct()
+    return metrics.evidence_window(days, ["session", "k"])
 
 
 @register("session_time_slices", r"""SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -535,12 +537,12 @@ def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.label(own, given).groupBy("source", F.get("kinds", F.lit(0)).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("prefix_roots", r"""WITH folders AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', '') AS folder FROM pages UNION SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1).concat('/').concat(regexp_extract(url, '://[^/]*/([a-z]+)', 1)) FROM pages WHERE page_id % 2 = 0)
+@register("prefix_roots", r"""WITH folders AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', '') AS folder FROM pages UNION SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1).concat('/').concat(regexp_extract(url, '://[^/]*/([a-z]+)', 1)) FROM pages)
 SELECT a.folder, arg_min(b.folder, (length(b.folder), b.folder)) AS root FROM folders a JOIN folders b ON a.folder = b.folder OR rtrim(a.folder, '/') = rtrim(b.folder, '/') OR starts_with(a.folder, rtrim(b.folder, '/') || '/') GROUP BY a.folder""")
 def prefix_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     whole = pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+:/", ""), "[?#].*$", "").alias("folder"))
-    top = pages.where("page_id % 2 = 0").select(F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.regexp_extract("url", "://[^/]*/([a-z]+)", 1)).alias("folder"))
+    top = pages.select(F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.regexp_extract("url", "://[^/]*/([a-z]+)", 1)).alias("folder"))
     return mirror.repo_roots(whole.union(top).distinct().withColumn("record", F.lit("web"))).select("folder", "root")
 
 
@@ -650,18 +652,26 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.lit("vectors").alias("record"), "vec_id", "embedding")
 
 
+def derived(own: DataFrame) -> DataFrame:
+    """The chosen fit of the whole band that the vectors support, each vector being a conversation of its own."""
+    band = metrics.supported_clusters(own.select("record", F.col("vec_id").alias("session")), least=1).first()
+    return vectors.derive_k(vectors.cluster(own, list(range(band["lo"], band["hi"] + 1))))
+
+
 @register("derive_k")
 def derive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = vectors.cluster(labelled_vectors(spark, sf_dir), list(range(8, 17)), max_rows=5000)
-    return vectors.derive_k(fits).select("record", "k", "silhouette")
+    return derived(labelled_vectors(spark, sf_dir)).select("record", "k", "silhouette")
 
 
 @register("kmeans_piles")
 def kmeans_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres are fitted on a bounded sample; every vector is placed."""
+    """Every vector in the pile of its nearest centre, of the derived number of piles, and whether the pile is admitted."""
     own = labelled_vectors(spark, sf_dir)
-    centres = vectors.centres_of(vectors.cluster(own, [10], max_rows=5000))
-    return vectors.nearest_centre(own, centres.select("idx", "centre"), ["vec_id"]).select("vec_id", "idx", F.round("sim", 6).alias("sim"))
+    centres = vectors.centres_of(derived(own))
+    near = vectors.nearest_centre(own, centres.select("idx", "centre"), ["record", "vec_id"])
+    kept = metrics.admitted(near.select("record", F.col("idx").alias("cluster"), F.col("vec_id").alias("session"), F.lit(False).alias("anchor")))
+    kept = kept.select("record", F.col("cluster").alias("idx"), F.lit(True).alias("admitted"))
+    return near.join(kept, ["record", "idx"], "left").select("vec_id", "idx", F.round("sim", 6).alias("sim"), F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 @register("hash_embed")

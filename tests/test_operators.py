@@ -109,6 +109,50 @@ def test_seeded_numbers_and_kmeans():
     assert vectors.hash_vector("") .sum() == 0 and abs(np.linalg.norm(vectors.hash_vector("abc abc de")) - 1) < 1e-6
 
 
+def test_kmeans_over_all_rows_is_the_plain_one(spark):
+    """The passes over tasks against plain k-means on all rows from the same seeds, and the seeds against plain draws."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(6) * 2 + 0.4 * rng.standard_normal((40, 6)) for _ in range(5)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([("r" if i % 4 else "s", i, v.tolist()) for i, v in enumerate(x)], "record string, vec_id long, embedding array<float>").repartition(3)
+    got = {(r["record"], r["k"]): r for r in vectors.cluster(df, [1, 3, 5, 60]).collect()}
+    assert set(got) == {("r", 1), ("r", 3), ("r", 5), ("r", 60), ("s", 1), ("s", 3), ("s", 5)}
+    for record in "rs":
+        mine = [i for i in range(200) if (i % 4 > 0) == (record == "r")]
+        seeds = []
+        for t in range(5):
+            u = {r["vec_id"]: r["u"] for r in df.select("vec_id", vectors.uniform("vec_id", t).alias("u")).collect()}
+            far = [max(1 - max((float(x[i].astype(float) @ s) for s in seeds), default=0.0), 1e-12) for i in mine]
+            seeds.append(x[min(mine, key=lambda i: -np.log(u[i]) / far[mine.index(i)])])
+        for k in (1, 3, 5):
+            assign, centres = vectors.kmeans(x[mine], k, np.stack(seeds))
+            assert np.allclose(got[record, k]["centres"], centres, atol=1e-5)
+            assert abs(got[record, k]["silhouette"] - (vectors.silhouette(x[mine], assign, centres) if k > 1 else 0)) < 1e-6
+    assert vectors.derive_k(vectors.cluster(df, [3, 5])).count() == 2 and vectors.cluster(df.limit(0), [2]).count() == 0
+
+
+def test_answer_time_is_carried_on(spark):
+    rows = [turn(0, "assistant", "a", ts="2026-01-01T10:00:00Z"), turn(1, "user", "one", ts=""), turn(2, "assistant", "the Spark spark planner", ts=""), turn(3, "user", "two", ts="")]
+    found = exchanges.pair_exchanges(spark.createDataFrame(rows, TURNS)).orderBy("idx")
+    assert [r["ts"] for r in found.collect()] == ["2026-01-01T10:00:00Z"] * 2
+    assert exchanges.to_moments(found).collect()[1]["ai_terms"] == ["spark", "planner"]
+
+
+def test_terms_of_equal_ids_stay_apart(spark):
+    df = spark.createDataFrame([(1, "Alpha beta alpha."), (1, "alpha"), (2, None), (3, "")], "id long, t string")
+    got = sorted(tuple(r) for r in exchanges.top_terms(df, ["id"], "t").collect())
+    assert got == [(1, "alpha", 1, 0, 1), (1, "alpha", 2, 0, 1), (1, "beta", 1, 1, 2)]
+
+
+def test_mirror_counts_words_and_roots(spark):
+    texts = ["one", "a b c", "a b c d e f g h i", "x y"]
+    where = [("/w", "main"), ("/w/sub", "main"), ("/w", "HEAD"), (None, None)]
+    rows = [turn(i, "user", t, ts=f"2026-01-0{1 + i}T12:00:00Z", cwd=c, git_branch=b) for i, (t, (c, b)) in enumerate(zip(texts, where))]
+    got = mirror.mirror(spark.createDataFrame(rows, TURNS)).first()
+    assert (got["len_p25"], got["len_median"], got["len_p90"]) == (2, 3, 9)
+    assert (got["repos"], got["branch_names"], got["branch_pairs"], got["span_days"]) == (1, 1, 1, 4)
+
+
 ENTRY = "struct<built_ms:long,fail:double,sessions:int,sample:int,reach:int,hold:double,refused_rose:boolean,engage:double>"
 
 
