@@ -9,6 +9,18 @@ from ..functions.text import normal_quote
 
 CAP, FANOUT = 5, 2
 
+#: Why a proposal is refused, as readers know it.
+REASONS = {
+    "name": "name is not kebab-case",
+    "installed": "duplicates an installed skill",
+    "uncited": "cites no evidence",
+    "numerals": "numerals in prose — receipts are code-stamped",
+    "moves": "moves must be one to five lines",
+    "quote": "quote is not verbatim from cited evidence",
+    "cap": "over the cap",
+    "backed": "evidence {} already backs two accepted proposals",
+}
+
 
 def reasons(proposals: DataFrame, evidence: DataFrame, installed: DataFrame) -> DataFrame:
     """proposals (seq, name, description, standard, moves, citations, quote) with reasons, all but those of order.
@@ -28,16 +40,16 @@ def reasons(proposals: DataFrame, evidence: DataFrame, installed: DataFrame) ->
     n_moves, n_cited = F.coalesce(F.size("moves"), F.lit(0)), F.coalesce(F.size("citations"), F.lit(0))
     checks = F.array_compact(
         F.array(
-            F.when(~F.col("name").rlike("^[a-z][a-z0-9-]{1,63}$"), "name is not kebab-case"),
-            F.when(F.col("__taken"), "duplicates an installed skill"),
-            F.when(n_cited <= 0, "cites no evidence"),
+            F.when(~F.col("name").rlike("^[a-z][a-z0-9-]{1,63}$"), REASONS["name"]),
+            F.when(F.col("__taken"), REASONS["installed"]),
+            F.when(n_cited <= 0, REASONS["uncited"]),
         )
     )
     later = F.array_compact(
         F.array(
-            F.when(prose.rlike("[0-9]"), "numerals in prose — receipts are code-stamped"),
-            F.when((n_moves <= 0) | (n_moves > 5), "moves must be one to five lines"),
-            F.when((F.coalesce("quote", F.lit("")) != "") & ~F.coalesce("verbatim", F.lit(False)), "quote is not verbatim from cited evidence"),
+            F.when(prose.rlike("[0-9]"), REASONS["numerals"]),
+            F.when((n_moves <= 0) | (n_moves > 5), REASONS["moves"]),
+            F.when((F.coalesce("quote", F.lit("")) != "") & ~F.coalesce("verbatim", F.lit(False)), REASONS["quote"]),
         )
     )
     return own.withColumn("reasons", F.concat(checks, F.coalesce("unknown", F.array().cast("array<string>")), later)).drop("unknown", "verbatim", "__name", "__taken")
@@ -53,10 +65,10 @@ def dispose(proposals: DataFrame, evidence: DataFrame, installed: DataFrame) ->
     for row in reasons(proposals, evidence, installed).orderBy("seq").collect():
         why, cites = list(row["reasons"]), row["citations"] or []
         if accepted >= CAP:
-            why.append("over the cap")
+            why.append(REASONS["cap"])
         if not why:
             over = [c for c in cites if backs.get(c, 0) >= FANOUT]
-            why += [f"evidence {c} already backs two accepted proposals" for c in over]
+            why += [REASONS["backed"].format(c) for c in over]
             if not over:
                 accepted += 1
                 backs |= {c: backs.get(c, 0) + 1 for c in cites}

@@ -12,6 +12,15 @@ from .phrases import chain_grams
 
 TOP = {"ritual": 8, "lesson": 8, "rule": 10, "win": 1, "arrival": 8}
 
+#: The sentences of findings, which readers compare.
+CLAIMS = {
+    "lesson": "a stretch of work where they kept having to stop and redirect the assistant",
+    "rule": 'they keep saying it, session after session: "%s"',
+    "win": "moments they approved fast — what preceded these is what to do more of",
+    "arrival": 'something new has entered their work: "%s"',
+    "ritual": "they run this chain again and again: %s",
+}
+
 
 def _id(kind: str, key: Column) -> Column:
     return F.concat_ws(":", F.lit(kind), "record", F.substring(F.sha2(key, 256), 1, 16))
@@ -37,7 +46,7 @@ def lessons(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     found = _ranked(friction_episodes(exchanges.withColumn("slip", slip), limits), "lesson", F.desc(F.col("arc") * F.col("seeds")), "hash")
     return found.select(
         "record", F.lit("lesson").alias("kind"), F.concat_ws(":", F.lit("lesson"), "record", "hash").alias("id"),
-        F.lit("a stretch of work where they kept having to stop and redirect the assistant").alias("claim"),
+        F.lit(CLAIMS["lesson"]).alias("claim"),
         F.create_map(F.lit("corrections"), F.col("seeds").cast("long"), F.lit("exchanges"), F.col("arc").cast("long")).alias("receipts"), "rank",
     )
 
@@ -54,7 +63,7 @@ def repeated_rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFr
 
 def rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     found = _ranked(repeated_rules(exchanges, limits), "rule", F.desc("n"), "phrase")
-    claim = F.format_string('they keep saying it, session after session: "%s"', without_digits(F.col("phrase")))
+    claim = F.format_string(CLAIMS["rule"], without_digits(F.col("phrase")))
     return found.select("record", F.lit("rule").alias("kind"), _id("rule", F.col("phrase")).alias("id"), claim.alias("claim"), F.create_map(F.lit("count"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
 
 
@@ -70,7 +79,7 @@ def wins(exchanges: DataFrame) -> DataFrame:
     found = approvals(exchanges).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
     return found.select(
         "record", F.lit("win").alias("kind"), F.concat_ws(":", F.lit("win"), "record", F.lit("approvals")).alias("id"),
-        F.lit("moments they approved fast — what preceded these is what to do more of").alias("claim"), F.create_map(F.lit("approvals"), "n").alias("receipts"), F.lit(1).alias("rank"),
+        F.lit(CLAIMS["win"]).alias("claim"), F.create_map(F.lit("approvals"), "n").alias("receipts"), F.lit(1).alias("rank"),
     )
 
 
@@ -86,14 +95,14 @@ def arrivals(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     w = F.array_distinct(F.filter(split_words(normal_prompt(F.col("prompt"))), lambda x: (F.length(x) >= 4) & ~among([*MINER_STOPS, *FILLERS])(x)))
     uses = exchanges.select("record", "session", "ms", F.explode(w).alias("term"))
     found = _ranked(arriving_terms(uses, limits), "arrival", F.desc("n"), "term")
-    claim = F.format_string('something new has entered their work: "%s"', without_digits(F.col("term")))
+    claim = F.format_string(CLAIMS["arrival"], without_digits(F.col("term")))
     return found.select("record", F.lit("arrival").alias("kind"), _id("arrival", F.col("term")).alias("id"), claim.alias("claim"), F.create_map(F.lit("count"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
 
 
 def rituals(chains: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     found = chain_grams(chains, limits=limits).withColumn("density", F.col("n") / F.length("chain"))
     found = _ranked(found, "ritual", F.desc("density"), "chain")
-    claim = F.format_string("they run this chain again and again: %s", without_digits(F.col("chain")))
+    claim = F.format_string(CLAIMS["ritual"], without_digits(F.col("chain")))
     return found.select("record", F.lit("ritual").alias("kind"), _id("ritual", F.col("chain")).alias("id"), claim.alias("claim"), F.create_map(F.lit("occurrences"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
 
 
