@@ -143,3 +143,32 @@ def top_terms(texts: DataFrame, keys: list[str], text: str, cap: int = DEFAULT.t
     """The most frequent terms of each row, with count, first position and rank. Rows of equal keys stay apart."""
     each = texts.select(*keys, F.posexplode(term_counts(F.col(text), cap)).alias("rank", "x"))
     return each.select(*keys, "x.term", (-F.col("x.neg")).cast("long").alias("n"), "x.first_pos", (F.col("rank") + 1).alias("rank"))
+
+
+def with_any_term(rows: DataFrame, terms: str, wanted: list[str]) -> DataFrame:
+    """The rows whose array has any of the terms."""
+    return rows.where(F.coalesce(F.arrays_overlap(F.col(terms), F.lit(wanted).cast("array<string>")), F.lit(False)))
+
+
+def recent_exchanges(exchanges: DataFrame, want: int, margin: int = 4) -> DataFrame:
+    """The latest exchanges, with the first of each day marked.
+
+    Of each record's archive the newest files count, until they hold so many distinct exchanges and a margin
+    of files more; the latest of those by time stay. exchanges: record, path, mtime, ts, session, idx, hash.
+    File sizes are summed before files are ordered, so that only files, not exchanges, meet in one window.
+    """
+    first = exchanges.withColumn("__f", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mtime"), "path", "idx"))).where("__f = 1").drop("__f")
+    files = exchanges.select("path", "mtime").distinct().join(first.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    order = Window.orderBy(F.desc("mtime"), "path")
+    files = files.withColumns({"place": F.row_number().over(order), "held": F.sum(F.coalesce("n", F.lit(0))).over(order)})
+    enough = files.where(F.col("held") >= want).agg(F.min("place").alias("enough"))
+    read = files.join(enough).where(F.col("enough").isNull() | (F.col("place") <= F.col("enough") + margin)).select("path")
+    marked = mark_first_of_day(first.join(read, "path", "left_semi"), order=("ts", "session", "idx"))
+    return marked.orderBy(F.desc("ts"), F.desc("session"), F.desc("idx")).limit(want)
+
+
+def find_exchange(exchanges: DataFrame, session: str, key: str) -> DataFrame:
+    """The exchange of a hash in a session, named by its id or by its file; of several copies the newest file's."""
+    name = F.regexp_extract("path", "([^/]*?)(\\.jsonl)?$", 1)
+    found = exchanges.where((F.col("hash") == key) & ((F.col("session") == session) | (name == session)))
+    return found.orderBy(F.desc("mtime"), "path", "idx").limit(1)

@@ -36,6 +36,28 @@ def tally(labelled: DataFrame, categories: DataFrame) -> DataFrame:
     return out.withColumn("lift", lift(F.col("neg"), F.col("neg_total"), F.col("ord"), F.col("ord_total")))
 
 
+def personal(categories: DataFrame) -> DataFrame:
+    """Categories of the person; those of the project at hand (scope) are reported nowhere."""
+    return categories.where(F.coalesce("scope", F.lit("")) != "project") if "scope" in categories.columns else categories
+
+
+def verdicts(labelled: DataFrame, categories: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """The tally with burst, direction, action and verified.
+
+    A category that fades is looked at from the assistant's side too: if the action that answers it was
+    supplied as before, and not refused more often, the need is met; if it was supplied less, the fading is
+    verified.
+    """
+    keys = ["record", "name"]
+    directions = trend(labelled, limits).select(*keys, "direction")
+    actions = action_mapping(labelled, limits).select(*keys, "action").join(directions.where("direction = 'fading'"), keys, "left_semi")
+    supplied = supply(labelled, actions, limits).select(*keys, "action", "supply_ratio", "declines_rose")
+    out = tally(labelled, categories).join(burst(labelled, limits).select(*keys, "burst"), keys, "left").join(directions, keys, "left").join(supplied, keys, "left")
+    met = F.coalesce((F.col("supply_ratio") >= limits.fade) & ~F.col("declines_rose"), F.lit(False))
+    quiet = F.coalesce(F.col("supply_ratio") <= limits.fade, F.lit(False))
+    return out.withColumns({"burst": F.coalesce("burst", F.lit(False)), "direction": F.when(met, "met").otherwise(F.col("direction")), "verified": met | quiet}).drop("supply_ratio", "declines_rose")
+
+
 def signal_categories(tallied: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     return tallied.where((F.col("lift") >= limits.lift_cut) & (F.col("sessions") >= limits.min_sessions))
 
@@ -155,6 +177,28 @@ def trailing(labelled: DataFrame, now_ms: Column, limits: Thresholds = DEFAULT)
     return labelled.where(F.col("ms").between(now_ms - limits.recent_days * DAY_MS, now_ms))
 
 
+def gap_window_reads(labelled: DataFrame, categories: DataFrame, now_ms: Column, limits: Thresholds = DEFAULT) -> DataFrame:
+    """Per category (record, name) over the last days: slip_rate, stumbles, reach, sample, chances. Quiet windows read as zeros."""
+    keys = ["record", "name"]
+    window = trailing(labelled, now_ms, limits)
+    sample = window.groupBy("record").agg(F.count(F.lit(1)).alias("sample"))
+    each = window.select("record", "session", "ms", "key", "pile", F.explode(F.array_distinct("kinds")).alias("name")).join(categories.select(*keys).distinct(), keys, "left_semi")
+    told = is_negative() | (F.col("pile") == "ordinary")
+    sessions = each.groupBy(*keys, "session").agg(
+        F.count_if(is_negative()).alias("slips"), F.count_if(F.col("pile") == "ordinary").alias("reaches"),
+        F.min_by(is_negative(), F.when(told, F.struct("ms", "key"))).alias("slip_first"),
+    )
+    reads = sessions.groupBy(*keys).agg(F.sum("slips").alias("slips"), F.sum("reaches").alias("reach"), F.count_if((F.col("slips") > 0) & F.col("slip_first")).alias("stumbles"), F.count(F.lit(1)).alias("chances"))
+    out = categories.select(*keys).distinct().join(reads, keys, "left").join(sample, "record", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("slips", "reach", "stumbles", "chances", "sample")}
+    return out.withColumns(zero).withColumn("slip_rate", rate(F.col("slips"), F.col("sample"))).drop("slips")
+
+
+def within_days(rows: DataFrame, window: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
+    """The rows whose day lies in the evidence window of their keys."""
+    return rows.join(window.select(*keys, "from_day", "to_day"), keys).where(F.col(day).between(F.col("from_day"), F.col("to_day"))).drop("from_day", "to_day")
+
+
 def evidence_window(days: DataFrame, keys: list[str], limits: Thresholds = DEFAULT) -> DataFrame:
     """The latest stretch of days without a gap above the limit, if it has two days; else the whole span.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..functions.numbers import DAY_MS
 from ..functions.text import APPROVAL, FILLERS, MINER_STOPS, among, normal_prompt, split_words, without_digits
-from .phrases import chain_grams
+from .phrases import chain_grams, chain_occurrences
 
 TOP = {"ritual": 8, "lesson": 8, "rule": 10, "win": 1, "arrival": 8}
 
@@ -41,14 +41,39 @@ def friction_episodes(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> Dat
     return out.where("arc >= 4 or seeds >= 2")
 
 
+#: Of an exemplar, what a kind of finding doesn't have is null.
+EXEMPLAR = "struct<session:string,hash:string,ms:bigint,quote:string>"
+
+
+def _exemplar(session: Column, hash_: Column | None = None, ms: Column | None = None, quote: Column | None = None) -> Column:
+    none = F.lit(None)
+    parts = (session, none if hash_ is None else hash_, none if ms is None else ms, none if quote is None else quote)
+    return F.struct(*parts).cast(EXEMPLAR)
+
+
+def _finding(kind: str, id_: Column, claim: Column, receipts: dict[str, Column], detail: Column) -> list[Column]:
+    entries = [x for name, c in receipts.items() for x in (F.lit(name), c.cast("long"))]
+    return [F.col("record"), F.lit(kind).alias("kind"), id_.alias("id"), claim.alias("claim"), F.create_map(*entries).alias("receipts"), F.col("exemplars"), detail.cast("array<string>").alias("detail"), F.col("rank").cast("int").alias("rank")]
+
+
+def _first_three(found: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], exemplar: Column) -> DataFrame:
+    """found with the first three of rows for each of its keys. found has a few rows, whose keys are looked up before rows are ranked."""
+    own = rows.join(found.select(*keys), keys, "left_semi")
+    first = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n <= 3").withColumn("__x", exemplar)
+    listed = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__x"))), lambda x: x["__x"]).alias("exemplars"))
+    return found.join(listed, keys, "left").withColumn("exemplars", F.coalesce("exemplars", F.array().cast(f"array<{EXEMPLAR}>")))
+
+
 def lessons(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """exchanges: record, session, idx, ms, hash, reaction, interrupted, declined."""
     slip = F.coalesce((F.col("interrupted") == "plain") | F.col("declined"), F.lit(False))
-    found = _ranked(friction_episodes(exchanges.withColumn("slip", slip), limits), "lesson", F.desc(F.col("arc") * F.col("seeds")), "hash")
-    return found.select(
-        "record", F.lit("lesson").alias("kind"), F.concat_ws(":", F.lit("lesson"), "record", "hash").alias("id"),
-        F.lit(CLAIMS["lesson"]).alias("claim"),
-        F.create_map(F.lit("corrections"), F.col("seeds").cast("long"), F.lit("exchanges"), F.col("arc").cast("long")).alias("receipts"), "rank",
-    )
+    own = exchanges.withColumn("slip", slip)
+    found = _ranked(friction_episodes(own, limits), "lesson", F.desc(F.col("arc") * F.col("seeds")), "hash").withColumnRenamed("hash", "first_hash")
+    seeds = own.where("slip").join(found.select("record", "session", "episode", "first", "last"), ["record", "session"]).where(F.col("idx").between(F.col("first"), F.col("last")))
+    quote = F.substring(normal_prompt(F.col("reaction")), 1, 90)
+    found = _first_three(found, seeds, ["record", "session", "episode"], [F.col("idx")], _exemplar(F.col("session"), F.col("hash"), F.col("ms"), quote))
+    id_ = F.concat_ws(":", F.lit("lesson"), "record", "first_hash")
+    return found.select(*_finding("lesson", id_, F.lit(CLAIMS["lesson"]), {"corrections": F.col("seeds"), "exchanges": F.col("arc")}, F.array()))
 
 
 def repeated_rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -62,9 +87,11 @@ def repeated_rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFr
 
 
 def rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    found = _ranked(repeated_rules(exchanges, limits), "rule", F.desc("n"), "phrase")
+    found = _ranked(repeated_rules(exchanges, limits), "rule", F.desc("n"), "phrase").withColumnRenamed("sessions", "spread")
+    said = exchanges.where(~F.coalesce("pasted", F.lit(False))).withColumn("phrase", normal_prompt(F.col("prompt")))
+    found = _first_three(found, said, ["record", "phrase"], [F.col("session"), F.col("idx")], _exemplar(F.col("session"), F.col("hash")))
     claim = F.format_string(CLAIMS["rule"], without_digits(F.col("phrase")))
-    return found.select("record", F.lit("rule").alias("kind"), _id("rule", F.col("phrase")).alias("id"), claim.alias("claim"), F.create_map(F.lit("count"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
+    return found.select(*_finding("rule", _id("rule", F.col("phrase")), claim, {"count": F.col("n"), "sessions": F.col("spread")}, F.array("phrase")))
 
 
 def approvals(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
@@ -72,15 +99,18 @@ def approvals(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
     order = Window.partitionBy("record", "session").orderBy("idx")
     own = exchanges.withColumn("p", normal_prompt(F.col("prompt"))).withColumn("before", F.lag("said").over(order))
     own = own.where((F.col("p") != "") & (F.length("p") <= 60) & F.col("p").rlike(opening))
-    return own.select("record", "session", "idx", F.substring("p", 1, 60).alias("quote"), F.substring(normal_prompt(F.col("before")), 1, 80).alias("approved"))
+    return own.select("record", "session", "idx", "hash", F.substring("p", 1, 60).alias("quote"), F.substring(normal_prompt(F.col("before")), 1, 80).alias("approved"))
 
 
-def wins(exchanges: DataFrame) -> DataFrame:
-    found = approvals(exchanges).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
-    return found.select(
-        "record", F.lit("win").alias("kind"), F.concat_ws(":", F.lit("win"), "record", F.lit("approvals")).alias("id"),
-        F.lit(CLAIMS["win"]).alias("claim"), F.create_map(F.lit("approvals"), "n").alias("receipts"), F.lit(1).alias("rank"),
-    )
+def wins(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
+    """One finding: approvals, and what was said before the first three that have something before them."""
+    own = approvals(exchanges, opening)
+    found = own.groupBy("record").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.lit(1))
+    told = own.where("idx > 0").withColumn("__n", F.row_number().over(Window.partitionBy("record").orderBy("session", "idx"))).where("__n <= 3")
+    listed = told.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("__n", _exemplar(F.col("session"), F.col("hash"), None, F.col("quote")).alias("x"), F.coalesce("approved", F.lit("")).alias("approved")))).alias("l"))
+    found = found.join(listed, "record", "left").withColumn("exemplars", F.coalesce(F.transform("l", lambda x: x["x"]), F.array().cast(f"array<{EXEMPLAR}>")))
+    id_ = F.concat_ws(":", F.lit("win"), "record", F.lit("approvals"))
+    return found.select(*_finding("win", id_, F.lit(CLAIMS["win"]), {"approvals": F.col("n")}, F.coalesce(F.transform("l", lambda x: x["approved"]), F.array())))
 
 
 def arriving_terms(uses: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -94,16 +124,36 @@ def arriving_terms(uses: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
 def arrivals(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     w = F.array_distinct(F.filter(split_words(normal_prompt(F.col("prompt"))), lambda x: (F.length(x) >= 4) & ~among([*MINER_STOPS, *FILLERS])(x)))
     uses = exchanges.select("record", "session", "ms", F.explode(w).alias("term"))
-    found = _ranked(arriving_terms(uses, limits), "arrival", F.desc("n"), "term")
+    found = _ranked(arriving_terms(uses, limits), "arrival", F.desc("n"), "term").withColumnRenamed("sessions", "spread")
+    first = uses.join(found.select("record", "term"), ["record", "term"], "left_semi").groupBy("record", "term").agg(F.min("session").alias("session"))
+    found = found.join(first, ["record", "term"]).withColumn("exemplars", F.array(_exemplar(F.col("session"), None, F.col("first_ms"))))
     claim = F.format_string(CLAIMS["arrival"], without_digits(F.col("term")))
-    return found.select("record", F.lit("arrival").alias("kind"), _id("arrival", F.col("term")).alias("id"), claim.alias("claim"), F.create_map(F.lit("count"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
+    return found.select(*_finding("arrival", _id("arrival", F.col("term")), claim, {"count": F.col("n"), "sessions": F.col("spread")}, F.array("term")))
 
 
 def rituals(chains: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     found = chain_grams(chains, limits=limits).withColumn("density", F.col("n") / F.length("chain"))
-    found = _ranked(found, "ritual", F.desc("density"), "chain")
+    found = _ranked(found, "ritual", F.desc("density"), "chain").withColumnRenamed("sessions", "spread")
+    users = chain_occurrences(chains).join(found.select("record", "chain"), ["record", "chain"], "left_semi").select("record", "chain", "session").distinct()
+    found = _first_three(found, users, ["record", "chain"], [F.col("session")], _exemplar(F.col("session")))
     claim = F.format_string(CLAIMS["ritual"], without_digits(F.col("chain")))
-    return found.select("record", F.lit("ritual").alias("kind"), _id("ritual", F.col("chain")).alias("id"), claim.alias("claim"), F.create_map(F.lit("occurrences"), "n", F.lit("sessions"), "sessions").alias("receipts"), "rank")
+    return found.select(*_finding("ritual", _id("ritual", F.col("chain")), claim, {"occurrences": F.col("n"), "sessions": F.col("spread")}, F.split("chain", " → ")))
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """How many findings of each kind a record has."""
+    return findings.groupBy("record", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_of(findings: DataFrame) -> DataFrame:
+    """Findings as what a proposal may cite: id, claim, the quotes of their exemplars, receipts as text, the largest number."""
+    quotes = F.filter(F.transform("exemplars", lambda x: x["quote"]), lambda q: F.coalesce(q, F.lit("")) != "")
+    return findings.select("record", "id", "kind", "claim", quotes.alias("quotes"), receipt_text(F.col("receipts")).alias("receipt"), F.array_max(F.map_values("receipts")).alias("largest"))
+
+
+def receipt_text(receipts: Column) -> Column:
+    """Entries of a map as 'name number', in the order of the map."""
+    return F.array_join(F.transform(F.map_entries(receipts), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), " · ")
 
 
 def measure(exchanges: DataFrame, chains: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:

@@ -56,10 +56,30 @@ def repo_roots(folders: DataFrame) -> DataFrame:
     return found.groupBy("record", "folder").agg(F.min_by("root", F.struct(F.length("root"), "root")).alias("root"))
 
 
-def mix(turns: DataFrame, column: str) -> DataFrame:
-    """Names in an array column with their counts and shares."""
-    counts = turns.select("record", F.explode(column).alias("name")).groupBy("record", "name").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("record")))
+def mix(turns: DataFrame, column: str, reported: str | None = None) -> DataFrame:
+    """Names in an array column of the assistant's turns, with counts, shares and rank, the most frequent first.
+
+    Shares are of all names or, if the source reports a count of its own (reported), of that: what has no
+    readable name was still handed off.
+    """
+    own = turns.where("role = 'assistant'")
+    counts = own.select("record", F.explode(column).alias("name")).groupBy("record", "name").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum(F.size(column)) if reported is None else F.sum(reported)
+    totals = own.groupBy("record").agg(F.coalesce(total, F.lit(0)).alias("total"))
+    ranked = counts.join(totals, "record").withColumn("share", rate(F.col("n"), F.col("total")))
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("record").orderBy(F.desc("n"), "name")))
+
+
+def friction_events(turns: DataFrame) -> DataFrame:
+    """(record, uuid, ts, kind) of every stop and refusal: the receipts of the counts. A turn can be both."""
+    stop = F.when(F.coalesce("interrupted", F.lit(False)), F.when(F.col("interrupt_kind") == "tool-use", "permission-stop").otherwise("course-correction"))
+    refusal = F.when(F.col("denial") == "user-rejected", "tool-decline").when(F.col("denial") == "automode-blocked", "system-block")
+    return turns.where("role = 'user'").select("record", "uuid", "ts", F.explode(F.array_compact(F.array(stop, refusal))).alias("kind"))
+
+
+def topics(titles: DataFrame, turns: DataFrame) -> DataFrame:
+    """Distinct titles (record, title) of the sessions that have turns."""
+    return titles.join(turns.select("session").distinct(), "session", "left_semi").select("record", trim_white(F.col("title")).alias("title")).where("title <> ''").distinct()
 
 
 def hourly(messages: DataFrame) -> DataFrame:
@@ -107,6 +127,5 @@ def mirror(turns: DataFrame, titles: DataFrame | None = None, limits: Thresholds
     for part in (whole, trouble, places(typed), calls, lengths, terse, active, longest_streak(days.distinct(), ["record"]), images, cover):
         out = out.join(part, "record", "left")
     if titles is not None:
-        topics = titles.join(turns.select("session").distinct(), "session", "left_semi").select("record", trim_white(F.col("title")).alias("title")).distinct()
-        out = out.join(topics.groupBy("record").agg(F.count(F.lit(1)).alias("topics")), "record", "left")
+        out = out.join(topics(titles, turns).groupBy("record").agg(F.count(F.lit(1)).alias("topics")), "record", "left")
     return out

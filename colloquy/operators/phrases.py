@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.numbers import headroom
-from ..functions.text import NUMBERED, all_stop, ends_dangling, is_term, normal_phrase, phrases, raw_terms, split_words, tokens
-from .metrics import with_next
+from ..functions.numbers import DAY_MS, headroom, rate
+from ..functions.text import NUMBERED, all_stop, ends_dangling, is_machine_artifact, is_term, normal_phrase, phrases, raw_terms, split_words, tokens
+from .exchanges import term_counts
+from .metrics import personal, with_next
 
 
 def word_frequency(replies: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -39,11 +40,13 @@ def _candidates(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("phrase", F.explode(phrases(F.col("reply"))))
 
 
-def signatures(labelled: DataFrame, categories: DataFrame, limits: Thresholds = DEFAULT, top: int = 2, most: int = 10) -> DataFrame:
+def signatures(labelled: DataFrame, categories: DataFrame, limits: Thresholds = DEFAULT, top: int = 2, most: int = 10, machine: tuple[str, str] | None = None) -> DataFrame:
     """The phrases that open a category's replies far more often than others, each owned by one category.
 
-    labelled: record, session, reply, kinds. categories: record, name, seq.
+    labelled: record, session, reply, kinds. categories: record, name, seq, perhaps scope; categories of the
+    project own nothing. machine: names of host and user, whose phrases are no habit of the person.
     """
+    categories = personal(categories)
     totals = labelled.groupBy("record").agg(F.count(F.lit(1)).alias("total"))
     each = _candidates(labelled)
     corpus = each.groupBy("record", "phrase").agg(F.count(F.lit(1)).alias("corpus"))
@@ -53,6 +56,8 @@ def signatures(labelled: DataFrame, categories: DataFrame, limits: Thresholds =
     found = found.withColumn("lift", (F.col("n") / F.col("members")) / (F.col("corpus") / F.col("total")))
     enough = (F.col("n") >= limits.signature_count) & (F.col("sessions") >= limits.signature_sessions) & (F.col("lift") >= limits.signature_lift)
     found = found.where(enough & ~all_stop(F.col("phrase")) & ~ends_dangling(F.col("phrase")))
+    if machine:
+        found = found.where(~is_machine_artifact(F.col("phrase"), *machine))
     found = without_extensions(found, ["record", "name"])
     owner = F.row_number().over(Window.partitionBy("record", "phrase").orderBy(F.desc("lift"), "seq"))
     found = found.withColumn("owner", owner).where("owner = 1").drop("owner")
@@ -124,7 +129,59 @@ def term_zones(labelled: DataFrame, events: DataFrame, rituals: DataFrame, rare:
     return out.withColumn("zone", F.when(strong, "strong").when(delegated, "delegated")).where("zone is not null")
 
 
-def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+def asks_read(labelled: DataFrame, frequencies: DataFrame, answers: int, limits: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(rituals, events, zones) of a pile, or None if it can't be read honestly.
+
+    It can't if no moment has terms of its answer, or if the walk over whole answers, which gave the
+    frequencies of terms, found none: rare terms would then be judged on nothing.
+    """
+    if answers <= 0 or labelled.where(F.size("ai_terms") > 0).isEmpty():
+        return None
+    found = ask_rituals(labelled, limits)
+    events = ask_events(labelled, found, limits)
+    rare = rare_terms(frequencies, answers, limits).select("record", "term")
+    return found, events, term_zones(labelled, events, found, rare)
+
+
+def _read_over(labelled: DataFrame, rituals: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per window (record, id, terms, lo, hi): ask_rate, engage_rate, sessions, sample.
+
+    A record has a few windows, one for each patch: they are one array, which a row of the record looks up.
+    """
+    marked = with_next(mark_asks(labelled, rituals), ["ai_terms"]).withColumn("__own", F.transform(term_counts(F.col("reply"), DEFAULT.terms_cap), lambda x: x["term"]))
+    of_record = windows.groupBy("record").agg(F.collect_list(F.struct("id", "terms", "lo", "hi")).alias("__windows"))
+    rows = marked.where("ms is not null").join(of_record, "record").withColumn("w", F.explode(F.filter("__windows", lambda w: F.col("ms").between(w["lo"], w["hi"]))))
+    names = lambda c: F.coalesce(F.arrays_overlap(F.col(c), F.col("w.terms")), F.lit(False))
+    context = names("ai_terms") | (F.col("is_ask") & names("next_ai_terms"))
+    engaged = ~F.col("is_ask") & names("__own")
+    reads = rows.groupBy("record", "w.id").agg(
+        F.count_if(F.col("is_ask") & context).alias("asks"), F.count_if(engaged).alias("engaged"),
+        F.countDistinct(F.when(context | engaged, F.col("session"))).alias("sessions"), F.count(F.lit(1)).alias("sample"),
+    )
+    out = windows.select("record", "id").join(reads, ["record", "id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("asks", "engaged", "sessions", "sample")})
+    return out.select("record", "id", rate(F.col("asks"), F.col("sample")).alias("ask_rate"), rate(F.col("engaged"), F.col("sample")).alias("engage_rate"), "sessions", "sample")
+
+
+def ask_window_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame, now_ms: Column, limits: Thresholds = DEFAULT) -> DataFrame:
+    """Over the last days, how often asks name a patch's terms, and how often the person uses them otherwise. patches: record, id, terms."""
+    return _read_over(labelled, rituals, patches.select("record", "id", "terms", (now_ms - limits.recent_days * DAY_MS).alias("lo"), now_ms.alias("hi")))
+
+
+def ask_span_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame) -> DataFrame:
+    """The same over each patch's own span, from the first to the last of its asks. patches: record, id, terms, ask_keys."""
+    keys = patches.select("record", "id", F.explode("ask_keys").alias("key"))
+    spans = keys.join(labelled.select("record", "key", "ms").where("ms is not null"), ["record", "key"]).groupBy("record", "id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    return _read_over(labelled, rituals, patches.select("record", "id", "terms").join(spans, ["record", "id"], "left"))
+
+
+def meta_evidence(events: DataFrame, modifiers: DataFrame) -> DataFrame:
+    """Per record: asks, their conversations, bounces, and the person's own modifiers in order."""
+    counts = events.groupBy("record").agg(F.count(F.lit(1)).alias("asks"), F.countDistinct("session").alias("sessions"), F.count_if("bounced").alias("bounces"))
+    listed = modifiers.groupBy("record").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("modifiers"))
+    return counts.join(listed, "record", "left").withColumn("modifiers", F.coalesce("modifiers", F.array().cast("array<string>")))
+
+
+def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Thresholds = DEFAULT, machine: tuple[str, str] | None = None) -> DataFrame:
     """Two and three words after the opening of asks that hardly occur elsewhere, at most three."""
     words = split_words(normal_phrase(F.col("reply")))
     marked = mark_asks(labelled, rituals).withColumn("w", words)
@@ -145,10 +202,14 @@ def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Threshol
     known = F.flatten(F.transform("rituals", lambda r: F.split(r, " ")))
     fragment = F.forall(F.split("phrase", " "), lambda w: F.array_contains(known, w) | all_stop(w))
     kept = kept.where(~F.array_contains("rituals", F.col("phrase")) & ~fragment).drop("rituals")
-    # A phrase goes if one before it lies within it: a phrase of three words has few parts.
+    if machine:
+        kept = kept.where(~is_machine_artifact(F.col("phrase"), *machine))
+    # A phrase goes if one before it lies within it. A phrase of three words has few parts, which are looked up.
     rank = Window.partitionBy("record").orderBy(F.desc("n"), "phrase")
     kept = kept.withColumn("rank", F.row_number().over(rank))
-    parts = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split("phrase", " ")) - k, F.lit(0))), lambda i, k=k: F.array_join(F.slice(F.split("phrase", " "), i + 1, k), " ")) for k in (2, 3)])))
+    length = F.length("phrase")
+    from_each = F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(F.sequence(F.lit(1), length - i + 1), lambda n: F.substr("phrase", i, n)))
+    parts = F.array_distinct(F.filter(F.flatten(from_each), lambda x: F.contains(x, F.lit(" "))))
     inner = kept.select("record", "phrase", "rank", F.explode(parts).alias("part")).where("part <> phrase")
     earlier = kept.select("record", F.col("phrase").alias("part"), F.col("rank").alias("part_rank"))
     covered = inner.join(earlier, ["record", "part"]).where("part_rank < rank").select("record", "phrase").distinct()
@@ -156,13 +217,18 @@ def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Threshol
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limits.delivery_top)
 
 
-def chain_grams(chains: DataFrame, low: int = 3, high: int = 5, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Chains of actions that recur. chains: record, session, pos, action; repeats in a row count once."""
+def chain_occurrences(chains: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """(record, session, chain) of every chain of so many actions. chains: record, session, pos, action; repeats in a row count once."""
     order = Window.partitionBy("record", "session").orderBy("pos")
     own = chains.withColumn("__before", F.lag("action").over(order)).where(~F.col("__before").eqNullSafe(F.col("action")))
     own = own.withColumns({f"__{k}": F.lead("action", k).over(order) for k in range(1, high)})
     steps = ["action", *[f"__{k}" for k in range(1, high)]]
     chains_at = F.array(*[F.when(F.col(steps[n - 1]).isNotNull(), F.concat_ws(" → ", *steps[:n])) for n in range(low, high + 1)])
-    each = own.select("record", "session", F.explode(F.array_compact(chains_at)).alias("chain"))
+    return own.select("record", "session", F.explode(F.array_compact(chains_at)).alias("chain"))
+
+
+def chain_grams(chains: DataFrame, low: int = 3, high: int = 5, limits: Thresholds = DEFAULT) -> DataFrame:
+    """Chains of actions that recur."""
+    each = chain_occurrences(chains, low, high)
     out = each.groupBy("record", "chain").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"))
     return out.where((F.col("n") >= limits.chain_count) & (F.col("sessions") >= limits.chain_sessions))

@@ -66,3 +66,53 @@ def stage_rates(runs: DataFrame, units_ahead: int) -> DataFrame:
     """Time for a unit of each stage, over runs that did any, and for the units ahead."""
     out = runs.where("units > 0").groupBy("stage").agg((F.sum("ms") / F.sum("units")).alias("ms_per_unit"))
     return out.withColumn("eta_ms", F.col("ms_per_unit") * units_ahead)
+
+
+# Features that are billed no more, and the cadences of rebuilding.
+RETIRED = ("judge", "synthesis", "miner", "audit", "grade", "discover", "assign", "rules", "knowledge")
+CADENCE_MS = {"daily": 86_400_000, "weekly": 7 * 86_400_000}
+
+
+def eta(rates: DataFrame, ahead: DataFrame) -> DataFrame:
+    """One row: eta_ms of the stages ahead (stage, units); null if a stage with work was never measured."""
+    own = ahead.join(rates.select("stage", "ms_per_unit"), "stage", "left")
+    unknown = F.col("units").isNull() | (F.col("units") < 0) | ((F.col("units") > 0) & F.col("ms_per_unit").isNull())
+    total = F.coalesce(F.sum(F.when(F.col("units") > 0, F.col("units") * F.col("ms_per_unit"))), F.lit(0.0))
+    return own.agg(F.when(~F.coalesce(F.bool_or(unknown), F.lit(False)), F.floor(total + 0.5)).alias("eta_ms"))
+
+
+def turn_summary(turns: DataFrame, keys: list[str], ms: str) -> DataFrame:
+    """Number, rounded mean and p90 of the durations of each key; what is no duration is left out."""
+    from .mirror import counted_quantiles
+
+    own = turns.where((F.col(ms) >= 0) & ~F.isnan(F.col(ms).cast("double")) & (F.col(ms).cast("double") < float("inf")))
+    mean = own.groupBy(*keys).agg(F.floor(F.avg(ms) + 0.5).alias("mean_ms"))
+    p90 = counted_quantiles(own, keys, ms, {"p90": 0.9})
+    return p90.join(mean, keys).select(*keys, "n", "mean_ms", F.floor(F.col("p90") + 0.5).alias("p90_ms"))
+
+
+def lifetime_spend(usage: DataFrame) -> DataFrame:
+    """Cost of features in use and of retired ones. usage: feature, cost."""
+    gone = F.col("feature").isin(*RETIRED)
+    part = lambda test: F.coalesce(F.sum(F.when(test, F.col("cost"))), F.lit(0.0))
+    return usage.agg(part(~gone).alias("live"), part(gone).alias("retired"))
+
+
+def refresh_due(waiting: int, last_ms: int | None, now_ms: int, by_hand: bool = False, cadence: str = "weekly", cooldown_ms: int | None = None) -> str | None:
+    """Why to refresh now, or None. A time that is missing counts as long ago."""
+    if by_hand:
+        return "by hand"
+    if not waiting:
+        return None
+    if last_ms is None:
+        return "first"
+    return "scheduled" if now_ms - last_ms >= (cooldown_ms or CADENCE_MS[cadence]) else None
+
+
+def naming_sample(members: DataFrame, keys: list[str], order: list[str], shown: int = 4, least: int = 3) -> DataFrame:
+    """The first distinct clipped replies of each key, at most so many. members: keys, order, reply."""
+    from ..functions.text import clip
+
+    own = members.withColumn("line", clip(F.col("reply"), 240)).where(F.length("line") >= least)
+    first = own.groupBy(*keys, "line").agg(F.min(F.struct(*order)).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("place") <= shown).drop("at")

@@ -194,7 +194,15 @@ def phrases_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "phrase", "n", "sessions", F.round((F.col("n") / F.col("members")) / (F.col("corpus") / F.col("total")), 9).alias("lift"))
 
 
-@register("signature_owners")
+@register("signature_owners", f"""WITH labelled AS (SELECT doc_id::VARCHAR AS session, source AS name, reply FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS reply FROM documents) WHERE trim(reply, E' \\t\\n\\r\\v\\f') <> ''), {PHRASES},
+totals AS (SELECT count(*)::DOUBLE AS total FROM labelled), members AS (SELECT name, count(*)::DOUBLE AS members FROM labelled GROUP BY name), corpus AS (SELECT phrase, count(*)::DOUBLE AS corpus FROM candidates GROUP BY phrase), seqs AS (SELECT name, row_number() OVER (ORDER BY name) AS seq FROM members),
+found AS (SELECT name, phrase, count(*) AS n, count(DISTINCT session) AS sessions FROM candidates GROUP BY ALL),
+lifted AS (SELECT name, phrase, n, sessions, members, seq, (n / members) / (corpus / total) AS lift, string_split(phrase, ' ') AS w FROM found JOIN corpus USING (phrase) JOIN members USING (name) JOIN seqs USING (name), totals),
+good AS (SELECT *, phrase LIKE 'a numbered reply (%' AS numbered FROM lifted WHERE n >= 3 AND sessions >= 3 AND lift >= 5 AND (phrase LIKE 'a numbered reply (%' OR len(list_filter(w, lambda x: x NOT IN ({OPENING_STOPS}))) > 0 AND w[-1] NOT IN ({DANGLING}))),
+apart AS (SELECT * FROM good g WHERE numbered OR NOT EXISTS (SELECT 1 FROM good h WHERE h.name = g.name AND NOT h.numbered AND starts_with(g.phrase, h.phrase || ' '))),
+owned AS (SELECT * FROM apart QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY lift DESC, seq) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY NOT numbered, lift DESC, phrase)::INT AS place FROM owned), cut AS (SELECT *, dense_rank() OVER (ORDER BY members DESC, seq) AS entry FROM placed WHERE place <= 2)
+SELECT name, phrase, n, sessions, round(lift, 9) AS lift, place FROM cut WHERE entry <= 10""")
 def signature_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decode key: opening phrases owned by one category each. Document lines stand for replies, sources for categories."""
     own = document_lines(spark, sf_dir).select("record", "session", F.col("line").alias("reply"), F.array("source").alias("kinds"))
@@ -249,7 +257,7 @@ def shape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(F.broadcast(words), "record").select("conv_id", "turn", text.shape(F.col("text"), F.col("words")).alias("shaped"))
 
 
-@register("strip_wrappers")
+@register("strip_wrappers", r"""SELECT page_id, trim(regexp_replace(regexp_replace('<system-reminder>x</system-reminder>' || html, '(?s)<system-reminder>.*?</system-reminder>', ' ', 'g'), '</?[a-z-]+>', ' ', 'g'), E' \t\n\r\v\f') AS stripped FROM pages""")
 def strip_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page markup stands for injected blocks: bare tags go, text stays."""
     return table(spark, sf_dir, "pages").select("page_id", text.strip_wrappers(F.concat(F.lit("<system-reminder>x</system-reminder>"), "html")).alias("stripped"))
@@ -306,7 +314,16 @@ def ask_meta_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.ask_events(own, chat_rituals(own)).agg(F.count(F.lit(1)).alias("asks"), F.countDistinct("session").alias("sessions"), F.count_if("bounced").alias("bounces"))
 
 
-@register("term_zones")
+@register("term_zones", rf"""WITH {PAIRS}, labelled AS (SELECT conv_id AS session, idx, hash AS key, reaction AS reply, said_full, length(said_full) AS said_len FROM hashed), {RITUALS},
+marked AS (SELECT *, lead(key) OVER w AS next_key, key IN (SELECT key FROM candidates WHERE phrase IN (SELECT phrase FROM rituals)) AS is_ask FROM labelled WINDOW w AS (PARTITION BY session ORDER BY idx, key)),
+said AS (SELECT DISTINCT session, key, idx, regexp_replace(lower(raw), '[._-]+$', '') AS term FROM (SELECT session, key, idx, unnest(regexp_extract_all(said_full, '([a-zA-Z][a-zA-Z0-9_.-]{{2,}})', 1)) AS raw FROM marked)),
+kept AS (SELECT * FROM said WHERE length(term) BETWEEN 3 AND 40 AND term NOT IN ({FUNCTION_WORDS})),
+rare AS (SELECT term FROM kept GROUP BY term HAVING count(*) BETWEEN 3 AND (SELECT greatest(20, floor(count(*) * 0.025)) FROM labelled WHERE said_full <> '')),
+own AS (SELECT DISTINCT session, key, idx, regexp_replace(lower(raw), '[._-]+$', '') AS term FROM (SELECT session, key, idx, unnest(regexp_extract_all(reply, '([a-zA-Z][a-zA-Z0-9_.-]{{2,}})', 1)) AS raw FROM marked WHERE NOT is_ask)),
+used AS (SELECT term, count(*) AS uses, count(DISTINCT session) AS use_sessions FROM own WHERE term IN (SELECT term FROM rare) GROUP BY term), spread AS (SELECT term, count(DISTINCT session) AS ai_sessions FROM kept GROUP BY term),
+asked AS (SELECT DISTINCT term FROM kept WHERE key IN (SELECT key FROM marked WHERE is_ask UNION SELECT next_key FROM marked WHERE is_ask AND next_key IS NOT NULL)),
+zones AS (SELECT term, uses, use_sessions, ai_sessions, CASE WHEN uses >= 3 AND use_sessions >= 2 THEN 'strong' WHEN uses IS NULL AND term NOT IN (SELECT term FROM asked) AND ai_sessions >= 3 THEN 'delegated' END AS zone FROM rare LEFT JOIN used USING (term) LEFT JOIN spread USING (term))
+SELECT term, zone, uses, use_sessions, ai_sessions FROM zones WHERE zone IS NOT NULL""")
 def term_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare terms by who uses them. Rare: in the band of the answers' own frequencies."""
     own = chat_labelled(spark, sf_dir).withColumn("ai_terms", F.filter(text.raw_terms(F.col("said_full")), lambda t: text.is_term(t)))
@@ -316,12 +333,20 @@ def term_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.term_zones(own, phrases.ask_events(own, rituals), rituals, rare).select("term", "zone", "uses", "use_sessions", "ai_sessions")
 
 
-@register("delivery_modifiers")
+@register("delivery_modifiers", f"""WITH labelled AS (SELECT doc_id::VARCHAR AS session, line AS idx, doc_id::VARCHAR || '/' || line AS key, reply FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS reply, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) WHERE trim(reply, E' \\t\\n\\r\\v\\f') <> ''), {PHRASES},
+rituals AS (SELECT phrase FROM candidates WHERE phrase LIKE '% %' AND phrase NOT LIKE '% % %' GROUP BY phrase ORDER BY count(*) DESC, phrase LIMIT 3), known AS (SELECT list_distinct(flatten(list(string_split(phrase, ' ')))) AS words FROM rituals),
+marked AS (SELECT session, w, key IN (SELECT key FROM candidates WHERE phrase IN (SELECT phrase FROM rituals)) AS is_ask,
+  coalesce((SELECT max(2) FROM rituals r WHERE len(w) > 2 AND r.phrase = array_to_string(w[1:2], ' ')), 1) AS start FROM normal),
+grams AS (SELECT session, is_ask, unnest(list_distinct(list_concat(list_transform(range(CASE WHEN is_ask THEN start ELSE 0 END, len(w) - 1), lambda i: array_to_string(w[i + 1:i + 2], ' ')), list_transform(range(CASE WHEN is_ask THEN start ELSE 0 END, len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' '))))) AS phrase FROM marked),
+counted AS (SELECT phrase, count(*) FILTER (is_ask) AS n, count(*) FILTER (NOT is_ask) AS elsewhere, count(DISTINCT session) FILTER (is_ask) AS sessions, string_split(phrase, ' ') AS w FROM grams GROUP BY phrase),
+kept AS (SELECT counted.*, row_number() OVER (ORDER BY n DESC, phrase) AS r FROM counted, known WHERE n >= 2 AND sessions >= 2 AND n / (n + elsewhere)::DOUBLE >= 0.5 AND len(list_filter(w, lambda x: x NOT IN ({OPENING_STOPS}))) > 0 AND phrase NOT IN (SELECT phrase FROM rituals)
+  AND len(list_filter(w, lambda x: x NOT IN ({OPENING_STOPS}) AND NOT list_contains(words, x))) > 0),
+out AS (SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept e WHERE e.r < k.r AND contains(k.phrase, e.phrase)))
+SELECT phrase, n, sessions, row_number() OVER (ORDER BY n DESC, phrase)::INT AS rank FROM out QUALIFY row_number() OVER (ORDER BY n DESC, phrase) <= 3""")
 def delivery_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows the three most frequent openings of two words of document lines, with floors that invented prose can reach."""
     own = document_lines(spark, sf_dir).select("record", "session", F.concat_ws("/", "session", "idx").alias("key"), F.col("line").alias("reply"))
-    each = own.select("record", "session", F.array_join(F.slice(text.split_words(text.normal_phrase(F.col("reply"))), 1, 1), " ").alias("phrase")).where("phrase <> ''")
-    rituals = each.groupBy("record", "phrase").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phrase").limit(3)
-    # With floors that invented prose can reach.
+    rituals = chat_rituals(own).orderBy(F.desc("n"), "phrase").limit(3)
     limits = replace(DEFAULT, delivery_min=2, delivery_sessions=2, delivery_share=0.5)
     return phrases.delivery_modifiers(own, rituals.select("record", "phrase"), limits).select("phrase", "n", "sessions", "rank")
 
@@ -339,9 +364,25 @@ def friction_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.friction(turns).select(F.col("record").alias("session"), "messages", "corrections", "per_hundred")
 
 
-@register("mirror_read")
+@register("mirror_read", r"""WITH turns AS (
+  SELECT 'chat' AS record, NULL::TIMESTAMP AS seen, role, coalesce(text, '') AS text, false AS stop, NULL AS k FROM conversations
+  UNION ALL SELECT 'events', ts, 'user', CASE WHEN event_type = 'error' THEN '' ELSE event_type || ' ' || value END, event_type = 'error', (props->>'$.k')::BIGINT FROM events
+), records AS (SELECT record, count(*) FILTER (stop) AS corrections, count(k) AS tool_calls FROM turns GROUP BY record),
+typed AS (SELECT *, (seen - INTERVAL 4 HOUR)::DATE AS day, len(string_split_regex(trim(text, E' \t\n\r'), '\s+')) AS words FROM turns WHERE role = 'user' AND NOT stop AND text <> ''),
+whole AS (SELECT record, count(*) AS messages, epoch_ms(min(seen)) AS first_ms, epoch_ms(max(seen)) AS last_ms, round(avg((text LIKE '%?')::INT), 9) AS question_share, count(*) FILTER (length(text) > 2000) AS pastes,
+  coalesce(floor((epoch_ms(max(seen)) - epoch_ms(min(seen))) / 86400000.0 + 0.5)::BIGINT + 1, 0) AS span_days FROM typed GROUP BY record),
+trouble AS (SELECT record, count(DISTINCT (seen - INTERVAL 4 HOUR)::DATE) AS days_with_any FROM turns WHERE stop GROUP BY record),
+ordered AS (SELECT record, list(words ORDER BY words) AS xs, round(avg((words <= 4)::INT), 9) AS terse_share FROM typed WHERE length(text) <= 2000 GROUP BY record),
+per_day AS (SELECT record, day, count(*) AS n FROM typed WHERE day IS NOT NULL GROUP BY ALL), active AS (SELECT record, count(*) AS active_days, list(n ORDER BY n) AS ns FROM per_day GROUP BY record),
+islands AS (SELECT record, day - (row_number() OVER (PARTITION BY record ORDER BY day))::INT AS island FROM per_day), runs AS (SELECT record, island, count(*) AS n FROM islands GROUP BY ALL), streaks AS (SELECT record, max(n) AS streak FROM runs GROUP BY record),
+hours AS (SELECT record, hour(seen) AS hour, count(*) AS n FROM typed WHERE seen IS NOT NULL GROUP BY ALL), upto AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY record ORDER BY n DESC, hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(n) OVER (PARTITION BY record) AS total FROM hours),
+cover AS (SELECT record, count(*) FILTER (run < 0.8::DOUBLE * total) AS hours_80, count(*) FILTER (run < 0.9::DOUBLE * total) AS hours_90 FROM upto GROUP BY record)
+SELECT record, messages, corrections, round(100 * corrections / messages::DOUBLE, 9) AS per_hundred, first_ms, last_ms, question_share, pastes, span_days, days_with_any, tool_calls,
+  xs[least(len(xs) - 1, floor(len(xs) * 0.25))::INT + 1]::INT AS len_p25, xs[least(len(xs) - 1, floor(len(xs) * 0.5))::INT + 1]::INT AS len_median, xs[least(len(xs) - 1, floor(len(xs) * 0.75))::INT + 1]::INT AS len_p75, xs[least(len(xs) - 1, floor(len(xs) * 0.9::DOUBLE))::INT + 1]::INT AS len_p90,
+  terse_share, active_days, ns[least(len(ns) - 1, floor(len(ns) * 0.5))::INT + 1] AS median_per_day, streak, hours_80, hours_90
+FROM records JOIN whole USING (record) LEFT JOIN trouble USING (record) LEFT JOIN ordered USING (record) LEFT JOIN active USING (record) LEFT JOIN streaks USING (record) LEFT JOIN cover USING (record)""")
 def mirror_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole descriptive read of the conversations and, as a second record, of the events."""
+    """The whole descriptive read of the conversations and, as a second record, of the events. The tables have no folders, branches, images or refusals."""
     chat = conversation_turns(table(spark, sf_dir, "conversations")).drop("conv_id", "pos")
     none = F.lit(None)
     stop = F.col("event_type") == "error"
@@ -349,7 +390,11 @@ def mirror_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record", "session", F.col("at").cast("string").alias("ts"), F.lit("user").alias("role"), F.when(stop, "").otherwise(F.concat_ws(" ", "event_type", "value")).alias("text"), stop.alias("interrupted"),
         F.when(stop, "plain").alias("interrupt_kind"), none.cast("string").alias("denial"), none.cast("array<string>").alias("denied_tools"), "tools", none.cast("string").alias("cwd"), none.cast("string").alias("git_branch"), F.lit(0).alias("images"),
     )
-    return mirror.mirror(chat.unionByName(log))
+    found = mirror.mirror(chat.unionByName(log))
+    return found.select(
+        "record", "messages", "corrections", *[F.round(c, 9).alias(c) for c in ("per_hundred", "question_share", "terse_share")], *[numbers.parsed_millis(F.col(f"{c}_ts")).alias(f"{c}_ms") for c in ("first", "last")],
+        "pastes", "span_days", "days_with_any", "tool_calls", "len_p25", "len_median", "len_p75", "len_p90", "active_days", "median_per_day", "streak", "hours_80", "hours_90",
+    )
 
 
 @register("active_days_streak", f"""WITH {EVENTS}, days AS (SELECT DISTINCT session, (ts - INTERVAL 4 HOUR)::DATE AS day FROM moments WHERE neg = 0),
@@ -683,8 +728,8 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def miner_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors: document lines as prompts, one a minute, event types as chains of actions."""
     own = document_lines(spark, sf_dir).select(
-        "record", "session", "idx", F.col("line").alias("prompt"), F.lit("").alias("said"), F.lit(False).alias("pasted"), (F.col("doc_id") * 60000).alias("ms"), F.xxhash64("session", "idx").cast("string").alias("hash"),
+        "record", "session", "idx", F.col("line").alias("prompt"), F.lit("").alias("said"), F.col("line").alias("reaction"), F.lit(False).alias("pasted"), (F.col("doc_id") * 60000).alias("ms"), F.xxhash64("session", "idx").cast("string").alias("hash"),
         F.when(F.col("line").contains("!!"), "plain").alias("interrupted"), F.lit(False).alias("declined"),
     )
     chains = moments(spark, sf_dir).select("record", "session", F.struct("ms", "key").alias("pos"), F.col("event_type").alias("action"))
-    return miners.measure(own, chains).withColumn("receipts", F.to_json("receipts"))
+    return miners.measure(own, chains).withColumns({"receipts": F.to_json("receipts"), "exemplars": F.to_json("exemplars")})

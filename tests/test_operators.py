@@ -82,8 +82,8 @@ def test_miners(spark):
     chains = spark.createDataFrame([("r", f"s{s}", i, a) for s in range(4) for i, a in enumerate(["a", "b", "b", "c", "d"])], "record string, session string, pos int, action string")
     found = {r["chain"]: r["n"] for r in phrases.chain_grams(chains).collect()}
     assert found == {"a → b → c": 4, "b → c → d": 4, "a → b → c → d": 4}
-    rows = [("r", f"s{i % 4}", i, f"h{i}", "run the tests", "said", False, i, "plain" if i in (3, 5) else None, False) for i in range(8)]
-    own = spark.createDataFrame(rows, "record string, session string, idx int, hash string, prompt string, said string, pasted boolean, ms long, interrupted string, declined boolean")
+    rows = [("r", f"s{i % 4}", i, f"h{i}", "run the tests", "said", False, i, "plain" if i in (3, 5) else None, False, "no, stop") for i in range(8)]
+    own = spark.createDataFrame(rows, "record string, session string, idx int, hash string, prompt string, said string, pasted boolean, ms long, interrupted string, declined boolean, reaction string")
     kinds = [r["kind"] for r in miners.measure(own, chains).collect()]
     assert kinds.count("ritual") == 3 and kinds.count("rule") == 1
 
