@@ -11,17 +11,32 @@ from ..config import DEFAULT
 from ..functions.text import shape
 from ..operators import metrics, phrases, vectors
 from ..operators.exchanges import new_rows, pair_exchanges, to_moments
-from .store import Store
+from ..operators.mirror import counted_quantiles
+from .store import MOMENTS_VERSION, SCHEMAS, Store
 
 PIPELINE = "hash-384-v1"
 Namer = Callable[[int], str]
 
 
-def ingest(store: Store, turns: DataFrame) -> None:
-    """Append the moments that aren't stored yet; running it again appends nothing."""
+def ingest(store: Store, turns: DataFrame, whole: bool = False) -> None:
+    """Append the moments that aren't stored yet; running it again appends nothing.
+
+    whole: turns are all that a record has, not an increment. Then a record whose moments an older version
+    wrote is built again; without it, older moments stay as they are.
+    """
     fresh = to_moments(pair_exchanges(turns))
+    records = [row[0] for row in turns.select("record").distinct().collect()]  # one for each source of transcripts
+    stored = {record: store.version(record) for record in records}
+    has = {row[0] for row in store.read("moments").select("record").distinct().collect()}
+    stale = [r for r in records if whole and r in has and (stored[r] or 0) < MOMENTS_VERSION]
     fresh = fresh.withColumn("__n", F.row_number().over(Window.partitionBy("record", "key").orderBy(F.desc("ts"), "session"))).where("__n = 1").drop("__n")
+    if stale:
+        store.replace("moments", fresh.where(F.col("record").isin(stale)))
+        fresh = fresh.where(~F.col("record").isin(stale))
     store.append("moments", new_rows(fresh, store.read("moments"), ["record", "key"]))
+    new = [(MOMENTS_VERSION, r) for r in records if r in stale or r not in has]
+    if new:
+        store.replace("versions", store.spark.createDataFrame(new, SCHEMAS["versions"]))
 
 
 def shaped_vectors(moments: DataFrame, words: DataFrame, embedder: vectors.Embedder | None = None) -> DataFrame:
@@ -57,6 +72,8 @@ def cold_build(store: Store, record: str, namer: Namer = "behaviour {}".format)
     born = live.select("record", F.lit("born").alias("event"), F.col("label").alias("name"), F.lit("").alias("description"), F.current_timestamp().alias("at"), (F.lit(log.count() + 1_000_000) + F.col("idx")).alias("seq"))
     retired = log.select("record", "name").distinct().select("record", F.lit("retired").alias("event"), "name", F.lit("").alias("description"), F.current_timestamp().alias("at"), F.lit(log.count()).cast("long").alias("seq"))
     store.append("categories", retired.unionByName(born))
+    built = moments.agg(F.countDistinct("session").alias("sessions")).select("sessions", F.unix_millis(F.current_timestamp()).alias("at_ms"), F.lit(PIPELINE).alias("pipeline"), F.unix_millis(F.current_timestamp()).alias("seq"), F.lit(record).alias("record"))
+    store.append("builds", built)
     return len(names)
 
 
@@ -74,6 +91,13 @@ def grow(store: Store, record: str) -> None:
     centres = store.read("centres").where((F.col("record") == record) & (F.col("pipeline") == PIPELINE))
     near = vectors.nearest_centre(placed, centres.select("idx", "centre"), ["record", "key"])
     store.append("assignments", as_assignments(near.join(F.broadcast(centres.select("idx", "label")), "idx")))
+    store.append("fits", fit_of(near))
+
+
+def fit_of(near: DataFrame) -> DataFrame:
+    """How near the placed moments are to their centres: one row for each record, none for none."""
+    stats = counted_quantiles(near.withColumn("s", F.floor(F.col("sim") * 1000 + 0.5)), ["record"], "s", {"median": 0.5, "p10": 0.1})
+    return stats.select(F.unix_millis(F.current_timestamp()).alias("at_ms"), "n", *[(F.col(c) / F.lit(1000.0)).alias(c) for c in ("median", "p10")], "record")
 
 
 def outgrown(moments: DataFrame, sessions_at_build: int) -> bool:
@@ -84,8 +108,15 @@ def outgrown(moments: DataFrame, sessions_at_build: int) -> bool:
     return now >= 2 * then and now >= then + 3
 
 
-def refresh(store: Store, turns: DataFrame, record: str, rebuild: bool = False) -> None:
-    ingest(store, turns)
+def sessions_at_build(store: Store, record: str) -> int | None:
+    return store.read("builds").where(F.col("record") == record).agg(F.max_by("sessions", "seq")).first()[0]
+
+
+def refresh(store: Store, turns: DataFrame, record: str, rebuild: bool = False, whole: bool = False) -> None:
+    """Ingest; then build anew if asked to, without a model, or once the record has outgrown it, else place what is new."""
+    ingest(store, turns, whole)
+    then = sessions_at_build(store, record)
+    rebuild = rebuild or (then is not None and outgrown(store.read("moments").where(F.col("record") == record), then))
     if rebuild or store.read("centres").where((F.col("record") == record) & (F.col("pipeline") == PIPELINE)).isEmpty():
         cold_build(store, record)
     else:

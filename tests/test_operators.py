@@ -1,12 +1,15 @@
 """Exchanges, statistics, state and reports on small cases with known answers."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import numbers, text
 from colloquy.operators import evidence, exchanges, metrics, miners, mirror, patches, phrases, state, vectors
-from colloquy.plans import refresh, report
+from colloquy.config import DEFAULT
+from colloquy.plans import lift, profile, refresh, report
 from colloquy.plans.store import Store
 from colloquy.streaming import ingest
 
@@ -224,3 +227,89 @@ def test_report():
     unit = lambda d: [np.cos(np.radians(d)), np.sin(np.radians(d)), 0.0]
     three = [report.Row(n, "Work", n) for n in "abc"]
     assert report.plan_folds(three, [unit(0), unit(10), unit(90)]) == [[0, 1]] and report.plan_folds(three[:2], [unit(0), unit(1)]) == []
+
+
+def moment_rows(spark):
+    """Slips of x in ten sessions over two weeks, each followed by Bash; y is calm."""
+    day = numbers.DAY_MS
+    rows = []
+    for i in range(400):
+        slip, kind = i % 4 == 0, "x" if i % 4 in (0, 1) and i % 8 < 5 else "y"
+        rows.append(("r", f"s{i % 10}", f"k{i:04d}", i * day // 40, "interrupt" if slip else "ordinary", [kind], ["Bash"], [], f"please do not do that again {'now' if slip else 'later'}", 900, 0))
+    return labelled(spark, rows).withColumns({"reply_len": F.length("reply"), "ai_terms": F.array(F.lit("closure"))})
+
+
+def test_patches_are_minted_and_measured_again(spark):
+    own = moment_rows(spark)
+    names = spark.createDataFrame([("r", "x", 1, None), ("r", "y", 2, "project")], "record string, name string, seq int, scope string")
+    centres = spark.createDataFrame([("r", 0, "x", [1.0, 0.0], "p")], "record string, idx int, label string, centre array<float>, pipeline string")
+    none = spark.createDataFrame([], lift.PATCHES)
+    now = 10 * numbers.DAY_MS
+    limits = replace(DEFAULT, lift_cut=1.0, slip_sessions=2, stumble_sessions=1, reach_min=5)
+    voice = lambda asked: {c["name"]: {"text": "when tests fail, stop first"} for c in asked}
+    first = lift.run(none, own, names, centres, "p", now, voice, limits=limits)
+    patch = first.collect()
+    assert len(patch) == 1 and patch[0]["home"] == "x" and patch[0]["state"] == "open" and patch[0]["base_fail"] > 0 and len(patch[0]["history"]) == 1
+    assert lift.run(none, own, names, centres, "p", now, lambda asked: {"x": {"text": "stop after 3"}}, limits=limits).count() == 0
+    # A later run over a quiet window: nothing is minted twice, and there is an entry more.
+    held = spark.createDataFrame(patch, lift.PATCHES)
+    again = lift.run(held, own.where("pile = 'ordinary'"), names, centres, "p", now + 1, voice, limits=limits).collect()
+    assert len(again) == 1 and [e["fail"] for e in again[0]["history"]][-1] == 0 and len(again[0]["history"]) == 2
+    third = lift.run(spark.createDataFrame(again, lift.PATCHES), own.where("pile = 'ordinary'"), names, centres, "p", now + 2, None, limits=limits).collect()
+    assert (third[0]["state"], third[0]["via"]) == ("healed", "graduated")
+    asleep = lift.run(held.withColumn("pipeline", F.lit("old")), own, names.where("name = 'y'"), centres, "p", now + 1, None, limits=limits).collect()
+    assert asleep[0]["state"] == "dormant"
+    shown = lift.clauses(held).collect()
+    assert [(c["name"], c["clause"]) for c in shown] == [("x", "when tests fail, stop first")]
+    assert lift.key_lines(1, {"bounces": 10}, 2, lambda m: "asks", "left") == ["asks", "left"] and lift.key_lines(0, {"bounces": 9}, 2, lambda m: "asks", "left") == []
+
+
+def test_profile(spark, tmp_path):
+    own = moment_rows(spark)
+    names = spark.createDataFrame([("r", "x", 1, None), ("r", "y", 2, "project")], "record string, name string, seq int, scope string")
+    clauses = spark.createDataFrame([("r", "x", "when tests fail, stop first", 40, None, 1)], "record string, name string, clause string, slip long, trend string, place int")
+    voice = lambda asked: {c["name"]: {"section": "Talk", "line": "stop early", "quote": c["candidates"][0]} for c in asked}
+    text_ = profile.build(own, names, voice, ["Work", "Talk"], clauses, ["left alone"], built="2026-01-01 10:00 UTC")
+    assert "tests fail → stop first" in text_ and "- left alone" in text_ and "From 10 conversations" in text_ and "slipped 40×" in text_ and "# built 2026-01-01" in text_
+    assert profile.build(own, names, lambda asked: {}, ["Work", "Talk"]) is None
+    for n in (1, 2):
+        profile.write(spark, f"# Report {n}", f"file://{tmp_path}/report.md")
+    assert (tmp_path / "report.md").read_text() == "# Report 2"
+
+
+def test_folds_in_the_report():
+    rows = [report.Row("a", "Work", "one", 5, 3), report.Row("b", "Work", "two", 9, 3), report.Row("c", "Work", "three", 7, 3)]
+    fold = report.Fold("Work", "do it", {"a": "at first", "b": "at last", "c": "then"})
+    out = report.assemble(rows, ["Work"], folds=[fold], clauses={"c": report.Clause("when it breaks, mend it", 4)})
+    assert out.index("at last (9×)") < out.index("at first (5×)") and "three and when it breaks, mend it" in out and "then" not in out
+    assert "do it" not in report.assemble(rows[:1], ["Work"], folds=[fold])
+
+
+def test_older_moments_are_built_again_from_whole_turns(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    turns = spark.createDataFrame([turn(0, "assistant", "closures capture variables"), turn(1, "user", "one"), turn(2, "user", "two")], TURNS)
+    refresh.ingest(store, turns)
+    assert store.version("r") == refresh.MOMENTS_VERSION and "closures" in store.read("moments").where("reply = 'one'").first()["ai_terms"]
+    store.replace("moments", store.read("moments").withColumn("ai_terms", F.lit(None)).checkpoint())
+    store.replace("versions", spark.createDataFrame([(1, "r")], "version int, record string"))
+    refresh.ingest(store, turns)
+    assert store.read("moments").where("ai_terms is not null").isEmpty() and store.version("r") == 1
+    refresh.ingest(store, turns, whole=True)
+    assert store.read("moments").count() == 2 and store.read("moments").where("ai_terms is not null").count() == 2
+    store.append("assignments", store.read("moments").selectExpr("key", "current_timestamp() at", "array('x') kinds", "1L seq", "record"))
+    store.clear_derived("r")
+    assert store.read("assignments").isEmpty() and store.read("moments").count() == 2
+
+
+def test_asks_are_read_only_with_answers(spark):
+    own = moment_rows(spark)
+    frequencies = spark.createDataFrame([("r", "closure", 5)], "record string, term string, df long")
+    assert phrases.asks_read(own, frequencies, 0) is None
+    assert phrases.asks_read(own.withColumn("ai_terms", F.array().cast("array<string>")), frequencies, 9) is None
+    assert phrases.asks_read(own, frequencies, 9) is not None
+
+
+def test_when_to_refresh():
+    day = numbers.DAY_MS
+    assert state.refresh_due(0, None, 0) is None and state.refresh_due(0, 0, 0, by_hand=True) and state.refresh_due(1, None, 0) == "first"
+    assert state.refresh_due(1, 0, 6 * day) is None and state.refresh_due(1, 0, 7 * day) and state.refresh_due(1, 0, day, cadence="daily") and state.refresh_due(1, 0, 5, cooldown_ms=5)
