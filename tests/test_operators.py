@@ -1,5 +1,6 @@
 """Exchanges, statistics, state and reports on small cases with known answers."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -313,3 +314,30 @@ def test_when_to_refresh():
     day = numbers.DAY_MS
     assert state.refresh_due(0, None, 0) is None and state.refresh_due(0, 0, 0, by_hand=True) and state.refresh_due(1, None, 0) == "first"
     assert state.refresh_due(1, 0, 6 * day) is None and state.refresh_due(1, 0, 7 * day) and state.refresh_due(1, 0, day, cadence="daily") and state.refresh_due(1, 0, 5, cooldown_ms=5)
+
+
+def test_sitting(spark):
+    from colloquy.plans import consult
+
+    rows = [("r", f"s{i % 4}", i, f"h{i}", "run the tests", "said", False, i, "plain" if i in (3, 5) else None, False, "No, stop that") for i in range(8)]
+    own = spark.createDataFrame(rows, "record string, session string, idx int, hash string, prompt string, said string, pasted boolean, ms long, interrupted string, declined boolean, reaction string")
+    own = own.withColumn("session", F.when(F.col("interrupted") == "plain", "s9").otherwise(F.col("session")))
+    chains = spark.createDataFrame([], "record string, session string, pos int, action string")
+    findings = miners.measure(own, chains)
+    lesson = findings.where("kind = 'lesson'").first()
+    assert [e["hash"] for e in lesson["exemplars"]] == ["h3", "h5"] and lesson["exemplars"][0]["quote"] == "no stop that"
+    assert {r["kind"]: r["n"] for r in miners.finding_counts(findings).collect()} == {"lesson": 1, "rule": 1}
+    installed = spark.createDataFrame([("old-way", "x", False)], "name string, description string, minted boolean")
+    seen = []
+
+    def ask(evidence, notes):
+        seen.append((evidence, notes))
+        good = {"kind": "skill", "name": "stop-early", "description": "d", "standard": "s", "moves": ["stop"], "citations": [lesson["id"]], "quote": "no stop that"}
+        return "Here: " + json.dumps({"proposals": [good, good | {"name": "old-way"}, good | {"quote": "never said"}, "noise"]}) + " done"
+
+    decided, made = consult.sit(findings, installed, ask)
+    assert [d["ok"] for d in decided] == [True, False, False] and len(seen[0][0]) == 2 and seen[0][1] == ["old-way — x"]
+    (row,) = made.collect()
+    assert row["path"] == "stop-early/SKILL.md" and f"- {lesson['id']}: corrections 2 · exchanges 3" in row["content"]
+    assert consult.parse("no json") == [] and consult.parse("{broken") == [] and consult.parse('{"proposals": 3}') == []
+    assert consult.sit(findings, installed, lambda e, n: None)[0] == []

@@ -114,3 +114,31 @@ def test_longest_root_wins(spark):
 
     paths = spark.createDataFrame([("/x/y/1",), ("/x/z",), ("/q",)], "p string")
     assert [r[0] for r in paths.select(base.record_of(F.col("p"), d)).collect()] == ["b", "a", "a"]
+
+
+def test_compressed_installed_and_archived_files(spark, tmp_path):
+    from colloquy.sources import files
+
+    (tmp_path / "live" / "p").mkdir(parents=True)
+    (tmp_path / "live" / "p" / "a.jsonl").write_text("{}\n")
+    (tmp_path / "live" / "p" / "b.jsonl.zst").write_bytes(b"x")
+    root = f"file://{tmp_path}/live"
+    assert [r["path"].rsplit("/", 1)[1] for r in files.compressed_files(spark, root).collect()] == ["b.jsonl.zst"]
+    target = f"file://{tmp_path}/archive"
+    files.archive(spark, root, target)
+    files.archive(spark, root, target)
+    assert [(r["name"], r["bytes"]) for r in spark.read.parquet(target).collect()] == [("p__a.jsonl", 3)]
+    (tmp_path / "live" / "p" / "a.jsonl").write_text("{}\n{}\n")
+    files.archive(spark, root, target)
+    assert [(r["name"], bytes(r["content"])) for r in files.archived(spark, target).collect()] == [("p__a.jsonl", b"{}\n{}\n")]
+
+    for name, text in (("one", "---\nname: one\ndescription: does\n  one thing\nother: x\n---\nminted here"), ("two", "no head")):
+        (tmp_path / "skills" / name).mkdir(parents=True)
+        (tmp_path / "skills" / name / "SKILL.md").write_text(text)
+    got = files.installed_skills(spark, "minted here", f"file://{tmp_path}/skills").collect()
+    assert [(r["name"], r["description"], r["minted"]) for r in got] == [("one", "does one thing", True)]
+    (tmp_path / "blocks").mkdir()
+    (tmp_path / "blocks" / "house.md").write_text("<!-- note\n\nmore -->\n# Title\n\nThe first\nparagraph.\n\nThe second.")
+    (tmp_path / "blocks" / "bare.md").write_text("# Only a title\n")
+    got = files.installed_blocks(spark, "minted here", f"file://{tmp_path}/blocks").collect()
+    assert [(r["name"], r["description"], r["minted"]) for r in got] == [("house", "The first paragraph.", False)]
