@@ -369,8 +369,8 @@ def friction_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'events', ts, 'user', CASE WHEN event_type = 'error' THEN '' ELSE event_type || ' ' || value END, event_type = 'error', (props->>'$.k')::BIGINT FROM events
 ), records AS (SELECT record, count(*) FILTER (stop) AS corrections, count(k) AS tool_calls FROM turns GROUP BY record),
 typed AS (SELECT *, (seen - INTERVAL 4 HOUR)::DATE AS day, len(string_split_regex(trim(text, E' \t\n\r'), '\s+')) AS words FROM turns WHERE role = 'user' AND NOT stop AND text <> ''),
-whole AS (SELECT record, count(*) AS messages, epoch_ms(min(seen)) AS first_ms, epoch_ms(max(seen)) AS last_ms, round(avg((text LIKE '%?')::INT), 9) AS question_share, count(*) FILTER (length(text) > 2000) AS pastes,
-  coalesce(floor((epoch_ms(max(seen)) - epoch_ms(min(seen))) / 86400000.0 + 0.5)::BIGINT + 1, 0) AS span_days FROM typed GROUP BY record),
+whole AS (SELECT record, count(*) AS messages, epoch_us(min(seen)) // 1000 AS first_ms, epoch_us(max(seen)) // 1000 AS last_ms, round(avg((text LIKE '%?')::INT), 9) AS question_share, count(*) FILTER (length(text) > 2000) AS pastes,
+  coalesce(floor((epoch_us(max(seen)) // 1000 - epoch_us(min(seen)) // 1000) / 86400000.0 + 0.5)::BIGINT + 1, 0) AS span_days FROM typed GROUP BY record),
 trouble AS (SELECT record, count(DISTINCT (seen - INTERVAL 4 HOUR)::DATE) AS days_with_any FROM turns WHERE stop GROUP BY record),
 ordered AS (SELECT record, list(words ORDER BY words) AS xs, round(avg((words <= 4)::INT), 9) AS terse_share FROM typed WHERE length(text) <= 2000 GROUP BY record),
 per_day AS (SELECT record, day, count(*) AS n FROM typed WHERE day IS NOT NULL GROUP BY ALL), active AS (SELECT record, count(*) AS active_days, list(n ORDER BY n) AS ns FROM per_day GROUP BY record),
