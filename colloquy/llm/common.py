@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,14 +60,29 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH[0], before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Whether Spark removes a query's shuffle files once it is done, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written within are removed once it is written."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     It cuts the lineage, survives lost executors, and gives the planner the measured size: a join
     broadcasts the table only if that size is under spark.sql.autoBroadcastJoinThreshold.
     """
     path = f"{_folder.get() or scratch_dir(df.sparkSession)}/colloquy-{name}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession), no_shuffles_left(df.sparkSession) if drop_shuffles else nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
