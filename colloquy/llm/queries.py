@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_formatting, fill_in_middle, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, url_filters
+from . import chat_formatting, fill_in_middle, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, substring_dedup, token_alignment, url_filters
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.described(token_alignment.align(table(spark, sf_dir, "documents")))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_alignment": op11_token_alignment,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
