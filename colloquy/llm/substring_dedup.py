@@ -102,7 +102,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = _least(grams)
             first = np.unique(grams, return_index=True)  # where each run of words stands first
             wanted = np.intersect1d(np.array(row["owned"], np.int64), least)
-            # An anchor's place is that of its first window, which may be a later occurrence of the same run than the first; any fixed choice does.
             where = first[1][np.searchsorted(first[0], wanted)]
             for k in np.unique(where // BLOCK):
                 inside = where // BLOCK == k
@@ -128,14 +127,21 @@ def factors(words: list[bytes], did: int, blocks: list[tuple[int, list[bytes], l
     least = _least(grams)
     places = _places(grams, least)
     index = {a: (k, o) for k, (_, _, anchors, offsets) in enumerate(blocks) for a, o in zip(anchors, offsets, strict=True)}
-    known = np.fromiter(index, np.int64, len(index))
+    sent = np.isin(least, np.fromiter(index, np.int64, len(index)))
+    # Of other anchors this document has the first place itself, or the only one: windows at others of its places are compared with that.
+    runs, at = np.unique(grams, return_index=True)
+    first = at[np.searchsorted(runs, least)]
     spans, open_windows, done = [], [], 0
-    for i in np.flatnonzero(np.isin(least, known)).tolist():
+    for i in np.flatnonzero(sent | (places != first)).tolist():
         if i < done:
             continue
-        k, offset = index[int(least[i])]
-        owner, reference, _, _ = blocks[k]
-        r = offset - (int(places[i]) - i)
+        within = int(places[i]) - i
+        if sent[i]:
+            k, offset = index[int(least[i])]
+            owner, reference, _, _ = blocks[k]
+        else:
+            owner, reference, offset = did, words, int(first[i])
+        r = offset - within
         if r < 0 or words[i : i + WINDOW] != reference[r : r + WINDOW]:
             open_windows.append(i)
         elif owner < did:
@@ -204,8 +210,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks = materialize(texts.join(owned, "rid").mapInArrow(_blocks, schema), "blocks", drop_shuffles=True)
 
     places = blocks.select("owner_rid", "block", F.explode("indexed").alias("anchor"))
-    needed = shared.select("rid", "anchor").join(places, "anchor").select("rid", "owner_rid", "block").distinct()
-    sent = needed.join(blocks, ["owner_rid", "block"]).groupBy("rid").agg(F.collect_list(F.struct("owner", "reference", "indexed", "offsets")).alias("blocks"))
+    needed = shared.select("rid", "anchor").join(places, "anchor").where("rid <> owner_rid").select("rid", "owner_rid", "block").distinct()
+    sent = needed.join(blocks, ["owner_rid", "block"]).select("rid", F.struct("owner", "reference", "indexed", "offsets").alias("block"))
+    # Documents with blocks are factored whether they get any or not, for what others may share with them.
+    own_blocks = blocks.select(F.col("owner_rid").alias("rid"), F.lit(None).cast(sent.schema["block"].dataType).alias("block"))
+    sent = sent.unionByName(own_blocks).groupBy("rid").agg(F.collect_list("block").alias("blocks"))
     parsed = texts.join(sent, "rid").select("rid", "did", "words", "blocks")
     parsed = materialize(parsed.mapInArrow(_parse, "rid long, did long, spans array<struct<start:long,stop:long>>, starts array<long>, digests array<binary>"), "parsed", drop_shuffles=True)
 
