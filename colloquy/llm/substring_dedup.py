@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove, scratch_folder
 
 WINDOW, GRAM, BLOCK = 13, 6, 64
 #: Anchors that a window chooses from.
@@ -200,14 +200,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = own.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     texts = own.where(F.col("n_words") >= WINDOW).select("rid", "did", "words")
 
-    seen = own.select("rid", "did", F.explode("anchors").alias("anchor"))
-    shared = seen.groupBy("anchor").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").select("anchor", "owner")
-    shared = materialize(seen.join(materialize(shared, "anchors", drop_shuffles=True), "anchor"), "shared", drop_shuffles=True)
+    with scratch_folder(docs.sparkSession) as early:
+        seen = own.select("rid", "did", F.explode("anchors").alias("anchor"))
+        shared = seen.groupBy("anchor").agg(F.min("did").alias("owner"), F.max("did").alias("last")).where("owner < last").select("anchor", "owner")
+        shared = materialize(seen.join(materialize(shared, "anchors", drop_shuffles=True), "anchor"), "shared", drop_shuffles=True)
 
-    first = shared.where("did = owner").groupBy("anchor").agg(F.min("rid").alias("rid"))
-    owned = first.groupBy("rid").agg(F.collect_list("anchor").alias("owned"))
-    schema = "owner_rid long, owner long, block int, reference string, indexed array<long>, offsets array<int>"
-    blocks = materialize(texts.join(owned, "rid").mapInArrow(_blocks, schema), "blocks", drop_shuffles=True)
+        first = shared.where("did = owner").groupBy("anchor").agg(F.min("rid").alias("rid"))
+        owned = first.groupBy("rid").agg(F.collect_list("anchor").alias("owned"))
+        schema = "owner_rid long, owner long, block int, reference string, indexed array<long>, offsets array<int>"
+        blocks = materialize(texts.join(owned, "rid").mapInArrow(_blocks, schema), "blocks", drop_shuffles=True)
 
     places = blocks.select("owner_rid", "block", F.explode("indexed").alias("anchor"))
     needed = shared.select("rid", "anchor").join(places, "anchor").where("rid <> owner_rid").select("rid", "owner_rid", "block").distinct()
@@ -217,6 +218,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = sent.unionByName(own_blocks).groupBy("rid").agg(F.collect_list("block").alias("blocks"))
     parsed = texts.join(sent, "rid").select("rid", "did", "words", "blocks")
     parsed = materialize(parsed.mapInArrow(_parse, "rid long, did long, spans array<struct<start:long,stop:long>>, starts array<long>, digests array<binary>"), "parsed", drop_shuffles=True)
+    remove(docs.sparkSession, early)
 
     loose = parsed.select("rid", "did", F.explode(F.arrays_zip("starts", "digests")).alias("w")).select("rid", "did", F.col("w.starts").alias("start"), F.col("w.digests").alias("digest"))
     again = loose.groupBy("digest").agg(F.min("did").alias("least"), F.max("did").alias("last")).where("least < last").select("digest", "least")
