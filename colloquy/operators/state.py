@@ -14,6 +14,25 @@ def fold_log(log: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return last.where("l.event = 'born'").select(*keys, *[F.col(f"l.{c}").alias(c) for c in columns])
 
 
+def compact_log(log: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
+    """A log that folds as the given one does, whatever is added later: the last event of each live key, and a mark.
+
+    Ends of keys go. The mark (event 'mark') of each record has its greatest number, which new events must
+    exceed: so that numbers never come again, though the rows that had them are gone.
+    """
+    own = log.where(F.col("event").isin("born", "retired"))
+    rest = [c for c in log.columns if c not in keys]
+    live = own.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("l")).where("l.event = 'born'").select(*keys, "l.*").select(log.columns)
+    marks = log.groupBy(record).agg(F.max("seq").alias("seq"))
+    fill = [F.col(f.name) if f.name in (record, "seq") else F.lit("mark" if f.name == "event" else None).cast(f.dataType).alias(f.name) for f in log.schema]
+    return live.unionByName(marks.select(*fill))
+
+
+def next_number(log: DataFrame) -> int:
+    """The number for the next event of a log."""
+    return (log.agg(F.max("seq")).first()[0] or 0) + 1
+
+
 def within_budget(rows: DataFrame, keys: list[str], order: str, length: str, budget: int = DEFAULT.budget_chars) -> DataFrame:
     """The first rows whose summed length stays within the budget; it stops at the first that doesn't fit."""
     used = F.sum(length).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

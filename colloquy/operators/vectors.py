@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot
@@ -117,40 +117,75 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column).astype(np.float32)
 
 
-def _distance_to(centres: dict[str, np.ndarray]):
-    """A function of record and vector: one less the nearest of the record's centres, 1 where there are none."""
+def _ordered(vectors: DataFrame, order: list[str]) -> DataFrame:
+    """record, part, embedding: the vectors in order, in parts that are ranges of it, so that they can be summed up part by part."""
+    own = vectors.repartitionByRange("record", *order).sortWithinPartitions("record", *order)
+    return own.select("record", "embedding", F.spark_partition_id().alias("part"))
 
-    @F.pandas_udf("double")
-    def far(records: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.ones(len(x))
-        for r in records.unique():
-            if r in centres:
-                mine = (records == r).to_numpy()
-                out[mine] = 1 - (_matrix(x[mine]).astype(np.float64) @ centres[r].T.astype(np.float64)).max(axis=1)
-        return pd.Series(out)
 
-    return far
+def _farness(x: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
+    """What a draw weighs vectors by: one less the nearest of the centres; the same for all before there are any."""
+    return np.ones(len(x)) if centres is None else 1 - (x.astype(np.float64) @ centres.T.astype(np.float64)).max(axis=1)
 
 
-def uniform(key: str, turn: int) -> Column:
-    """A number of (0, 1) for each key and turn, always the same."""
-    return (F.pmod(F.xxhash64(F.lit(SEED + turn), key), F.lit(2**52)) + 0.5) / F.lit(2.0**52)
+def _part_sums(own: DataFrame, centres: dict[str, np.ndarray]) -> dict[str, list[tuple[int, float]]]:
+    """The weight of each part of each record, in order: as many numbers as there are tasks."""
 
+    def add(batches):
+        totals: dict[tuple[str, int], float] = {}
+        for batch in batches:
+            for at, rows in batch.groupby(["record", "part"]):
+                totals[at] = totals.get(at, 0.0) + float(_farness(_matrix(rows["embedding"]), centres.get(at[0])).sum())
+        if totals:
+            yield pd.DataFrame([(*at, v) for at, v in totals.items()], columns=["record", "part", "total"])
 
-def _seeds(own: DataFrame, key: str, sizes: dict[str, int], most: int) -> dict[str, np.ndarray]:
-    """The first `most` centres of each record, those of any smaller k first.
+    found: dict[str, list[tuple[int, float]]] = {}
+    for row in own.mapInPandas(add, "record string, part int, total double").orderBy("record", "part").collect():
+        found.setdefault(row["record"], []).append((row["part"], row["total"]))
+    return found
 
-    Each is drawn with a chance in proportion to its distance from the centres so far: the row of the
-    least exponential variable of that rate, which merges over the tasks without any order of rows.
+
+def _within_parts(own: DataFrame, centres: dict[str, np.ndarray], wanted: dict[str, tuple[int, float]]) -> dict[str, np.ndarray]:
+    """The vector at which the weights of a part, from its first on, add up to what is wanted of each record (part, weight)."""
+
+    def pick(batches):
+        state = {r: [rest, None, False] for r, (_, rest) in wanted.items()}
+        for batch in batches:
+            for r, rows in batch.groupby("record"):
+                if not state[r][2]:
+                    x = _matrix(rows["embedding"])
+                    upto = np.cumsum(_farness(x, centres.get(r)))
+                    i = int(np.searchsorted(upto, state[r][0], side="left"))
+                    state[r] = [state[r][0] - upto[-1], x[min(i, len(x) - 1)], i < len(x)]
+        found = [(r, x.tolist()) for r, (_, x, _) in state.items() if x is not None]
+        if found:
+            yield pd.DataFrame(found, columns=["record", "x"])
+
+    here = [(F.col("record") == r) & (F.col("part") == part) for r, (part, _) in wanted.items()]
+    test = here[0]
+    for h in here[1:]:
+        test = test | h
+    return {row["record"]: np.array(row["x"], dtype=np.float32) for row in own.where(test).mapInPandas(pick, "record string, x array<float>").collect()}
+
+
+def _seeds(own: DataFrame, sizes: dict[str, int], most: int) -> dict[str, np.ndarray]:
+    """The first `most` centres of each record as `seeded` draws them, those of any smaller k first.
+
+    A draw is a place in the prefix sums of weights over the vectors in order. Sums of parts tell in which
+    part it is, and only there weights are added up one by one.
     """
-    found: dict[str, list] = {r: [] for r in sizes}
+    draws, found = {r: random_numbers() for r in sizes}, {r: [] for r in sizes}
     for turn in range(min(most, max(sizes.values(), default=0))):
-        centres = {r: np.stack(c) for r, c in found.items() if c}
-        wait = -F.log(uniform(key, turn)) / F.greatest(_distance_to(centres)("record", "embedding"), F.lit(1e-12))
-        picks = own.groupBy("record").agg(F.min_by("embedding", F.struct(wait, key)).alias("x"))
-        for row in picks.collect():
-            if turn < sizes[row["record"]]:
-                found[row["record"]].append(np.array(row["x"], dtype=np.float32))
+        centres, wanted = {r: np.stack(c) for r, c in found.items() if c}, {}
+        for r, parts in _part_sums(own, centres).items():
+            if turn < sizes[r]:
+                upto = np.cumsum([total for _, total in parts])
+                # The first is a row number from 0, those after it places in the weights.
+                rest = np.floor(next(draws[r]) * sizes[r]) + 1 if turn == 0 else next(draws[r]) * upto[-1]
+                at = min(int(np.searchsorted(upto, rest, side="left")), len(parts) - 1)
+                wanted[r] = (parts[at][0], float(rest - (upto[at - 1] if at else 0)))
+        for r, x in _within_parts(own, centres, wanted).items() if wanted else ():
+            found[r].append(x)
     return {r: np.stack(c) for r, c in found.items()}
 
 
@@ -159,18 +194,19 @@ def _unit(total: np.ndarray) -> np.ndarray:
     return (mean / (np.sqrt(np.sum(mean.astype(np.float64) ** 2)) or 1)).astype(np.float32)
 
 
-def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id") -> DataFrame:
-    """(record, k, silhouette, centres) for each k: seeded k-means over all vectors of each record.
+def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id", order: list[str] | None = None) -> DataFrame:
+    """(record, k, silhouette, centres, before) for each k: seeded k-means over all vectors of each record.
 
-    A round is one pass over the vectors for all k together: each task sums up its vectors by centre,
-    and the sums are added. Only the centres, k of each k and record, go to the driver and back. A k
-    above the number of a record's vectors is left out.
+    order: columns by which vectors are seeded, the key by default. before: the centres that the last
+    assignment was made by, from which `centres` were moved once. A round is one pass over the vectors for
+    all k together: each task sums up its vectors by centre, and the sums are added. Only the centres, k of
+    each k and record, go to the driver and back. A k above the number of a record's vectors is left out.
     """
     spark = vectors.sparkSession
-    own = vectors.select("record", key, "embedding").persist()
+    own = _ordered(vectors, order or [key]).persist()
     try:
         sizes = {r["record"]: r["n"] for r in own.groupBy("record").agg(F.count(F.lit(1)).alias("n")).collect()}
-        seeds = _seeds(own, key, sizes, max(ks))
+        seeds = _seeds(own, sizes, max(ks))
         model = {(r, k): seeds[r][:k].copy() for r, n in sizes.items() for k in ks if k <= n}
         before = model
         for _ in range(ROUNDS):  # or fewer, once no centre moves
@@ -181,8 +217,8 @@ def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id") -> DataFrame
         scores = _silhouettes(own, before, model)
     finally:
         own.unpersist()
-    rows = [(r, k, float(scores[r, k] / sizes[r]) if k > 1 else 0.0, model[r, k].tolist()) for r, k in model]
-    return spark.createDataFrame(rows, "record string, k int, silhouette double, centres array<array<float>>")
+    rows = [(r, k, float(scores[r, k] / sizes[r]) if k > 1 else 0.0, model[r, k].tolist(), before[r, k].tolist()) for r, k in model]
+    return spark.createDataFrame(rows, "record string, k int, silhouette double, centres array<array<float>>, before array<array<float>>")
 
 
 def _sums(own: DataFrame, model: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int, int], np.ndarray]:
@@ -230,8 +266,9 @@ def _silhouettes(own: DataFrame, before: dict[tuple[str, int], np.ndarray], mode
 def derive_k(fits: DataFrame, eps: float = 0.01) -> DataFrame:
     """The largest k whose silhouette is within eps of the best."""
     best = fits.withColumn("peak", F.max("silhouette").over(Window.partitionBy("record")))  # a row for each k
-    return best.where(F.col("silhouette") >= F.col("peak") - eps).groupBy("record").agg(F.max_by(F.struct("k", "silhouette", "centres"), "k").alias("b")).select("record", "b.*")
+    return best.where(F.col("silhouette") >= F.col("peak") - eps).groupBy("record").agg(F.max_by(F.struct("k", "silhouette", "centres", "before"), "k").alias("b")).select("record", "b.*")
 
 
-def centres_of(chosen: DataFrame) -> DataFrame:
-    return chosen.select("record", F.posexplode("centres").alias("idx", "centre"))
+def centres_of(chosen: DataFrame, which: str = "centres") -> DataFrame:
+    """record, idx, centre of each; which: "before" for those that members were assigned by."""
+    return chosen.select("record", F.posexplode(which).alias("idx", "centre"))

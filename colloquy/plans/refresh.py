@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import shape
-from ..operators import metrics, phrases, vectors
+from ..operators import metrics, phrases, state, vectors
 from ..operators.exchanges import new_rows, pair_exchanges, to_moments
 from ..operators.mirror import counted_quantiles
 from .store import MOMENTS_VERSION, SCHEMAS, Store
@@ -47,36 +47,49 @@ def shaped_vectors(moments: DataFrame, words: DataFrame, embedder: vectors.Embed
 
 
 def cold_build(store: Store, record: str, namer: Namer = "behaviour {}".format) -> int:
-    """Vocabulary, vectors, clusters, names and assignments of a record, all anew. Returns the number of categories."""
+    """Vocabulary, vectors, clusters, names and assignments of a record, all anew. Returns the number of categories.
+
+    Categories of builds before end, unless one of the same name is born again: events are numbered on from
+    the greatest number, ends first.
+    """
     moments = store.read("moments").where(F.col("record") == record)
     words = phrases.vocabulary(moments, ["record"], "reply")
     store.replace("vocabulary", words.withColumn("pipeline", F.lit(PIPELINE)))
-    placed = shaped_vectors(moments, store.read("vocabulary").where(F.col("record") == record))
     band = metrics.supported_clusters(moments, least=1).first()
     if band is None:
         return 0
-    fits = vectors.cluster(placed.withColumnRenamed("key", "vec_id"), list(range(band["lo"], band["hi"] + 1)))
-    centres = vectors.centres_of(vectors.derive_k(fits))
-    near = vectors.nearest_centre(placed, centres.select("idx", "centre"), ["record", "key", "session", "pile"])
-    kept = metrics.admitted(near.select("record", F.col("idx").alias("cluster"), "session", (F.col("pile") != "ordinary").alias("anchor")))
-    kept = kept.select("record", F.col("cluster").alias("idx"), (F.row_number().over(Window.partitionBy("record").orderBy("cluster")) - 1).alias("place"))
-    names = [namer(i) for i in range(kept.count())]  # 30 at most
-    labels = store.spark.createDataFrame(list(enumerate(names)), "place int, label string")
-    model = centres.join(kept, ["record", "idx"]).join(F.broadcast(labels), "place").select("record", F.col("place").alias("idx"), "label", "centre", F.lit(PIPELINE).alias("pipeline"))
-    store.replace("centres", model)
-    live = store.read("centres").where(F.col("record") == record)
-    known = kept.join(F.broadcast(labels), "place").select("record", "idx", "label")
-    assigned = near.join(known, ["record", "idx"], "left")
-    store.replace("assignments", as_assignments(assigned))
+    with store.held(shaped_vectors(moments, store.read("vocabulary").where(F.col("record") == record))) as placed:
+        fits = vectors.cluster(placed.withColumnRenamed("key", "vec_id"), list(range(band["lo"], band["hi"] + 1)), order=["ts", "vec_id"])
+        fit = vectors.derive_k(fits)
+        centres, assigned_by = vectors.centres_of(fit), vectors.centres_of(fit, "before")
+        with store.held(vectors.nearest_centre(placed, assigned_by.select("idx", "centre"), ["record", "key", "session", "pile"])) as near:
+            kept = metrics.admitted(near.select("record", F.col("idx").alias("cluster"), "session", (F.col("pile") != "ordinary").alias("anchor")))
+            kept = kept.select("record", F.col("cluster").alias("idx"), (F.row_number().over(Window.partitionBy("record").orderBy("cluster")) - 1).alias("place"))
+            names = [namer(i) for i in range(kept.count())]  # 30 at most
+            labels = store.spark.createDataFrame(list(enumerate(names)), "place int, label string")
+            known = kept.join(F.broadcast(labels), "place").select("record", "idx", "place", "label")
+            model = centres.join(known, ["record", "idx"]).select("record", F.col("place").alias("idx"), "label", "centre", F.lit(PIPELINE).alias("pipeline"))
+            store.replace("centres", model)
+            store.replace("assignments", as_assignments(near.join(known.select("record", "idx", "label"), ["record", "idx"], "left")))
     log = store.read("categories").where(F.col("record") == record)
-    born = live.select("record", F.lit("born").alias("event"), F.col("label").alias("name"), F.lit("").alias("description"), F.current_timestamp().alias("at"), (F.lit(log.count() + 1_000_000) + F.col("idx")).alias("seq"))
-    retired = log.select("record", "name").distinct().select("record", F.lit("retired").alias("event"), "name", F.lit("").alias("description"), F.current_timestamp().alias("at"), F.lit(log.count()).cast("long").alias("seq"))
+    first = state.next_number(log)
+    now, none = F.current_timestamp().alias("at"), F.lit("").alias("description")
+    ended = state.fold_log(log, ["record", "name"], []).withColumn("n", F.row_number().over(Window.partitionBy("record").orderBy("name")))  # categories, a few dozen
+    retired = ended.select("record", F.lit("retired").alias("event"), "name", none, now, (F.lit(first - 1) + F.col("n")).cast("long").alias("seq"))
+    live = store.read("centres").where(F.col("record") == record)
+    born = live.select("record", F.lit("born").alias("event"), F.col("label").alias("name"), none, now, (F.lit(first + ended.count()) + F.col("idx")).cast("long").alias("seq"))
     store.append("categories", retired.unionByName(born))
     built = moments.agg(F.countDistinct("session").alias("sessions")).select("sessions", F.unix_millis(F.current_timestamp()).alias("at_ms"), F.lit(PIPELINE).alias("pipeline"), F.unix_millis(F.current_timestamp()).alias("seq"), F.lit(record).alias("record"))
     store.append("builds", built)
     return len(names)
 
 
+def compact_categories(store: Store) -> None:
+    """The log of categories without what has ended; it folds as before, and numbers go on."""
+    store.replace("categories", state.compact_log(store.read("categories"), ["record", "name"]))
+    store.compact("categories")
+
+
 def as_assignments(placed: DataFrame) -> DataFrame:
     """No kind is a kind of answer: an empty array, not a missing row."""
     kinds = F.when(F.col("label").isNull(), F.array().cast("array<string>")).otherwise(F.array("label"))

@@ -712,7 +712,7 @@ def derive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector in the pile of its nearest centre, of the derived number of piles, and whether the pile is admitted."""
     own = labelled_vectors(spark, sf_dir)
-    centres = vectors.centres_of(derived(own))
+    centres = vectors.centres_of(derived(own), "before")
     near = vectors.nearest_centre(own, centres.select("idx", "centre"), ["record", "vec_id"])
     kept = metrics.admitted(near.select("record", F.col("idx").alias("cluster"), F.col("vec_id").alias("session"), F.lit(False).alias("anchor")))
     kept = kept.select("record", F.col("cluster").alias("idx"), F.lit(True).alias("admitted"))

@@ -114,7 +114,7 @@ def test_seeded_numbers_and_kmeans():
 
 
 def test_kmeans_over_all_rows_is_the_plain_one(spark):
-    """The passes over tasks against plain k-means on all rows from the same seeds, and the seeds against plain draws."""
+    """The passes over tasks against plain k-means on all rows in order, seeds and all."""
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.standard_normal(6) * 2 + 0.4 * rng.standard_normal((40, 6)) for _ in range(5)])
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -123,18 +123,29 @@ def test_kmeans_over_all_rows_is_the_plain_one(spark):
     assert set(got) == {("r", 1), ("r", 3), ("r", 5), ("r", 60), ("s", 1), ("s", 3), ("s", 5)}
     for record in "rs":
         mine = [i for i in range(200) if (i % 4 > 0) == (record == "r")]
-        seeds = []
-        for t in range(5):
-            u = {r["vec_id"]: r["u"] for r in df.select("vec_id", vectors.uniform("vec_id", t).alias("u")).collect()}
-            far = [max(1 - max((float(x[i].astype(float) @ s) for s in seeds), default=0.0), 1e-12) for i in mine]
-            seeds.append(x[min(mine, key=lambda i: -np.log(u[i]) / far[mine.index(i)])])
+        assert np.allclose(got[record, 5]["before"], vectors.kmeans(x[mine], 5)[1], atol=1e-5)
         for k in (1, 3, 5):
-            assign, centres = vectors.kmeans(x[mine], k, np.stack(seeds))
+            assign, centres = vectors.kmeans(x[mine], k)
             assert np.allclose(got[record, k]["centres"], centres, atol=1e-5)
             assert abs(got[record, k]["silhouette"] - (vectors.silhouette(x[mine], assign, centres) if k > 1 else 0)) < 1e-6
     assert vectors.derive_k(vectors.cluster(df, [3, 5])).count() == 2 and vectors.cluster(df.limit(0), [2]).count() == 0
 
 
+def test_seeds_are_the_plain_draws_in_order(spark):
+    """1,000 vectors, many of them equal, in an order that isn't that of their keys."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1000, 5))
+    x[100:300] = x[100]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ts = rng.permutation(1000) // 3
+    df = spark.createDataFrame([("r", i, int(ts[i]), v.tolist()) for i, v in enumerate(x)], "record string, vec_id long, ts long, embedding array<float>").repartition(6)
+    order = sorted(range(1000), key=lambda i: (ts[i], i))
+    own = vectors._ordered(df, ["ts", "vec_id"]).persist()
+    assert own.select("part").distinct().count() > 1
+    assert np.array_equal(vectors._seeds(own, {"r": 1000}, 12)["r"], vectors.seeded(x[order], 12))
+    own.unpersist()
+
+
 def test_answer_time_is_carried_on(spark):
     rows = [turn(0, "assistant", "a", ts="2026-01-01T10:00:00Z"), turn(1, "user", "one", ts=""), turn(2, "assistant", "the Spark spark planner", ts=""), turn(3, "user", "two", ts="")]
     found = exchanges.pair_exchanges(spark.createDataFrame(rows, TURNS)).orderBy("idx")
