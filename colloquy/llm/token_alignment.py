@@ -94,7 +94,8 @@ class Tokenizers:
         whole = np.frombuffer(b" " + text.encode(), np.uint8)
         a = np.array(self.encoding.encode_ordinary(" " + text), np.int64)
         b = np.array(self.pieces.encode(text), np.int64)
-        same = all(int(s.lengths[ids].sum()) == len(whole) and np.array_equal(s.of(ids), whole) for s, ids in ((self.second, b), (self.first, a)))
+        # The first one's ids are of bytes, which spell any text as it is; their number tells if they don't.
+        same = all(int(s.lengths[ids].sum()) == len(whole) for s, ids in ((self.second, b), (self.first, a))) and np.array_equal(self.second.of(b), whole)
         return (a, b) if same else (none, none)
 
 
@@ -111,16 +112,22 @@ class Alignment:
         a, b = read("a"), read("b")
         self.n_a, self.n_b = (np.array([len(x) for x in own], np.int64) for own in (a, b))
         self.a, self.b = (np.concatenate([np.empty(0, "<u4"), *own]).astype(np.int64) for own in (a, b))
-        self.a_ends, self.b_ends = np.cumsum(tools.first.lengths[self.a]), np.cumsum(tools.second.lengths[self.b])
-        #: Ends of links: of tokens of either.
-        self.ends = np.union1d(self.a_ends, self.b_ends)
-        self.link_a, self.link_b = self.a[np.searchsorted(self.a_ends, self.ends)], self.b[np.searchsorted(self.b_ends, self.ends)]
-        #: Ends of groups: of tokens of both.
-        self.common = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
+        a_ends, b_ends = np.cumsum(tools.first.lengths[self.a]), np.cumsum(tools.second.lengths[self.b])
+        # Links in order: each ends where a token of either ends, so that one of the first tokenizer comes after its fellows
+        # and after those of the second alone that end before it.
+        at = np.searchsorted(a_ends, b_ends)
+        both = a_ends[at] == b_ends if len(at) else np.zeros(0, bool)
+        place = np.arange(len(a_ends)) + np.cumsum(np.bincount(at[~both], minlength=len(a_ends) + 1))[: len(a_ends)]
+        #: Whether a group ends with each token.
+        self.a_last, self.b_last = np.zeros(len(a_ends), bool), both
+        self.a_last[at[both]] = True
+        links = len(a_ends) + int(len(both) - both.sum())
+        ends_a, ends_b = np.zeros(links, bool), np.ones(links, bool)
+        ends_a[place], ends_b[place] = True, self.a_last
+        self.link_a, self.link_b = (ids[np.cumsum(ends) - ends] for ids, ends in ((self.a, ends_a), (self.b, ends_b)))
         self.width = len(tools.second.lengths)
-        # Where each document ends, in bytes, links and groups.
-        total = np.concatenate([[0], self.a_ends])[np.cumsum(self.n_a)] if len(self.n_a) else np.empty(0, np.int64)
-        self.link_stops, self.group_stops = np.searchsorted(self.ends, total, "right"), np.searchsorted(self.common, total, "right")
+        # Where each document's links and groups end.
+        self.link_stops, self.group_stops = (np.concatenate([[0], x])[np.cumsum(self.n_a)] for x in (place + 1, np.cumsum(self.a_last)))
 
     def pairs(self) -> np.ndarray:
         return self.link_a * self.width + self.link_b
@@ -359,13 +366,11 @@ def _describe(first: str, second: str):
         for batch in batches:
             x = Alignment(tools, batch)
             # Tokens in the order of groups, those of the first tokenizer before those of the second.
-            a_stops, b_stops = np.searchsorted(x.a_ends, x.common, "right"), np.searchsorted(x.b_ends, x.common, "right")
-            of_a, of_b = np.searchsorted(x.common, x.a_ends), np.searchsorted(x.common, x.b_ends)
+            a_stops, b_stops = np.flatnonzero(x.a_last) + 1, np.flatnonzero(x.b_last) + 1
+            of_a, of_b = np.cumsum(x.a_last) - x.a_last, np.cumsum(x.b_last) - x.b_last
             codes = np.empty(len(x.a) + len(x.b), np.int64)
-            ends_a, ends_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
-            ends_a[a_stops - 1], ends_b[b_stops - 1] = 1, 2
-            codes[np.arange(len(x.a)) + np.concatenate([[0], b_stops])[of_a]] = x.a * 3 + ends_a
-            codes[np.arange(len(x.b)) + (a_stops[of_b] if len(x.b) else 0)] = x.b * 3 + ends_b
+            codes[np.arange(len(x.a)) + np.concatenate([[0], b_stops])[of_a]] = x.a * 3 + x.a_last
+            codes[np.arange(len(x.b)) + np.concatenate([a_stops, [0]])[of_b]] = x.b * 3 + 2 * x.b_last
             digests, at = [], 0
             for n in (x.n_a + x.n_b).tolist():
                 text = "".join([strings[c] for c in codes[at : at + n].tolist()])[:-1]
