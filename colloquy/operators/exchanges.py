@@ -150,17 +150,29 @@ def with_any_term(rows: DataFrame, terms: str, wanted: list[str]) -> DataFrame:
     return rows.where(F.coalesce(F.arrays_overlap(F.col(terms), F.lit(wanted).cast("array<string>")), F.lit(False)))
 
 
+def _by_file(exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each exchange in its newest file; and the files, newest first, with how many exchanges they and those before hold."""
+    first = exchanges.withColumn("__f", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mtime"), "path", "idx"))).where("__f = 1").drop("__f")
+    files = exchanges.select("path", "mtime").distinct().join(first.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    order = Window.orderBy(F.desc("mtime"), "path")  # files, not exchanges
+    return first, files.withColumns({"place": F.row_number().over(order), "held": F.sum(F.coalesce("n", F.lit(0))).over(order)})
+
+
+def holds_enough(exchanges: DataFrame, want: int, margin: int = 4) -> bool:
+    """Whether the files of these exchanges, the newest of an archive, are all that recent_exchanges takes from it."""
+    row = _by_file(exchanges)[1].agg(F.min(F.when(F.col("held") >= want, F.col("place"))).alias("enough"), F.max("place").alias("last")).first()
+    return row["enough"] is not None and row["last"] >= row["enough"] + margin
+
+
 def recent_exchanges(exchanges: DataFrame, want: int, margin: int = 4) -> DataFrame:
     """The latest exchanges, with the first of each day marked.
 
     Of each record's archive the newest files count, until they hold so many distinct exchanges and a margin
     of files more; the latest of those by time stay. exchanges: record, path, mtime, ts, session, idx, hash.
     File sizes are summed before files are ordered, so that only files, not exchanges, meet in one window.
+    sources.recent reads no more of an archive than that takes.
     """
-    first = exchanges.withColumn("__f", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mtime"), "path", "idx"))).where("__f = 1").drop("__f")
-    files = exchanges.select("path", "mtime").distinct().join(first.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
-    order = Window.orderBy(F.desc("mtime"), "path")
-    files = files.withColumns({"place": F.row_number().over(order), "held": F.sum(F.coalesce("n", F.lit(0))).over(order)})
+    first, files = _by_file(exchanges)
     enough = files.where(F.col("held") >= want).agg(F.min("place").alias("enough"))
     read = files.join(enough).where(F.col("enough").isNull() | (F.col("place") <= F.col("enough") + margin)).select("path")
     marked = mark_first_of_day(first.join(read, "path", "left_semi"), order=("ts", "session", "idx"))

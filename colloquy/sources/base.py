@@ -18,15 +18,36 @@ TURN_COLUMNS = [
 ]
 
 
-def read_lines(spark: SparkSession, *roots: str) -> DataFrame:
-    """path, mtime, bytes, line_no, value of every line of the .jsonl files below the roots.
-
-    Files above the cap are left out by their listed size, lines above the cap after the split.
+def existing(spark: SparkSession, *roots: str) -> list[str]:
+    """The roots (folders, files or globs) that are there: a tool that was never used has no folder."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(conf).globStatus(path):
+            found.append(root)
+    return found
+
+
+def read_lines(spark: SparkSession, *roots: str, file_cap: int = FILE_CAP) -> DataFrame:
+    """path, mtime, bytes, line_no, value of every line of the .jsonl files below the roots; of absent roots none.
+
+    Files above the cap are left out by their listed size, lines above the cap as they are read. Spark cuts
+    files into splits of spark.sql.files.maxPartitionBytes. A line's number is its place in its split, and
+    the lines of the splits before: counts by split, summed up within each file. A last line without its
+    end is a line; if it was torn, it is no JSON, and the dialects leave it out.
     """
-    files = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
-    files = files.where(F.col("file_size") <= FILE_CAP)
-    lines = files.select(F.col("file_path").alias("path"), F.col("file_modification_time").alias("mtime"), F.col("file_size").alias("bytes"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return lines.where((F.trim("value") != "") & (F.length("value") <= LINE_CAP))
+    there, schema = existing(spark, *roots), "path string, mtime timestamp, bytes long, line_no long, value string"
+    if not there:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.jsonl", lineSep="\n")
+    meta = {"path": "file_path", "mtime": "file_modification_time", "bytes": "file_size", "split": "file_block_start"}
+    lines = reader.text(there).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()]).withColumn("row", F.monotonically_increasing_id())
+    lines = lines.where(F.col("bytes") <= file_cap)
+    splits = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("path").alias("of"), F.col("split").alias("at"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    lines = lines.where((F.trim("value") != "") & (F.length("value") <= LINE_CAP)).join(splits, (F.col("path") == F.col("of")) & (F.col("split") == F.col("at")))
+    return lines.select("path", "mtime", "bytes", (F.col("row") + F.col("shift")).alias("line_no"), "value")
 
 
 def newest_first(*extra: str) -> Window:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from .base import existing
 
 DESCRIPTION_CAP = 400
 
 
 def listed(spark: SparkSession, glob: str, *roots: str) -> DataFrame:
-    """path, bytes, mtime of files by name. Contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(list(roots))
+    """path, bytes, mtime of files by name; of absent roots none. Contents aren't read."""
+    there = existing(spark, *roots)
+    if not there:
+        return spark.createDataFrame([], "path string, bytes long, mtime timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(there)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
 
 
@@ -22,6 +28,9 @@ def compressed_files(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    paths = existing(spark, *paths)
+    if not paths:
+        return spark.createDataFrame([], "source string, raw string")
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("raw"))
 
 
@@ -53,12 +62,29 @@ def archive(spark: SparkSession, root: str, target: str, glob: str = "*.jsonl")
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
     flat = F.replace(F.substr("path", F.instr("path", base.toUri().getPath()) + F.lit(len(base.toUri().getPath().rstrip("/")) + 1)), F.lit("/"), F.lit("__"))
-    live = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(prefix).select(flat.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), "content")
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    live = listed(spark, glob, prefix).select("path", flat.alias("name"), "bytes", "mtime")
+    if existing(spark, target):
         held = spark.read.parquet(target).groupBy("name").agg(F.max("bytes").alias("held"))
         live = live.join(held, "name", "left").where("held is null or held < bytes").drop("held")
-    live.write.mode("append").parquet(target)
+    new = live.select("path").persist()
+    try:
+        for paths in _batches(new):
+            contents = spark.read.format("binaryFile").load(paths)
+            contents.select(flat.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), "content").write.mode("append").parquet(target)
+    finally:
+        new.unpersist()
+
+
+def _batches(paths: DataFrame, most: int = 10_000) -> Iterator[list[str]]:
+    """The paths, some at a time: a reader is given names by the driver, which never has them all."""
+    some: list[str] = []
+    for row in paths.toLocalIterator():
+        some.append(row["path"])
+        if len(some) == most:
+            yield some
+            some = []
+    if some:
+        yield some
 
 
 def archived(spark: SparkSession, target: str) -> DataFrame:

@@ -142,3 +142,53 @@ def test_compressed_installed_and_archived_files(spark, tmp_path):
     (tmp_path / "blocks" / "bare.md").write_text("# Only a title\n")
     got = files.installed_blocks(spark, "minted here", f"file://{tmp_path}/blocks").collect()
     assert [(r["name"], r["description"], r["minted"]) for r in got] == [("house", "The first paragraph.", False)]
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    """Splits far smaller than a file: many tasks, the same rows and numbers."""
+    import random
+
+    rng = random.Random(3)
+    want = {}
+    for name in ("one", "sub/two", "empty"):
+        path = tmp_path / f"{name}.jsonl"
+        path.parent.mkdir(exist_ok=True)
+        lines = ["" if name == "empty" or rng.random() < 0.1 else json.dumps({"n": i, "pad": "é" * rng.randint(0, 300), "cr": "a\\rb"}) for i in range(1 if name == "empty" else 2000)]
+        path.write_bytes(("\n".join(lines) + '\n{"torn": tr').encode())
+        want |= {(path.name, i): line for i, line in enumerate([*lines, '{"torn": tr']) if line}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = base.read_lines(spark, str(tmp_path), str(tmp_path / "absent"))
+        assert spark.read.text(str(tmp_path), recursiveFileLookup=True).rdd.getNumPartitions() > 20
+        assert {(r["path"].rsplit("/", 1)[1], r["line_no"]): r["value"] for r in got.collect()} == want
+        assert base.read_lines(spark, str(tmp_path), file_cap=100).select("path").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_absent_folders_hold_nothing(spark, tmp_path):
+    from colloquy.sources import files
+
+    gone = f"file://{tmp_path}/gone"
+    assert base.read_lines(spark, gone).count() == 0 and files.compressed_files(spark, gone).count() == 0
+    assert files.installed_skills(spark, "m", gone).count() == 0 and files.installed_blocks(spark, "m", gone, f"{gone}2").count() == 0
+
+
+def test_recent_read_stops_at_what_it_needs(spark, tmp_path):
+    from colloquy.operators.exchanges import recent_exchanges
+    from colloquy.sources import recent
+
+    for f in range(40):
+        rows = [a("assistant" if i % 2 else "user", f"f{f}-{i}", f"said {i // 2 if f % 5 == 0 else f * 100 + i}", sessionId=f"s{f}", timestamp=f"2026-01-{f % 28 + 1:02d}T{f // 28:02d}:00:{i:02d}Z") for i in range(12)]
+        write(tmp_path / "p" / f"file{f:02d}.jsonl", rows, 1000 + f)
+    read = []
+    dialect = base.SourceDialect("a", (f"file://{tmp_path}",), lambda lines, record: read.append(lines) or dialect_a.turns(lines, record))
+    whole = recent.as_exchanges(dialect_a.turns(base.read_lines(spark, str(tmp_path)), "a"))
+    columns = ["hash", "session", "idx", "first_of_day"]
+    for want in (3, 20, 10_000):
+        read.clear()
+        got = recent.read_recent(spark, dialect, want, first=2)
+        assert [tuple(r) for r in got.select(columns).collect()] == [tuple(r) for r in recent_exchanges(whole, want).select(columns).collect()]
+        paths = read[-1].select("path").distinct().count()
+        assert paths <= 8 if want == 3 else paths <= 32 if want == 20 else paths == 40
