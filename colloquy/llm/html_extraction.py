@@ -37,69 +37,133 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe noscript template svg".split())
 NEVER = set("head nav footer aside form dialog menu button select option object canvas".split())
 LOOSE = set("p li dt dd tr td th".split())
+#: Elements that end without saying so once one of these begins, and up to where they are looked for.
+ENDS_BEFORE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 MAIN_ROLES, NEVER_ROLES = {"main", "article"}, {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog"}
 NEVER_NAMES = set(
     "ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr "
     "notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments discussion disqus respond form search".split()
 )
-#: A class or id such as site-footer or comment-list is of these and one of the names at least; comment-policy or ads-free is not.
-AROUND_NAMES = set("site page main global top bottom left right header box bar area section wrapper wrap container widget block list item items links buttons button icons slot unit row col column inner".split())
+#: Nouns that a name may end with, after one of these: comment-thread, reader-comments, site-footer and related-posts name such a part; comment-policy and ads-free don't.
+AROUND_NAMES = set(
+    "header box bar area section sections wrapper wrap container widget block blocks list lists item items link links button buttons icon icons slot slots unit row col column inner outer "
+    "thread threads body text label title content contents post posts article articles story stories panel group card cards entry entries form message replies reply".split()
+)
+#: Beginnings of names that tell how a page is laid out: no-sidebar, has-comments.
+LAYOUT_NAMES = set("no has with without is hide show not".split())
+#: Names that also say what a text is about: inside a marked article they hold for what is mostly links alone.
+WEAK_NAMES = set("social share sharing search related recommended discussion respond".split())
+#: Share of links above which a text is a list of links.
+LINKS = 0.5
+#: Articles that only point to others, where a page has others.
+TEASER_NAMES = set("teaser card preview tile excerpt promo".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S,
 )
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|(?:^|\s)aria-hidden\s*=\s*[\"']?true|(?:^|\s)style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: What a line is: text of no marked part, of the article, or of a part that is never text.
-PLAIN, MAIN, NEVER_TEXT = 0, 1, 2
+#: What a line is: text of no marked part, of the article, or of a part that is never text. An element may be doubtful until it ends.
+PLAIN, MAIN, NEVER_TEXT, DOUBTFUL = 0, 1, 2, 3
 
 
-def _never_name(name: str) -> bool:
-    parts = set(re.split(r"[-_]+", name))
-    return not parts.isdisjoint(NEVER_NAMES) and parts <= NEVER_NAMES | AROUND_NAMES
+def _names_of(name: str) -> set[str]:
+    """Of NEVER_NAMES those by which a class or id names a part: its last noun decides."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    if not parts or parts[0] in LAYOUT_NAMES:
+        return set()
+    found = NEVER_NAMES.intersection(parts)
+    return found if parts[-1] in NEVER_NAMES | AROUND_NAMES else set()
 
 
 def _part(tag: str, attributes: str, in_main: bool) -> int:
-    role, names = "", set()
+    role, names, tokens = "", set(), set()
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role":
             role = value
         else:
-            names.update(value.split())
-    if tag in NEVER or tag == "header" and not in_main or role in NEVER_ROLES or tag not in ("html", "body", "main") and any(map(_never_name, names)):
+            tokens.update(value.split())
+    if tag not in ("html", "body", "main"):
+        names = set().union(*map(_names_of, tokens))
+    if tag in NEVER or tag == "header" and not in_main or role in NEVER_ROLES or HIDDEN.search(attributes):
+        return NEVER_TEXT
+    if names - WEAK_NAMES or names and not in_main:
         return NEVER_TEXT
+    if names:
+        return DOUBTFUL
     return MAIN if tag in ("article", "main") or role in MAIN_ROLES else PLAIN
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """The text lines of a whole page, each with what it is. Of several articles the longest is meant; the others are teasers."""
-    found: list[tuple[str, int]] = []
-    article_of: list[int] = []  # of each line: 0, or the number of the article it stands in
-    block: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that hold blocks, and what they are
-    never = main = at = articles = inside = 0
-
-    def end_block() -> None:
-        text = " ".join("".join(block).split())
+class _Page:
+    """The open elements of a page that is read, and its lines so far."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, int]] = []
+        self.block: list[str] = []
+        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, part, and lines, characters and those in links when it began
+        self.never = self.main = self.chars = self.linked = 0
+        self.articles: list[tuple[int, int, bool]] = []  # lines from, to, and whether it only points to others
+        self.teasers: list[bool] = []  # of the open articles, whether their names say so
+
+    def text(self, text: str, in_link: bool) -> None:
+        self.block.append(text)
+        n = len(text) - text.count(" ")
+        self.chars += n
+        self.linked += n * in_link
+
+    def end_block(self) -> None:
+        text = " ".join("".join(self.block).split())
         if text:
-            found.append((text, NEVER_TEXT if never else MAIN if main else PLAIN))
-            article_of.append(articles if inside and not never else 0)
-        block.clear()
-
-    def close(depth: int) -> None:
-        nonlocal never, main, inside
-        for tag, part in stack[depth:]:
-            inside -= tag == "article"
-            never -= part == NEVER_TEXT
-            main -= part == MAIN
-        del stack[depth:]
-
-    size = len(html)
+            self.found.append((text, NEVER_TEXT if self.never else MAIN if self.main else PLAIN))
+        self.block.clear()
+
+    def open(self, tag: str, part: int, attributes: str) -> None:
+        self.stack.append((tag, part, len(self.found), self.chars, self.linked))
+        self.never += part == NEVER_TEXT
+        self.main += part == MAIN
+        if tag == "article":
+            self.teasers.append(any(TEASER_NAMES & set(re.split(r"[-_\s]+", "".join(v).lower())) for n, *v in ATTRIBUTE.findall(attributes) if n.lower() == "class"))
+
+    def close(self, depth: int) -> None:
+        """The elements from a depth on end."""
+        while len(self.stack) > depth:
+            tag, part, lines, chars, linked = self.stack.pop()
+            self.never -= part == NEVER_TEXT
+            self.main -= part == MAIN
+            mostly_links = self.linked - linked > LINKS * (self.chars - chars)
+            if part == DOUBTFUL and mostly_links:
+                self.found[lines:] = [(text, NEVER_TEXT) for text, _ in self.found[lines:]]
+            if tag == "article":
+                teaser = self.teasers.pop()
+                if not self.teasers and not self.never:
+                    self.articles.append((lines, len(self.found), teaser or mostly_links))
+
+    def ends_before(self, tag: str) -> None:
+        if self.stack and self.stack[-1][0] == "p":
+            self.close(len(self.stack) - 1)
+        if tag in ENDS_BEFORE:
+            ended, bounds = (x.split() for x in ENDS_BEFORE[tag])
+            for depth in range(len(self.stack) - 1, -1, -1):
+                if self.stack[depth][0] in bounds:
+                    return
+                if self.stack[depth][0] in ended:
+                    self.close(depth)
+                    return
+
+
+def lines_of(html: str) -> list[tuple[str, int]]:
+    """The text lines of a whole page, each with what it is.
+
+    All articles of a page are its text, but for those that only point to others (by their names, or as
+    they are mostly links) where there are such that don't.
+    """
+    page, at, size, links = _Page(), 0, len(html), 0
     while at < size:
         m = MARKUP.search(html, at)
         stop = m.start() if m else size
         if stop > at:
-            block.append(entities.unescape(html[at:stop]))
+            page.text(entities.unescape(html[at:stop]), links > 0)
         if not m:
             break
         at = m.end()
@@ -110,66 +174,102 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else size
-            if tag not in ("svg",):
-                end_block()
+            if tag != "svg":
+                page.end_block()
             continue
         inline = tag in INLINE
         if not inline:
-            end_block()
+            page.end_block()
+        if tag == "a":
+            links = 0 if closing else 1
         if tag in VOID:
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
+            for depth in range(len(page.stack) - 1, -1, -1):
+                if page.stack[depth][0] == tag:
                     if inline:
-                        end_block()
-                    close(depth)
+                        page.end_block()
+                    page.close(depth)
                     break
             continue
-        while stack and stack[-1][0] in LOOSE and not inline:
-            close(len(stack) - 1)
-        part = _part(tag, m["attributes"] or "", main > 0)
+        if not inline:
+            page.ends_before(tag)
+        attributes = m["attributes"] or ""
+        part = _part(tag, attributes, page.main > 0)
         if part == PLAIN and (inline or tag in LOOSE):
             continue
         if inline:
-            end_block()
-        stack.append((tag, part))
-        never += part == NEVER_TEXT
-        main += part == MAIN
-        if tag == "article":
-            articles += not inside and not never
-            inside += 1
-    end_block()
-    if articles > 1:
-        sizes = [0] * (articles + 1)
-        for (text, _), number in zip(found, article_of):
-            sizes[number] += len(text) if number else 0
-        longest = sizes.index(max(sizes[1:]), 1)
-        found = [(text, part if number in (0, longest) else NEVER_TEXT) for (text, part), number in zip(found, article_of)]
+            page.end_block()
+        page.open(tag, part, attributes)
+    page.end_block()
+    page.close(0)
+    found = page.found
+    if any(not teaser for *_, teaser in page.articles):
+        for start, end, teaser in page.articles:
+            if teaser:
+                found[start:end] = [(text, NEVER_TEXT) for text, _ in found[start:end]]
     return found
 
 
-def common_lines(a: np.ndarray, b: np.ndarray) -> set[int]:
-    """Indices of a's lines in a longest common subsequence with b, by bit-parallel dynamic programming."""
-    inside = set(a.tolist()) & set(b.tolist())
-    left, right = [i for i, x in enumerate(a.tolist()) if x in inside], [x for x in b.tolist() if x in inside]
+#: Cells of an alignment whose states are kept at once: 4 MB.
+CELLS = 1 << 25
+
+
+def _states(left: list[int], right: list[int]) -> list[int]:
+    """The bit-parallel states of the longest common subsequence, after each of left. A cleared bit j: the best length grows at right's j."""
     where: dict[int, int] = defaultdict(int)
     for j, x in enumerate(right):
         where[x] |= 1 << j
     full = (1 << len(right)) - 1
     state, states = full, [full]
-    for i in left:
-        match = state & where[int(a[i])]
+    keep = len(left) * len(right) <= CELLS
+    for x in left:
+        match = state & where[x]
         state = ((state + match) | (state - match)) & full
-        states.append(state)
-    # A cleared bit j in a state: the best length grows at b's line j. Walk back along those.
-    shared, j = set(), len(right)
-    for k in range(len(left), 0, -1):
-        low = (1 << j) - 1
-        if (~states[k] & low).bit_count() > (~states[k - 1] & low).bit_count():
-            shared.add(left[k - 1])
-            j = (where[int(a[left[k - 1]])] & low).bit_length() - 1
-    return shared
+        if keep:
+            states.append(state)
+    return states if keep else [state]
+
+
+def _lengths(left: list[int], right: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of left with each beginning of right."""
+    bits = np.unpackbits(np.frombuffer(_states(left, right)[-1].to_bytes(-(-len(right) // 8) or 1, "little"), np.uint8), count=len(right), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(left: list[int], right: list[int]) -> list[int]:
+    """Indices of left in a longest common subsequence with right. What is too large for its states is cut in halves, so memory stays linear."""
+    if not left or not right:
+        return []
+    if len(left) * len(right) <= CELLS or len(left) == 1:
+        states, shared, j = _states(left, right) if len(left) * len(right) <= CELLS else [(1 << len(right)) - 1, *_states(left, right)], [], len(right)
+        for k in range(len(left), 0, -1):
+            low = (1 << j) - 1
+            if (~states[k] & low).bit_count() > (~states[k - 1] & low).bit_count():
+                shared.append(k - 1)
+                # The match is the last of right's before j that is equal.
+                j -= 1
+                while right[j] != left[k - 1]:
+                    j -= 1
+        return shared[::-1]
+    half = len(left) // 2
+    upper, lower = _lengths(left[:half], right), _lengths(left[half:][::-1], right[::-1])[::-1]
+    cut = int(np.argmax(upper + lower))
+    return _aligned(left[:half], right[:cut]) + [half + i for i in _aligned(left[half:], right[cut:])]
+
+
+def common_lines(a: np.ndarray, b: np.ndarray) -> set[int]:
+    """Indices of a's lines in a longest common subsequence with b, by bit-parallel dynamic programming."""
+    mine, other = a.tolist(), b.tolist()
+    inside = set(mine) & set(other)
+    at, right = [i for i, x in enumerate(mine) if x in inside], [x for x in other if x in inside]
+    # Equal beginnings and ends are in one that is longest.
+    most = min(len(at), len(right))
+    begin = next((i for i in range(most) if mine[at[i]] != right[i]), most)
+    end = next((i for i in range(most - begin) if mine[at[-1 - i]] != right[-1 - i]), most - begin)
+    middle = at[begin : len(at) - end]
+    shared = _aligned([mine[i] for i in middle], right[begin : len(right) - end])
+    return {*at[:begin], *(middle[i] for i in shared), *at[len(at) - end :]}
 
 
 def page_lines(pages: pd.Series) -> pd.DataFrame:

@@ -178,7 +178,7 @@ def test_names_of_parts(spark):
     """Class words count as whole tokens, compounds only of words that name parts; teasers are no article."""
     pages = [
         "<div class='upload-form-guide'><p>real words</p></div>", "<article><div class='comment-policy'>Policy.</div><p class='ads-free'>Text.</p></article>",
-        "<article><p>The long story here.</p></article><article class='card'>Related teaser</article>", "<main><article>Teaser</article><article><p>Own text of a page</p><article class='comment'>Nice</article></article></main>",
+        "<article><p>The long story here.</p></article><article class='card'>Related teaser</article>", "<main><article><a href=/x>Teaser</a></article><article><p>Own text of a page</p><article class='comment'>Nice</article></article></main>",
         "<div id=site-footer>End</div><div class='x comment_list'>Wow</div><p>kept", "<article></article><article>only this</article>" + "<p>beside</p>" * 3, "<article>" + "x" * 300_000 + "<p>" + "y z " * 50_000 + "</article>",
     ]
     df = spark.createDataFrame([(i, f"http://h{i}.com/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
@@ -187,6 +187,44 @@ def test_names_of_parts(spark):
     assert got[6] == "x" * 300_000 + " " + "y z " * 49_999 + "y z"
 
 
+def test_parts_within_articles():
+    """What a part is decides, by its last noun and its links; lists and cells don't end at what is inside them."""
+    main = lambda html: " ".join(t for t, part in html_extraction.lines_of(html) if part == html_extraction.MAIN)
+    cases = {
+        "<article>part one</article><article>part two longer</article>": "part one part two longer",
+        "<article>own<ul><li class='comment'><p>first comment</p></li></ul></article>": "own",
+        "<article>own<ul><li class='ad'><div>BUY</div></li><li>item<div>more</div></ul><table><tr><td class='ad'><div>BUY</div><td>cell</table></article>": "own item more cell",
+        "<article>own<dl><dt class=ad>BUY<dd>kept</dl><p class=ad>BUY<div>kept too</div></article>": "own kept kept too",
+        "<article>own<ul><li class=ad>BUY<ul><li>NOW</ul><li>kept</ul></article>": "own kept",
+        "<article>own" + "".join(f"<div class='{c}'>x</div>" for c in "reader-comments comment-thread user-comments related-comments comment__body advertisement-label".split()) + "<div hidden>x</div><p style='display: none'>x</p></article>": "own",
+        "<article><p class='lead social'>Real words</p><section class='search'>of a story</section><blockquote class='related'>that stay.</blockquote></article>": "Real words of a story that stay.",
+        "<article>own<div class='related-posts'><a href=1>One</a> <a href=2>Two</a></div><section class='share'><a href=3>Tell</a></section></article>": "own",
+        "<article class='no-sidebar has-comments'>own<div class='ads-free comment-policy'>kept</div></article>": "own kept",
+        "<article>own <article class=comment>reply</article> more</article>": "own more",
+        "<article class='teaser'>One</article><article><a href=1>Two</a></article><article>own</article>": "own",
+        "<article class='teaser'>One</article>": "One",
+    }
+    assert {html: main(html) for html in cases} == cases
+
+
+def test_alignment_in_linear_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(html_extraction, "CELLS", 16)
+    for _ in range(200):
+        a, b = rng.integers(0, rng.integers(2, 12), rng.integers(0, 30)), rng.integers(0, 8, rng.integers(0, 30))
+        kept = sorted(html_extraction.common_lines(a, b))
+        assert len(kept) == brute_lcs(a, b) and is_subsequence(a[kept].tolist(), b.tolist())
+    monkeypatch.undo()
+    a = np.arange(20_000)
+    b = np.concatenate([a[10_000:], a[:10_000]])
+    tracemalloc.start()
+    assert len(html_extraction.common_lines(a, b)) == 10_000
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 def test_extraction_against_brute_force(spark):
     """Generated pages of a host with template lines: what differencing by brute force leaves is the text."""
     rng = random.Random(14)
