@@ -88,9 +88,24 @@ def one_name_each(names: DataFrame, piles: DataFrame) -> DataFrame:
     return own.withColumn("__n", F.row_number().over(Window.partitionBy("pile").orderBy("seq"))).where("__n = 1").drop("__n")
 
 
-def tune_rows(rows: DataFrame, counts: DataFrame, patches: DataFrame) -> DataFrame:
-    """Report rows with their counts and the preferred patch of their category."""
+def tune_rows(voices: DataFrame, assignments: DataFrame, patches: DataFrame) -> DataFrame:
+    """What can be acted on: the worded categories of a record with their counts and the patch of each that counts."""
     from .patches import preferred_patch
 
-    best = preferred_patch(patches).select(F.col("home").alias("name"), F.col("id").alias("patch"))
-    return rows.join(counts, "name", "left").join(best, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = assignments.select("record", F.explode("kinds").alias("name")).groupBy("record", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = preferred_patch(patches).select(F.col("id"))
+    own = patches.join(best, "id", "left_semi").select(
+        F.col("home").alias("name"), F.struct("id", F.col("wording.text").alias("when"), F.coalesce("wording.do_this", F.lit("")).alias("do_this"), F.coalesce("wording.y", F.lit("")).alias("own_voice"), "action", F.coalesce("reach", F.lit(0)).alias("reach"), F.coalesce("slip", F.lit(0)).alias("slip"), "state").alias("patch")
+    )
+    return voices.join(counts, ["record", "name"], "left").join(own, "name", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("record", "name", "born_seq", "section", "line", "signal", "quote", "n", "patch")
+
+
+def tune_groups(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Groups (record, line, members, facets) with the rows of their members, in order: (record, line, members: array of facet, name, n).
+
+    A member without a row goes, and its facet with it.
+    """
+    each = groups.select("record", "line", F.posexplode(F.arrays_zip("members", "facets")).alias("place", "m")).select("record", "line", "place", F.col("m.members").alias("name"), F.coalesce("m.facets", F.lit("")).alias("facet"))
+    kept = each.join(rows.select("record", "name", "n"), ["record", "name"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "facet", "name", "n"))), lambda x: F.struct(x["facet"].alias("facet"), x["name"].alias("name"), x["n"].alias("n")))
+    return kept.groupBy("record", "line").agg(listed.alias("members"))

@@ -63,11 +63,18 @@ def merge_cache(cache: DataFrame, fresh: DataFrame, live: DataFrame, keys: list[
     return kept.unionByName(fresh)
 
 
-def cache_plan(work: DataFrame, cache: DataFrame, keys: list[str] = ["name", "born_at"]) -> DataFrame:  # noqa: B006
-    """Whether each row of work can reuse its cached wording, whose proof must still be a candidate."""
-    own = work.join(cache.select(*keys, F.col("line").alias("cached_line"), F.col("quote").alias("cached_quote")), keys, "left")
-    stale = F.col("cached_quote").isNotNull() & ~F.array_contains("candidates", F.col("cached_quote"))
-    return own.withColumn("plan", F.when(F.col("cached_line").isNull(), "missing").when(stale, "replace").otherwise("reuse"))
+def cache_plan(work: DataFrame, cache: DataFrame, proven: str, keys: list[str] = ["name", "born_seq"]) -> DataFrame:  # noqa: B006
+    """work with its cached wording, and whether that can be used again: plan is reuse, missing or replace.
+
+    A wording with a numeral is replaced, as only counting may print one. In the section that prints quotes
+    (proven) the cached quote must still be a candidate; else the wording is missing.
+    """
+    parts = ["section", "line", "signal", "quote"]
+    own = work.join(cache.select(*keys, *[F.col(c).alias(f"cached_{c}") for c in parts]), keys, "left")
+    numeral = F.concat_ws(" ", "cached_line", "cached_signal").rlike("[0-9]")
+    stale = (F.col("cached_section") == proven) & ~F.array_contains("candidates", F.coalesce("cached_quote", F.lit("")))
+    plan = F.when(F.col("cached_section").isNull(), "missing").when(numeral, "replace").when(stale, "missing").otherwise("reuse")
+    return own.withColumn("plan", plan)
 
 
 def tally_usage(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -125,13 +125,13 @@ def sessions_at_build(store: Store, record: str) -> int | None:
     return store.read("builds").where(F.col("record") == record).agg(F.max_by("sessions", "seq")).first()[0]
 
 
-def refresh(store: Store, turns: DataFrame, record: str, rebuild: bool = False, whole: bool = False) -> None:
+def refresh(store: Store, turns: DataFrame, record: str, rebuild: bool = False, whole: bool = False, namer: Namer = "behaviour {}".format) -> None:
     """Ingest; then build anew if asked to, without a model, or once the record has outgrown it, else place what is new."""
     ingest(store, turns, whole)
     then = sessions_at_build(store, record)
     rebuild = rebuild or (then is not None and outgrown(store.read("moments").where(F.col("record") == record), then))
     if rebuild or store.read("centres").where((F.col("record") == record) & (F.col("pipeline") == PIPELINE)).isEmpty():
-        cold_build(store, record)
+        cold_build(store, record, namer)
     else:
         grow(store, record)
 
