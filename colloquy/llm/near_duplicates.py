@@ -16,9 +16,10 @@ Two sets of blocks:
   compared chunk by chunk with itself in several tasks; none of its pairs is lost.
 
 With repeats = False near means more, and words are runs of letters and digits, whatever marks stand
-between them. Two texts are near if the smaller of their whole sets of shingles has at least the
-share `similarity` in common with the other (a few edited words each take five shingles from either
-set, which counts once here, twice in a Jaccard similarity). The blocks then only find candidates.
+between them. Two texts are near if at least the share `similarity` of the words of both together stands
+in shingles that the other text has as well. (An edited word takes five shingles from a set, but leaves the
+words around it covered by others; so this tells how much of two texts is the same, as shares of shingle
+sets don't.) The blocks then only find candidates, by cosines of shingle sets of `candidates` on.
 Candidates that hang together are compared again, and each link between two trees of links is kept
 only if the two sets hold it. Texts go there once, or, of a component of more than `max_texts`, once
 for each pair of chunks. Row numbers, fingerprints and links are all that is joined and contracted
@@ -61,21 +62,22 @@ class Near:
     radius: int = 2
     #: Whether a shingle that a text repeats counts each time. If not, shingle sets decide.
     repeats: bool = True
-    #: Share of the smaller set, with what chance blocks find it, and rows of a block.
+    #: Share of the words of two texts; the cosine of shingle sets from which on, and the chance with which, blocks find a pair; rows of a block.
     similarity: float = 0.8
+    candidates: float = 0.65
     recall: float = 0.98
     max_block: int = 8192
     #: Texts whose sets a task holds at once.
     max_texts: int = 1024
 
 
-#: What the contract of the query asks for, and what finds five-word similarities of 0.8.
+#: What the contract of the query asks for, and what finds texts of which 0.8 comes again in five-word shingles.
 EXACT = Near()
 LIKE = Near(shingle=5, bits=128, radius=36, repeats=False)
 
 
-def shingle_hashes(text: str | None, near: Near) -> list[bytes]:
-    """The hashes of a whole text's shingles; each once if repeats don't count."""
+def shingle_hashes(text: str | None, near: Near, ordered: bool = False) -> list[bytes]:
+    """The hashes of a whole text's shingles; each once, in any order, if repeats don't count, unless all are asked for in order."""
     text = text or ""
     parts = text.encode().lower().split() if near.repeats else " ".join(WORDS.findall(text.lower())).encode().split()
     if not parts:
@@ -86,7 +88,7 @@ def shingle_hashes(text: str | None, near: Near) -> list[bytes]:
     ends = ends[min(near.shingle, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_digest if near.bits == 64 else xxhash.xxh3_128_digest
     hashed = [digest(joined[s:e], 42) for s, e in zip(starts, ends)]
-    return hashed if near.repeats else list(set(hashed))
+    return hashed if near.repeats or ordered else list(set(hashed))
 
 
 def _majority(hashed: list[bytes], near: Near) -> bytes:
@@ -107,13 +109,30 @@ def _last_words(hashed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(h[-8:] for h in hashed), dtype="<u8")
 
 
-def shingle_set(text: str | None, near: Near) -> np.ndarray:
-    return np.unique(_last_words(shingle_hashes(text, near)))
+@dataclass(frozen=True)
+class Shingles:
+    """A text's shingles in order, and as a sorted set."""
+
+    run: np.ndarray
+    each: np.ndarray
+
+
+def shingles_of(text: str | None, near: Near) -> Shingles:
+    run = _last_words(shingle_hashes(text, near, ordered=True))
+    return Shingles(run, np.unique(run))
+
+
+def _covered(a: Shingles, b: Shingles, near: Near) -> np.ndarray:
+    """Which of a's words stand in shingles that b has."""
+    at = np.minimum(np.searchsorted(b.each, a.run), len(b.each) - 1)
+    return np.convolve(b.each[at] == a.run, np.ones(near.shingle)) > 0.5
 
 
-def in_common(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the smaller of two sets, as sorted arrays, that the other has as well."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
+def in_common(a: Shingles, b: Shingles, near: Near) -> float:
+    """The share of the words of both texts that stand in shingles of the other as well."""
+    if not len(a.run) or not len(b.run):
+        return 0.0
+    return float(np.concatenate([_covered(a, b, near), _covered(b, a, near)]).mean())
 
 
 def with_fingerprints(docs: DataFrame, near: Near) -> DataFrame:
@@ -147,7 +166,7 @@ def _sampled_masks(rows: int, near: Near) -> list[list[int]]:
     """Samples of so many bits that an even block has half of max_block rows at most, and 8 at least."""
     width = max(8, math.ceil(math.log2(max(1, rows) / (near.max_block / 2))))
     # Sets of one size have the share in common as their cosine; a bit agrees with chance 1 - angle / pi.
-    agree = 1 - math.acos(near.similarity) / math.pi
+    agree = 1 - math.acos(near.candidates) / math.pi
     tables = math.ceil(math.log(1 - near.recall) / math.log(1 - agree**width))
     rng, masks = np.random.default_rng(42), []
     for _ in range(tables):
@@ -201,7 +220,7 @@ def _hits(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near)
         yield row[cell], 64 * word[cell] + lane
 
 
-def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near, sets: list[np.ndarray]) -> np.ndarray:
+def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: Near, sets: list[Shingles]) -> np.ndarray:
     """As stars, by those hits alone whose sets are similar. A pair that is linked already needs no look."""
     label = np.arange(len(values))
 
@@ -218,7 +237,7 @@ def verified_stars(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, nea
             apart = label[x] != label[y]
             for i, j in zip(x[apart].tolist(), y[apart].tolist()):
                 r, q = root(i), root(j)
-                if r != q and in_common(sets[i], sets[j]) >= near.similarity:
+                if r != q and in_common(sets[i], sets[j], near) >= near.similarity:
                     label[max(r, q)] = min(r, q)
     while ((up := label[label]) != label).any():
         label = up
@@ -251,10 +270,10 @@ def _link(near: Near, fields: list[str], keys: list[str], verify: bool = False):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their blocks; a block that a batch breaks off waits for the next."""
         held: list[np.ndarray] = []
-        sets: list[np.ndarray] = []  # of the rows held
+        sets: list[Shingles] = []  # of the rows held
         enough = near.max_texts if verify else ROWS
 
-        def linked(rows: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def linked(rows: np.ndarray, sets: list[Shingles]) -> pa.RecordBatch:
             block = rows[:, : len(keys)]
             new = np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)])
             begins = np.flatnonzero(new)
@@ -279,7 +298,7 @@ def _link(near: Near, fields: list[str], keys: list[str], verify: bool = False):
                 continue
             held.append(np.stack([batch.column(c).to_numpy() for c in [*keys, "node", *fields]], axis=1))
             if verify:
-                sets += [shingle_set(t, near) for t in batch.column("text").to_pylist()]
+                sets += [shingles_of(t, near) for t in batch.column("text").to_pylist()]
             if sum(map(len, held)) >= enough:
                 rows = np.concatenate(held)
                 last = len(rows) - int((rows[:, : len(keys)] != rows[-1, : len(keys)]).any(axis=1)[::-1].argmax())

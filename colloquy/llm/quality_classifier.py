@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
         rows = [r for b in batches for r in zip(b["label"], b["i"], b["v"])]
         yield pd.DataFrame({"w": [follow_leader(rows, training).astype(np.float32).tobytes()]})
 
-    # At most max_rows rows of doc_id, label and turn are broadcast.
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # At most max_rows rows of doc_id, label and turn are broadcast. Of rows that share a doc_id one is learned from, so that no more than those train.
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))
     fed = picked.select("turn", "doc_id", "label", vectors(F.coalesce("text", F.lit(""))).alias("x")).select("turn", "doc_id", "label", "x.*")
     model = fed.repartition(1).sortWithinPartitions("turn", "doc_id", F.hash("i")).select("label", "i", "v").mapInPandas(follow, "w binary").first()
     # Without any row no task trains.
