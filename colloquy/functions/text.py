@@ -33,7 +33,9 @@ WRAPPERS = (
 COMMANDS = "git pnpm npm gh node npx python3? corepack curl mkdir cp mv sed grep find ls cat".split()
 APPROVAL = "^(ok good|good good|exactly|perfect|nice|beautiful|love it|this is good|yes exactly|great|ok great|clear)\\b"
 
-WHITE = " \t\n\r\x0b\x0c"
+#: White space of scripts and of Unicode's separators, no-break spaces and the byte order mark among it.
+WHITE = " \t\n\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = f"[{WHITE}]+"
 
 
 def trim_white(c: Column) -> Column:
@@ -42,7 +44,7 @@ def trim_white(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, "\\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def normal_phrase(c: Column) -> Column:
@@ -122,7 +124,7 @@ def has_numeral(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.when(trim_white(c) == "", 0).otherwise(F.size(F.split(trim_white(c), "\\s+")))
+    return F.when(trim_white(c) == "", 0).otherwise(F.size(F.split(trim_white(c), SPACES)))
 
 
 def is_question(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.numbers import DAY_MS, headroom, rate
-from ..functions.text import NUMBERED, all_stop, ends_dangling, is_machine_artifact, is_term, normal_phrase, phrases, raw_terms, split_words, tokens
+from ..functions.text import NUMBERED, all_stop, ends_dangling, is_machine_artifact, is_term, normal_phrase, phrases, project_of, raw_terms, split_words, tokens, trim_white
 from .exchanges import term_counts
 from .metrics import personal, with_next
 
@@ -29,6 +29,23 @@ def term_frequency(answers: DataFrame, keys: list[str], text: str) -> DataFrame:
     return each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def answers(exchanges: DataFrame) -> DataFrame:
+    """Exchanges that were answered, with the answer as terms are counted in it: its opening and its end, which may overlap."""
+    return exchanges.withColumn("answer", trim_white(F.concat_ws(" ", "said_head", "said"))).where("answer <> ''")
+
+
+def openings(exchanges: DataFrame, home: str = "") -> DataFrame:
+    """(record, hash, head, project): how the answer of an exchange began and in which project it was, each as its newest copy with any tells.
+
+    exchanges: of all files, mtime, session, idx, said_head, said, and perhaps cwd. Copies merge before the shuffle.
+    """
+    newest = F.struct(F.col("mtime"), F.col("idx"), F.col("session"))
+    project = project_of(F.nullif("cwd", F.lit("")), home) if "cwd" in exchanges.columns else F.lit(None).cast("string")
+    told = answers(exchanges).select("record", "hash", newest.alias("at"), F.nullif("said_head", F.lit("")).alias("head"), project.alias("project"))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    return told.groupBy("record", "hash").agg(latest("head"), latest("project"))
+
+
 def rare_terms(frequencies: DataFrame, answers: int | Column, limits: Thresholds = DEFAULT) -> DataFrame:
     """Terms of the band between background and accident."""
     n = answers if isinstance(answers, Column) else F.lit(answers)

@@ -134,6 +134,17 @@ def exchange_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges.newest_per_hash(both).select("conv_id", "idx", "hash", "mtime")
 
 
+@register("answer_openings", f"""WITH {PAIRS}, copied AS (
+  SELECT conv_id, idx, hash, said_full, 1 AS mtime FROM hashed UNION ALL SELECT conv_id, idx, hash, said_full, 2 FROM hashed WHERE conv_id % 2 = 0
+) SELECT hash, substr(said_full, 1, 800) AS head FROM copied WHERE said_full <> ''
+  QUALIFY row_number() OVER (PARTITION BY hash ORDER BY mtime DESC, idx DESC, conv_id::VARCHAR DESC) = 1""")
+def answer_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each distinct answer began, over the archive of exchange_dedup."""
+    own = chats(spark, sf_dir).select("record", "session", "conv_id", "idx", "hash", "said", "said_head")
+    both = own.withColumn("mtime", F.lit(1)).unionByName(own.where("conv_id % 2 = 0").withColumn("mtime", F.lit(2)))
+    return phrases.openings(both).select("hash", "head")
+
+
 @register("incremental_ingest", f"""WITH {PAIRS} SELECT conv_id, idx, hash FROM hashed WHERE hash NOT IN (SELECT hash FROM hashed WHERE conv_id % 3 = 0)""")
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is new when a third of the conversations is stored already."""

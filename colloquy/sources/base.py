@@ -85,6 +85,11 @@ class SourceDialect:
         return self.turns(read_lines(spark, *self.roots), self.record)
 
 
+def detect(spark: SparkSession, dialects: list[SourceDialect]) -> list[SourceDialect]:
+    """The dialects that have a root on this machine, in the order of the registry."""
+    return [d for d in dialects if existing(spark, *d.roots)]
+
+
 def all_turns(spark: SparkSession, dialects: list[SourceDialect]) -> DataFrame:
     out = None
     for dialect in dialects:

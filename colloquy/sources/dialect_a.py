@@ -18,12 +18,13 @@ AGENT_TOOLS, SKILL_TOOLS, MACHINE = ["Task", "Agent"], ["Skill"], "sdk-cli"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """The lines that are JSON, with their fields, and content as text or blocks."""
-    own = lines.withColumn("d", F.from_json("value", FIELDS)).where("d is not null").select("*", "d.*").drop("d")
-    content = F.get_json_object("value", "$.message.content")
-    is_list = F.get_json_object("value", "$.message.content[0]").isNotNull()
-    own = own.withColumn("blocks", F.when(is_list, F.from_json(content, BLOCKS)))
-    return own.withColumn("raw", F.when(is_list, text_of(F.col("blocks"))).otherwise(F.coalesce(F.nullif(content, F.lit("[]")), F.lit("")))).drop("value")
+    """The lines that are JSON, with their fields, and content as text or blocks. A line is parsed once, to a variant."""
+    own = lines.withColumn("v", F.try_parse_json("value")).where("v is not null").drop("value")
+    fields = {n: F.try_variant_get("v", f"$.{n}", kind) for n, kind in (f.split(" ") for f in FIELDS.split(", "))}
+    content = "$.message.content"
+    is_list = F.coalesce(F.schema_of_variant(F.try_variant_get("v", content, "variant")).startswith("ARRAY"), F.lit(False))
+    own = own.withColumns(fields | {"blocks": F.when(is_list, F.try_variant_get("v", content, BLOCKS)), "said": F.when(~is_list, F.try_variant_get("v", content, "string"))})
+    return own.withColumn("raw", F.coalesce(F.when(is_list, text_of(F.col("blocks"))).otherwise(F.col("said")), F.lit(""))).drop("v", "said")
 
 
 def text_of(blocks: Column) -> Column:
@@ -107,12 +108,18 @@ def titles(lines: DataFrame, record: str = "a") -> DataFrame:
     return own.select(F.lit(record).alias("record"), F.col("sessionId").alias("session"), F.col("aiTitle").alias("title"))
 
 
-def command_chain(lines: DataFrame, tool: str = "Bash", record: str = "a") -> DataFrame:
-    """record, session (file name), pos, action: the verbs of shell commands, in order; a file name counts once."""
+def command_chain(lines: DataFrame, tool: str = "Bash", record: str = "a", roots: tuple[str, ...] = ()) -> DataFrame:
+    """record, session (file name), pos, action: the verbs of shell commands, in order.
+
+    A file name counts once: the one below the first of the roots, of those the least path.
+    """
     from ..functions.text import command_verb
 
     named = lines.withColumn("session", F.element_at(F.split("path", "/"), -1))
-    one = named.groupBy("session").agg(F.min("path").alias("path"))
+    place = F.lit(len(roots))
+    for i, root in reversed(list(enumerate(roots))):
+        place = F.when(F.col("path").contains(root.removeprefix("file://").rstrip("/") + "/"), i).otherwise(place)
+    one = named.groupBy("session").agg(F.min_by("path", F.struct(place, "path")).alias("path"))
     own = parse_lines(named.where(F.col("value").contains(f'"{tool}"')).join(one, ["session", "path"], "left_semi"))
     uses = own.select("session", "line_no", F.posexplode(F.filter(tool_uses(F.col("blocks")), lambda u: u["name"] == tool)).alias("use", "u"))
     parts = uses.select("session", "line_no", "use", F.posexplode(F.split("u.input.command", "&&|;|\n")).alias("part", "command"))
