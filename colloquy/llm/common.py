@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
@@ -45,6 +45,17 @@ def scratch_folder(spark: SparkSession) -> Iterator[str]:
         _folder.reset(before)
 
 
+def set_aside(df: DataFrame, *inner: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df without columns named as an operator's own (`__...`, or one of inner), and what gives their names back.
+
+    They are renamed, so they come along like any other column.
+    """
+    clashing = [c for c in df.columns if c.startswith("__") or c in inner]
+    names = dict(zip(clashing, (n for n in (f"given_{i}" for i in range(len(df.columns) * 2 + 1)) if n not in df.columns)))
+    back = {new: old for old, new in names.items()}
+    return (df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed(back)) if names else (df, lambda out: out)
+
+
 #: Rows that go to a Python worker at once; texts may be long.
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 

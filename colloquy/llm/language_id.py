@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import host_levels, materialize
+from .common import host_levels, materialize, set_aside
 
 #: Hashed letter trigrams, 2^13.
 SHIFT = np.uint64(51)
@@ -156,10 +156,11 @@ def fuse(scored: DataFrame, counted: DataFrame, fusion: Fusion = Fusion()) -> Da
 
 def identify(rows: DataFrame, fusion: Fusion = Fusion(), keep_text: bool = True) -> DataFrame:
     """rows (text, declared, suffix, host, domain, any others) with their language."""
+    rows, named = set_aside(rows)
     scored = with_text_likelihoods(rows, text_model(rows, fusion), fusion)
     counted = materialize(scored.drop("text"), "language-scored")
     # Texts are scored once more rather than written once more.
-    return fuse(scored if keep_text else counted, counted, fusion)
+    return named(fuse(scored if keep_text else counted, counted, fusion))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_ranks, spread, words
+from .common import materialize, salted_ranks, set_aside, spread, words
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ def source_targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def with_copies(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """sized (doc_id, source, size and any other columns) with source_size, target, copies, taken."""
+    sized, named = set_aside(sized, "rank", "n", "offset", "level", "full_at", "cap", "w", "k")
     given = [c for c in sized.columns if c not in ("source_size", "target", "copies", "taken")]
     own = sized.select(*given).withColumns({"__class": F.floor(F.sqrt("size")), "__mix": spread(F.col("doc_id"))})
     own = materialize(own, "mix-sized")
@@ -79,7 +80,7 @@ def with_copies(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     copies = F.floor(rate * (at + 1) + F.col("offset")) - F.floor(rate * at + F.col("offset"))
     placed = placed.withColumn("copies", F.least(copies, F.lit(mix.most)).cast("long"))
     placed = placed.withColumn("taken", F.col("copies") * F.col("size"))
-    return placed.select(*given, "source_size", "target", "copies", "taken")
+    return named(placed.select(*given, "source_size", "target", "copies", "taken"))
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -89,10 +90,10 @@ def with_size(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
     own = with_size(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")).drop("text")
-    own = materialize(own.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    own = materialize(own.withColumn("mix_row", F.monotonically_increasing_id()), "mix-docs")
     # Ranks need row numbers and sizes only. The documents are dealt out once, to meet their copies.
-    taken = with_copies(own.drop("__doc"), mix).where(F.col("copies") > 0).select("__row", "copies")
-    copies = own.select("__row", "__doc").join(taken.hint("shuffle_hash"), "__row")
+    taken = with_copies(own.drop("__doc"), mix).where(F.col("copies") > 0).select("mix_row", "copies")
+    copies = own.select("mix_row", "__doc").join(taken.hint("shuffle_hash"), "mix_row")
     return copies.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__doc.*")
 
 

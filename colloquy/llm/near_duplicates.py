@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_aside
 
 LAST = 2**63 - 1
 ROWS = 1 << 16
@@ -408,7 +408,7 @@ def near_duplicate_groups(docs: DataFrame, near: Near = EXACT, keep_text: bool =
 
     component_id is the smallest doc_id of the component; the first row is of that doc_id.
     """
-    own = with_fingerprints(docs, near)
+    own = with_fingerprints(docs.drop(*(c for c in docs.columns if c in ("__f0", "__f1", "__set", "__row"))), near)
     own = materialize(own if keep_text or not near.repeats else own.drop("text"), "near-docs")
     fields = ["__f0", "__f1"][: near.bits // 64]
     same = fields if near.repeats else [*fields, "__set"]
@@ -432,7 +432,8 @@ def hexadecimal(long: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, near: Near = LIKE) -> DataFrame:
     """docs without all but one document of each group of near-duplicates."""
+    docs, named = set_aside(docs)
     given = docs.columns
     own, groups = near_duplicate_groups(docs, near)
     kept = groups.select(F.col("__first").alias("__row")).distinct()
-    return own.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*given)
+    return own.join(kept.hint("shuffle_hash"), "__row", "left_semi").transform(lambda kept_docs: named(kept_docs.select(*given)))

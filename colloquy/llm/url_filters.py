@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REGISTRIES, host_levels, materialize, words
+from .common import REGISTRIES, host_levels, materialize, set_aside, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,6 +109,7 @@ def _strength(groups: DataFrame, filter_: Filter) -> tuple[float, float]:
 
 def judge(pages: DataFrame, outcomes: DataFrame, filter_: Filter = Filter()) -> DataFrame:
     """pages (page_id, url) with host, path, rule, verdict, and the posterior mean of the host."""
+    pages, named = set_aside(pages, "bad", "n", "b")
     domain, suffix = host_levels(F.col("host"))
     own = with_host_and_path(pages).withColumns({"__domain": domain, "__suffix": suffix})
     of_page = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))  # repeated pages count by their own rows
@@ -129,7 +130,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, filter_: Filter = Filter()) ->
     blocked = F.when(doubtful, chance_above(F.col("__bad"), F.col("__good"), filter_.most_bad) > filter_.certain).otherwise(F.lit(False))
     own = own.withColumn("__rule", matching_rule(filter_))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return own.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__domain", "__suffix", "__n", "__b", "__pd", "__ps", "__bad", "__good", "__rule")
+    return named(own.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__domain", "__suffix", "__n", "__b", "__pd", "__ps", "__bad", "__good", "__rule"))
 
 
 SUFFIX = rf"(?:{'|'.join(REGISTRIES.split())})\.[a-z]{{2}}|[^.]+"
