@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
-from .functions import formats
+from .functions import formats, text
 from .operators import exchanges, metrics, miners, mirror, phrases, state
-from .queries import BY_TOOL, EVENTS, FUNCTION_WORDS, PAIRS, RITUALS, STOPS, by_tool, chat_labelled, chat_rituals, chats, document_lines, kinds, moments, register
+from .queries import BY_TOOL, EVENTS, FUNCTION_WORDS, ORACLES, PAIRS, RITUALS, STOPS, by_tool, chat_labelled, chat_rituals, chats, document_lines, kinds, moments, register
 from .sources.tables import table
 
 #: Floors that invented events reach.
@@ -164,14 +164,6 @@ def repo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- findings ------------------------------------------------------------------------------------------
 
 
-@register("finding_kinds")
-def finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many findings of each kind: document lines as prompts, event types as actions."""
-    from .queries import QUERIES
-
-    return miners.finding_counts(QUERIES["miner_findings"](spark, sf_dir)).select("record", "kind", "n")
-
-
 @register("rule_findings", rf"""WITH lines AS (SELECT doc_id::VARCHAR AS session, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
 normal AS (SELECT session, idx, trim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9 ''/.-]', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM lines),
 kept AS (SELECT *, list_filter(string_split(phrase, ' '), lambda x: x <> '') AS w FROM normal),
@@ -211,6 +203,23 @@ def lesson_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return miners.lessons(own).select("id", miners.receipt_text(F.col("receipts")).alias("receipt"), F.array_join(F.transform("exemplars", lambda x: x["hash"]), ",").alias("exemplars"), "rank")
 
 
+@register("finding_kinds", rf"""WITH lines AS (SELECT doc_id, doc_id::VARCHAR AS session, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
+prompts AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9 ''/.-]', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM lines WHERE trim(line, E' \t\n\r\v\f') <> ''),
+seeds AS (SELECT session, idx, CASE WHEN idx - lag(idx) OVER (PARTITION BY session ORDER BY idx) > 6 THEN 1 ELSE 0 END AS apart FROM prompts WHERE contains(line, '!!')),
+episodes AS (SELECT *, sum(apart) OVER (PARTITION BY session ORDER BY idx) AS episode FROM seeds),
+stretches AS (SELECT 1 FROM episodes GROUP BY session, episode HAVING max(idx) - min(idx) + 1 >= 4 OR count(*) >= 2),
+used AS (SELECT session, doc_id * 60000 AS ms, unnest(list_distinct(list_filter(string_split(p, ' '), lambda x: length(x) >= 4 AND x NOT IN ({STOPS})))) AS term FROM prompts),
+arrived AS (SELECT term FROM used GROUP BY term HAVING min(ms) >= (SELECT max(ms) FROM used) - 30 * 86400000::BIGINT AND count(*) >= 15 AND count(DISTINCT session) >= 5)
+SELECT * FROM (SELECT 'events' AS record, 'ritual' AS kind, count(*) AS n FROM ({ORACLES["ritual_findings"]}) UNION ALL SELECT 'docs', 'rule', count(*) FROM ({ORACLES["rule_findings"]})
+  UNION ALL SELECT 'docs', 'lesson', least(count(*), {miners.TOP["lesson"]}) FROM stretches UNION ALL SELECT 'docs', 'win', least(count(*), 1) FROM prompts WHERE length(p) <= 60 AND regexp_matches(p, '{text.APPROVAL}')
+  UNION ALL SELECT 'docs', 'arrival', least(count(*), {miners.TOP["arrival"]}) FROM arrived) WHERE n > 0""")
+def finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings of each kind: document lines as prompts, event types as actions, at the floors and caps that hold for all."""
+    from .queries import QUERIES
+
+    return miners.finding_counts(QUERIES["miner_findings"](spark, sf_dir)).select("record", "kind", "n")
+
+
 # --- formats, estimates, lookups -----------------------------------------------------------------------
 
 
