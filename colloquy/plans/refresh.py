@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -12,19 +12,20 @@ from ..functions.text import shape
 from ..operators import metrics, phrases, state, vectors
 from ..operators.exchanges import new_rows, pair_exchanges, to_moments
 from ..operators.mirror import counted_quantiles
+from ..sources.files import watch_typed
 from .store import MOMENTS_VERSION, SCHEMAS, Store
 
 PIPELINE = "hash-384-v1"
 Namer = Callable[[int], str]
 
 
-def ingest(store: Store, turns: DataFrame, whole: bool = False) -> None:
+def ingest(store: Store, turns: DataFrame, whole: bool = False, seen: Observation | None = None) -> None:
     """Append the moments that aren't stored yet; running it again appends nothing.
 
     whole: turns are all that a record has, not an increment. Then a record whose moments an older version
-    wrote is built again; without it, older moments stay as they are.
+    wrote is built again; without it, older moments stay as they are. seen: counts the typed messages on the way.
     """
-    fresh = to_moments(pair_exchanges(turns))
+    fresh = to_moments(pair_exchanges(watch_typed(turns, seen) if seen else turns))
     records = [row[0] for row in turns.select("record").distinct().collect()]  # one for each source of transcripts
     stored = {record: store.version(record) for record in records}
     has = {row[0] for row in store.read("moments").select("record").distinct().collect()}

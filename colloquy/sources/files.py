@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from .base import existing
+from .base import DRIFT_BYTES, FILE_CAP, SourceDialect, existing
 
 DESCRIPTION_CAP = 400
 
@@ -92,3 +92,14 @@ def archived(spark: SparkSession, target: str) -> DataFrame:
     files = spark.read.parquet(target)
     last = files.groupBy("name").agg(F.max("bytes").alias("bytes"))
     return files.join(last, ["name", "bytes"], "left_semi")
+
+
+def watch_typed(turns: DataFrame, seen: Observation) -> DataFrame:
+    """turns, of which the typed ones are counted as whatever reads them reads them: no job of its own."""
+    return turns.observe(seen, F.count_if((F.col("role") == "user") & ~F.coalesce("interrupted", F.lit(False)) & (F.col("text") != "")).alias("typed"))
+
+
+def drifted(spark: SparkSession, dialect: SourceDialect, seen: Observation, least_bytes: int = DRIFT_BYTES) -> bool:
+    """Whether so many bytes of transcripts without a typed message mean a changed format: sizes as listed, messages as they were read."""
+    sizes = listed(spark, "*.jsonl", *dialect.roots).where(F.col("bytes") <= FILE_CAP).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return sizes >= least_bytes and seen.get["typed"] == 0

@@ -111,3 +111,21 @@ def test_the_latest_exchanges_of_the_archive(spark, tmp_path, turns):
     source = base.SourceDialect("r", (f"file://{tmp_path}/projects",), lambda lines, record: dialect_a.turns(lines, record))
     got = recent.read_recent(spark, source, 25, first=1)
     assert got.count() == 25 and got.select("session").distinct().count() == 2
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_drift_is_seen_on_the_way(spark, tmp_path, turns, changed):
+    """A format whose messages moved to another field is noticed by the ingest itself."""
+    from pyspark.sql import Observation
+
+    from colloquy.plans import refresh
+    from colloquy.sources import files
+
+    if changed:
+        for path in (tmp_path / "projects" / "proj").glob("*.jsonl"):
+            path.write_text(path.read_text().replace('"message"', '"content_v2"'))
+    source = base.SourceDialect("r", (f"file://{tmp_path}/projects",), dialect_a.turns)
+    seen, store = Observation("typed"), Store(spark, f"file://{tmp_path}/store")
+    refresh.ingest(store, turns, seen=seen)
+    assert files.drifted(spark, source, seen, 10_000) is changed and not files.drifted(spark, source, seen)
+    assert seen.get["typed"] == (0 if changed else 160)
