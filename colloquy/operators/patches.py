@@ -61,15 +61,16 @@ def with_entry(patches: DataFrame, entries: DataFrame, most: int = DEFAULT.histo
 def rehome(patches: DataFrame, live: DataFrame, centres: DataFrame, pipeline: str) -> DataFrame:
     """patches with home or, if their category is gone and no centre is near and clear enough, dormant.
 
+    Patches of asks (mode 2) are at home in no category, and never sleep.
     live: name, distinct. centres: idx, centre, label of a frozen model, a few dozen rows.
     """
     known = live.select(F.col("name").alias("home"), F.lit(True).alias("__live"))
     own = patches.join(known, "home", "left")
-    lost = own.where("__live is null and centroid is not null").where(F.col("pipeline") == pipeline)
+    lost = own.where("__live is null and centroid is not null and mode <> 2").where(F.col("pipeline") == pipeline)
     near = top_two(lost.select("id", "centroid"), centres.select("idx", "centre"), ["id"], ANCHOR, MARGIN, vector="centroid").where("anchored")
     near = near.join(centres.select("idx", F.col("label").alias("new_home")), "idx").join(live.select(F.col("name").alias("new_home")), "new_home", "left_semi").select("id", "new_home")
     own = own.join(near, "id", "left")
-    return own.withColumns({"dormant": F.col("__live").isNull() & F.col("new_home").isNull(), "home": F.coalesce("new_home", "home")}).drop("__live", "new_home")
+    return own.withColumns({"dormant": (F.col("mode") != 2) & F.col("__live").isNull() & F.col("new_home").isNull(), "home": F.coalesce("new_home", "home")}).drop("__live", "new_home")
 
 
 def preferred_patch(patches: DataFrame) -> DataFrame:

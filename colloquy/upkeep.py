@@ -59,6 +59,25 @@ def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", "via", F.col("next_state").alias("state"), patches.trend_word(F.col("history"), F.col("base_fail")).alias("trend"))
 
 
+@register("rehomed_patches", """WITH p AS (SELECT v.vec_id, 1 + (v.vec_id % 11 = 0)::INT AS mode, CASE WHEN v.vec_id % 4 = 0 THEN 'c' || v.vec_id % 8 ELSE 'gone' END AS home, v.vec_id % 5 = 0 AS old,
+    (CASE WHEN v.vec_id % 3 = 0 THEN c.embedding ELSE v.embedding END)::DOUBLE[] AS x FROM embeddings v JOIN embeddings c ON c.vec_id = v.vec_id % 8),
+sims AS (SELECT p.vec_id, c.vec_id AS idx, list_dot_product(x, c.embedding::DOUBLE[]) AS sim FROM p, embeddings c WHERE c.vec_id < 8),
+best AS (SELECT vec_id, max(idx) FILTER (r = 1) AS idx, max(sim) FILTER (r = 1) AS first, max(sim) FILTER (r = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, idx) AS r FROM sims) GROUP BY vec_id)
+SELECT vec_id, CASE WHEN kept OR NOT near THEN home ELSE 'c' || idx END AS home, NOT kept AND NOT near AS dormant FROM (
+  SELECT *, mode = 2 OR home IN ('c0', 'c1', 'c2', 'c3', 'c4', 'c5') AS kept, NOT old AND first >= 0.93 AND first - second >= 0.02 AND idx < 6 AS near FROM p JOIN best USING (vec_id))""")
+def rehomed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as patches, of which some lost their category: those near enough to a live centre, and clear of the next, move there."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    first = v.where("vec_id < 8").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("centre"))
+    centres = first.withColumn("label", F.concat(F.lit("c"), F.col("idx").cast("string")))
+    own = v.join(first, F.col("vec_id") % 8 == F.col("idx")).select(
+        F.col("vec_id").alias("id"), (1 + (F.col("vec_id") % 11 == 0).cast("int")).alias("mode"), F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("c"), (F.col("vec_id") % 8).cast("string"))).otherwise("gone").alias("home"),
+        F.when(F.col("vec_id") % 5 == 0, "old").otherwise("new").alias("pipeline"), F.when(F.col("vec_id") % 3 == 0, F.col("centre")).otherwise(F.col("embedding")).alias("centroid"),
+    )
+    found = patches.rehome(own, centres.where("idx < 6").select(F.col("label").alias("name")), centres, "new")
+    return found.select(F.col("id").alias("vec_id"), "home", "dormant")
+
+
 @register("tuned_rows", """WITH patches AS (
   SELECT event_type AS home, (user_id % 20)::VARCHAR || event_type AS id, min(event_id) AS seq, CASE WHEN count(*) % 2 = 0 THEN 'open' ELSE 'healed' END AS state, count(*) AS reach FROM events GROUP BY user_id % 20, event_type
 ), best AS (SELECT * FROM patches QUALIFY row_number() OVER (PARTITION BY home ORDER BY state <> 'open', seq, id) = 1
