@@ -26,7 +26,7 @@ def texts():
     odd = ["a", "the ", " ", "  ", "\n", "\t", "é", "é", "日本", "😀", "<|endoftext|>", "<s>", "<unk>", "\x00", "1", "23", "'s", "\xa0", " ", "-", "ization", "Straße "]
     made = ["".join(rng.choice(odd) for _ in range(rng.randint(1, 60))) for _ in range(300)]
     words = ["tokenization of words that are somewhat unusual", "The quick brown fox", "naïve café über", "a" * 3000, "a▁b", "x  y", "   "]
-    return ["", None, *words, *words, *made, "word " * 40_000]
+    return ["", None, *words, *words, *made, "word " * 8_000]
 
 
 def brute(plain, rows):
@@ -89,11 +89,13 @@ def spans(spelled):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [ta.PART_BYTES, 4000])
-def test_every_link(spark, plain, monkeypatch, part_bytes):
+@pytest.mark.parametrize(("part_bytes", "fan"), [(ta.PART_BYTES, 16), (40_000, 2)])
+def test_every_link(spark, plain, monkeypatch, part_bytes, fan):
+    """At once, and with the table in several parts and vectors summed in a tree of several levels."""
     monkeypatch.setattr(ta, "BUCKET", 50)
+    monkeypatch.setattr(ta, "FAN", fan)
     rows = texts()
-    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in enumerate(rows)], "doc_id long, text string, a int, n string, pair int").repartition(40)
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in enumerate(rows)], "doc_id long, text string, a int, n string, pair int").repartition(16)
     got = {r["doc_id"]: tuple(r)[1:] for r in ta.described(ta.align(docs, part_bytes=part_bytes)).collect()}
     want = brute(plain, rows)
     assert sum(w[0] > 0 for w in want) > 100 and sum(w[0] == 0 for w in want) >= 4
