@@ -73,7 +73,7 @@ def test_stream_and_batch_agree_over_a_restart(spark, tmp_path):
         for at in some:
             (tmp_path / "runs" / f"{at:015d}.json").write_text("\n".join(json.dumps(r) for r in every if r["built_ms"] == at))
 
-    stream = ps.stream_runs(spark, f"{tmp_path}/runs")
+    stream = ps.stream_runs(spark, f"{tmp_path}/runs", files_at_once=3)
     for some in (times[:5], times[5:]):  # the query ends and starts again between them
         write(some)
         ps.follow_patches(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
