@@ -50,6 +50,16 @@ def read_lines(spark: SparkSession, *roots: str, file_cap: int = FILE_CAP) -> Da
     return lines.select("path", "mtime", "bytes", (F.col("row") + F.col("shift")).alias("line_no"), "value")
 
 
+def file_name(path: Column) -> Column:
+    """The name of a transcript's file, by which its session goes."""
+    return F.regexp_extract(path, "([^/]*?)(\\.jsonl)?$", 1)
+
+
+def by_file(turns: DataFrame) -> DataFrame:
+    """turns as pairing takes them: a session is a file, whatever ids its rows carry, in the order of lines."""
+    return turns.withColumns({"session": file_name(F.col("path")), "pos": F.col("line_no")})
+
+
 def newest_first(*extra: str) -> Window:
     return Window.partitionBy(*extra).orderBy(F.desc("mtime"), "path", "line_no")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exchanges import holds_enough, pair_exchanges, recent_exchanges
-from .base import SourceDialect, read_lines
+from .base import SourceDialect, file_name, read_lines
 from .files import listed
 
 #: Files that are read first, and how many times as many each time they hold too little.
@@ -14,11 +14,11 @@ FIRST, GROWTH = 8, 4
 
 
 def as_exchanges(turns: DataFrame) -> DataFrame:
-    """Paired exchanges with the file and time that recent_exchanges orders by. A session is told by its file."""
+    """Exchanges, paired within each file, with the file and time that recent_exchanges orders by. The session is the file's name."""
     own = turns.select("record", F.col("path").alias("session"), F.col("line_no").alias("pos"), "ts", "role", "text", "interrupted", "interrupt_kind", "denial", "denied_tools", "tools", "cwd", "git_branch", "images")
-    times = turns.select(F.col("path").alias("session"), "mtime", F.col("session").alias("named")).groupBy("session").agg(F.max("mtime").alias("mtime"), F.first("named").alias("named"))
-    paired = pair_exchanges(own).join(times, "session").withColumn("path", F.col("session"))
-    return paired.withColumn("session", F.col("named")).drop("named")
+    times = turns.groupBy(F.col("path").alias("session")).agg(F.max("mtime").alias("mtime"))
+    paired = pair_exchanges(own).join(times, "session").withColumnRenamed("session", "path")
+    return paired.withColumn("session", file_name(F.col("path")))
 
 
 def read_recent(spark: SparkSession, dialect: SourceDialect, want: int, margin: int = 4, first: int = FIRST) -> DataFrame:
