@@ -188,7 +188,7 @@ def test_recent_read_stops_at_what_it_needs(spark, tmp_path):
     columns = ["hash", "session", "idx", "first_of_day"]
     for want in (3, 10_000):
         read.clear()
-        got = recent.read_recent(spark, dialect, want, first=2)
+        got = recent.read_recent(spark, dialect, want, first=8)
         assert [tuple(r) for r in got.select(columns).collect()] == [tuple(r) for r in recent_exchanges(whole, want).select(columns).collect()]
         paths = read[-1].select("path").distinct().count()
         assert paths == (8 if want == 3 else 16)
