@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,21 +44,38 @@ def trim_white(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def is_blank(c: Column) -> Column:
+    """Nothing but white space; no more is read than up to the first other character."""
+    return ~c.rlike(f"[^{WHITE}]")
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+# What words of replies, prompts and quotes are made of; all else parts them.
+PHRASE, PROMPT, QUOTE = "a-z0-9'", "a-z0-9'/.-", "a-z0-9"
+
+
+def words_of(c: Column, letters: str, first: int | None = None) -> Column:
+    """The words of a text, lower-cased; of the first so many no more of the text is read."""
+    text = F.lower(c)
+    if first:
+        text = F.regexp_extract(text, f"^[^{letters}]*+(?:[{letters}]++[^{letters}]++){{0,{first - 1}}}+[{letters}]*+", 0)
+    return F.regexp_extract_all(text, F.lit(f"[{letters}]+"), F.lit(0))
+
+
 def normal_phrase(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9\\s']", " "))
+    return F.array_join(words_of(c, PHRASE), " ")
 
 
-def normal_prompt(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9 '/.-]", " "))
+def normal_prompt(c: Column, first: int | None = None) -> Column:
+    return F.array_join(words_of(c, PROMPT, first), " ")
 
 
 def normal_quote(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "))
+    return F.array_join(words_of(c, QUOTE), " ")
 
 
 def without_digits(c: Column) -> Column:
@@ -73,8 +92,7 @@ def literals(items: list[str]) -> Column:
 
 def among(items: list[str]):
     """A test of membership in a word list, for use inside lambdas."""
-    words = literals(items)
-    return lambda w: F.array_contains(words, w)
+    return lambda w: w.isin(*items)
 
 
 def tokens(c: Column) -> Column:
@@ -91,14 +109,22 @@ def is_term(t: Column, machine: tuple[str, ...] = ()) -> Column:
     return F.length(t).between(3, 40) & ~t.isin(*FUNCTION_WORDS, *machine)
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where f names c several times: as the argument of a lambda it is computed once for a row."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def phrases(c: Column) -> Column:
     """Distinct candidate phrases of a reply: openings of two to four words, a short whole, a numbered list."""
-    w = split_words(normal_phrase(c))
-    n = F.size(w)
-    openings = [F.when(n >= k, F.array_join(F.slice(w, 1, k), " ")) for k in (2, 3, 4)]
-    whole = F.when(n.between(1, 5), F.array_join(w, " "))
     numbered = F.when(c.rlike("^\\s*\\d+[.)]"), F.lit(NUMBERED))
-    return F.array_distinct(F.array_compact(F.array(numbered, *openings, whole)))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        openings = [F.when(n >= k, F.array_join(F.slice(w, 1, k), " ")) for k in (2, 3, 4)]
+        whole = F.when(n.between(1, 5), F.array_join(w, " "))
+        return F.array_distinct(F.array_compact(F.array(numbered, *openings, whole)))
+
+    return once(words_of(c, PHRASE, first=6), of)  # a sixth word tells that the text is no short whole
 
 
 def all_stop(phrase: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.numbers import DAY_MS, headroom, rate
-from ..functions.text import NUMBERED, all_stop, ends_dangling, is_machine_artifact, is_term, normal_phrase, phrases, project_of, raw_terms, split_words, tokens, trim_white
+from ..functions.text import NUMBERED, PHRASE, all_stop, ends_dangling, is_machine_artifact, is_term, phrases, project_of, raw_terms, tokens, trim_white, words_of
 from .exchanges import term_counts
 from .metrics import personal, with_next
 
@@ -87,14 +87,15 @@ def signatures(labelled: DataFrame, categories: DataFrame, limits: Thresholds =
 def without_extensions(found: DataFrame, keys: list[str]) -> DataFrame:
     """Without phrases of which a shorter one, of those found, is the beginning.
 
-    A phrase has few prefixes, so they are looked up rather than all pairs compared.
+    A phrase has few prefixes, so they are looked up rather than all pairs compared: a phrase and those that
+    it begins meet by it, and found, which may be costly, is computed once.
     """
     words = F.split("phrase", " ")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.array_join(F.slice(words, 1, k), " "))
-    longer = found.where((F.size(words) > 1) & (F.col("phrase") != NUMBERED)).select(*keys, "phrase", F.explode(prefixes).alias("__prefix"))
-    shorter = found.where(F.col("phrase") != NUMBERED).select(*keys, F.col("phrase").alias("__prefix"))
-    extended = longer.join(shorter, [*keys, "__prefix"], "left_semi").select(*keys, "phrase").distinct()
-    return found.join(extended, [*keys, "phrase"], "left_anti")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    each = found.withColumn("__prefix", F.explode(F.when(F.col("phrase") == NUMBERED, F.array("phrase")).otherwise(prefixes)))
+    itself = F.col("__prefix") == F.col("phrase")
+    begun = F.max(itself & (F.col("phrase") != NUMBERED)).over(Window.partitionBy(*keys, "__prefix"))
+    return each.withColumn("__longer", begun & ~itself).groupBy(*found.columns).agg(F.bool_or("__longer").alias("__longer")).where("not __longer").drop("__longer")
 
 
 def is_explanation(said_len: Column, calls: Column, limits: Thresholds = DEFAULT) -> Column:
@@ -200,7 +201,7 @@ def meta_evidence(events: DataFrame, modifiers: DataFrame) -> DataFrame:
 
 def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Thresholds = DEFAULT, machine: tuple[str, str] | None = None) -> DataFrame:
     """Two and three words after the opening of asks that hardly occur elsewhere, at most three."""
-    words = split_words(normal_phrase(F.col("reply")))
+    words = words_of(F.col("reply"), PHRASE)
     marked = mark_asks(labelled, rituals).withColumn("w", words)
     openings = rituals.groupBy("record").agg(F.collect_set("phrase").alias("rituals"))
     marked = marked.join(openings, "record")

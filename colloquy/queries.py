@@ -222,7 +222,7 @@ def signature_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select(F.lit("docs").alias("record"), F.col("doc_id").cast("string").alias("session"), "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    return own.where(text.trim_white(F.col("line")) != "")
+    return own.where(~text.is_blank(F.col("line")))
 
 
 @register("repeat_messages", r"""SELECT text, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, text)::INT AS rank FROM (
