@@ -161,22 +161,44 @@ def asks_read(labelled: DataFrame, frequencies: DataFrame, answers: int, limits:
     return found, events, term_zones(labelled, events, found, rare)
 
 
+def _rows_within(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(record, lo, hi, sample): how many of rows (record, ms) lie in each window. The bounds are looked up in
+    running sums: of each day's rows, and of the days before."""
+    day = F.floor(F.col("at") / DAY_MS).alias("day")
+    counted = rows.groupBy("record", F.col("ms").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    # A window begins before the rows of its first moment and ends after those of its last.
+    bounds = windows.select("record", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("side")))).alias("b"))
+    bounds = bounds.where("b.at is not null").select("record", "b.*").distinct().withColumn("n", F.lit(0).cast("long"))
+    each = counted.withColumn("side", F.lit(1)).unionByName(bounds).withColumn("day", day)
+    days = each.groupBy("record", "day").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("record").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.sum("n").over(Window.partitionBy("record", "day").orderBy("at", "side"))
+    found = each.withColumn("__n", so_far).where("side <> 1").join(days.select("record", "day", earlier.alias("__earlier")), ["record", "day"])
+    found = found.select("record", "at", "side", (F.col("__n") + F.col("__earlier")).alias("upto"))
+    low, high = (found.where(F.col("side") == side).select("record", F.col("at").alias(c), F.col("upto").alias(f"__{c}")) for c, side in (("lo", 0), ("hi", 2)))
+    out = windows.select("record", "lo", "hi").distinct().join(low, ["record", "lo"]).join(high, ["record", "hi"])
+    return out.select("record", "lo", "hi", F.greatest(F.col("__hi") - F.col("__lo"), F.lit(0)).alias("sample"))
+
+
 def _read_over(labelled: DataFrame, rituals: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window (record, id, terms, lo, hi): ask_rate, engage_rate, sessions, sample.
 
-    A record has a few windows, one for each patch: they are one array, which a row of the record looks up.
+    A row meets the windows whose terms it names, by the term; those it only lies in are counted by their bounds.
     """
-    marked = with_next(mark_asks(labelled, rituals), ["ai_terms"]).withColumn("__own", F.transform(term_counts(F.col("reply"), DEFAULT.terms_cap), lambda x: x["term"]))
-    of_record = windows.groupBy("record").agg(F.collect_list(F.struct("id", "terms", "lo", "hi")).alias("__windows"))
-    rows = marked.where("ms is not null").join(of_record, "record").withColumn("w", F.explode(F.filter("__windows", lambda w: F.col("ms").between(w["lo"], w["hi"]))))
-    names = lambda c: F.coalesce(F.arrays_overlap(F.col(c), F.col("w.terms")), F.lit(False))
-    context = names("ai_terms") | (F.col("is_ask") & names("next_ai_terms"))
-    engaged = ~F.col("is_ask") & names("__own")
-    reads = rows.groupBy("record", "w.id").agg(
-        F.count_if(F.col("is_ask") & context).alias("asks"), F.count_if(engaged).alias("engaged"),
-        F.countDistinct(F.when(context | engaged, F.col("session"))).alias("sessions"), F.count(F.lit(1)).alias("sample"),
-    )
-    out = windows.select("record", "id").join(reads, ["record", "id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("asks", "engaged", "sessions", "sample")})
+    place = F.row_number().over(Window.partitionBy("record", "session").orderBy("ms", "key"))
+    marked = with_next(mark_asks(labelled, rituals), ["ai_terms"]).withColumn("place", place).where("ms is not null")
+    own = F.transform(term_counts(F.col("reply"), DEFAULT.terms_cap), lambda x: x["term"])
+    context = F.concat(F.coalesce("ai_terms", F.array().cast("array<string>")), F.coalesce(F.when(F.col("is_ask"), F.col("next_ai_terms")), F.array().cast("array<string>")))
+    engaged = F.when(~F.col("is_ask"), own).otherwise(F.array().cast("array<string>"))
+    tagged = lambda terms, of_answers: F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(of_answers).alias("context")))
+    named = marked.select("record", "session", "place", "ms", "is_ask", F.explode(F.concat(tagged(context, True), tagged(engaged, False))).alias("x")).select("*", "x.*").drop("x")
+    wanted = windows.select("record", "id", "lo", "hi", F.explode(F.array_distinct("terms")).alias("term"))
+    met = named.join(wanted, ["record", "term"]).where(F.col("ms").between(F.col("lo"), F.col("hi")))
+    met = met.groupBy("record", "id", "session", "place").agg((F.bool_or("context") & F.bool_or("is_ask")).alias("ask"), F.bool_or(~F.col("context")).alias("engaged"))
+    reads = met.groupBy("record", "id", "session").agg(F.count_if("ask").alias("asks"), F.count_if("engaged").alias("engaged"))
+    reads = reads.groupBy("record", "id").agg(F.sum("asks").alias("asks"), F.sum("engaged").alias("engaged"), F.count(F.lit(1)).alias("sessions"))
+    out = windows.select("record", "id", "lo", "hi").join(reads, ["record", "id"], "left").join(_rows_within(labelled.where("ms is not null").select("record", "ms"), windows), ["record", "lo", "hi"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("asks", "engaged", "sessions", "sample")})
     return out.select("record", "id", rate(F.col("asks"), F.col("sample")).alias("ask_rate"), rate(F.col("engaged"), F.col("sample")).alias("engage_rate"), "sessions", "sample")
 
 
@@ -185,10 +207,10 @@ def ask_window_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame
     return _read_over(labelled, rituals, patches.select("record", "id", "terms", (now_ms - limits.recent_days * DAY_MS).alias("lo"), now_ms.alias("hi")))
 
 
-def ask_span_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame) -> DataFrame:
-    """The same over each patch's own span, from the first to the last of its asks. patches: record, id, terms, ask_keys."""
-    keys = patches.select("record", "id", F.explode("ask_keys").alias("key"))
-    spans = keys.join(labelled.select("record", "key", "ms").where("ms is not null"), ["record", "key"]).groupBy("record", "id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+def ask_span_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame, asks: DataFrame) -> DataFrame:
+    """The same over each patch's own span, from the first to the last of its asks. patches: record, id, terms. asks: record, id, key."""
+    own = asks.select("record", "id", "key").distinct()
+    spans = own.join(labelled.select("record", "key", "ms").where("ms is not null").distinct(), ["record", "key"]).groupBy("record", "id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     return _read_over(labelled, rituals, patches.select("record", "id", "terms").join(spans, ["record", "id"], "left"))
 
 

@@ -94,8 +94,8 @@ def ask_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the span of the asks whose own answers have the term."""
     own = chat_with_terms(spark, sf_dir)
     rituals = chat_rituals(own)
-    asks = phrases.mark_asks(own, rituals).where("is_ask").select("record", "key", F.explode("ai_terms").alias("id")).groupBy("record", "id").agg(F.collect_set("key").alias("ask_keys"))
-    found = phrases.ask_span_reads(own, rituals, term_patches(own).join(asks, ["record", "id"]))
+    asks = phrases.mark_asks(own, rituals).where("is_ask").select("record", "key", F.explode("ai_terms").alias("id"))
+    found = phrases.ask_span_reads(own, rituals, term_patches(own).join(asks, ["record", "id"], "left_semi"), asks)
     return found.select("id", F.round("ask_rate", 9).alias("ask_rate"), F.round("engage_rate", 9).alias("engage_rate"), "sessions", "sample")
 
 

@@ -10,6 +10,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def labelled(spark):
+    rows = [("r", "s", f"k{i}", i, f"please look at term{i % 3} and term9", [f"term{i % 3}"]) for i in range(6)]
+    return spark.createDataFrame(rows, "record string, session string, key string, ms long, reply string, ai_terms array<string>")
+
+
+def test_ask_spans_count_rows_between_their_asks(spark):
+    own, rituals = labelled(spark), spark.createDataFrame([("r", "please look")], "record string, phrase string")
+    patches = spark.createDataFrame([("r", "a", ["term1"]), ("r", "b", ["term1"])], "record string, id string, terms array<string>")
+    asks = spark.createDataFrame([("r", "a", "k1"), ("r", "a", "k4")], "record string, id string, key string")
+    found = phrases.ask_span_reads(own, rituals, patches, asks)
+    # Of the rows 1 to 4, 1 and 4 name it and 3 does by the next answer; b has no asks.
+    assert sorted(map(tuple, found.collect())) == [("r", "a", 0.75, 0.0, 1, 4), ("r", "b", 0.0, 0.0, 0, 0)]
+    assert "collect_list" not in plan(found)
+
+
 def test_phrases_read_a_text_once(spark):
     df = spark.createDataFrame([("Ok, GO on: one two three four five six",), ("short - whole text",), (" 1. a b",), ("",), (None,)], "reply string")
     out = [r[0] for r in df.select(text.phrases(F.col("reply"))).collect()]
