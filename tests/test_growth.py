@@ -15,6 +15,15 @@ def labelled(spark):
     return spark.createDataFrame(rows, "record string, session string, key string, ms long, reply string, ai_terms array<string>")
 
 
+def test_ask_windows_meet_rows_by_their_terms(spark):
+    own, rituals = labelled(spark), spark.createDataFrame([("r", "please look")], "record string, phrase string")
+    patches = spark.createDataFrame([("r", "a", ["term0", "term1"]), ("r", "b", ["other"])], "record string, id string, terms array<string>")
+    found = phrases.ask_window_reads(own, rituals, patches, F.lit(3))
+    # Of the rows 0 to 3 all but 2 name a term, and 2 has one of the next answer.
+    assert sorted(map(tuple, found.collect())) == [("r", "a", 1.0, 0.0, 1, 4), ("r", "b", 0.0, 0.0, 0, 4)]
+    assert "collect_list" not in plan(found)
+
+
 def test_ask_spans_count_rows_between_their_asks(spark):
     own, rituals = labelled(spark), spark.createDataFrame([("r", "please look")], "record string, phrase string")
     patches = spark.createDataFrame([("r", "a", ["term1"]), ("r", "b", ["term1"])], "record string, id string, terms array<string>")
