@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.numbers import DAY_MS
-from ..functions.text import APPROVAL, FILLERS, MINER_STOPS, among, normal_prompt, split_words, without_digits
+from ..functions.text import APPROVAL, FILLERS, MINER_STOPS, PROMPT, among, normal_prompt, without_digits, words_of
 from .phrases import chain_grams, chain_occurrences
 
 TOP = {"ritual": 8, "lesson": 8, "rule": 10, "win": 1, "arrival": 8}
@@ -57,11 +57,10 @@ def _finding(kind: str, id_: Column, claim: Column, receipts: dict[str, Column],
 
 
 def _first_three(found: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], exemplar: Column) -> DataFrame:
-    """found with the first three of rows for each of its keys. found has a few rows, whose keys are looked up before rows are ranked."""
-    own = rows.join(found.select(*keys), keys, "left_semi")
-    first = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n <= 3").withColumn("__x", exemplar)
-    listed = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__x"))), lambda x: x["__x"]).alias("exemplars"))
-    return found.join(listed, keys, "left").withColumn("exemplars", F.coalesce("exemplars", F.array().cast(f"array<{EXEMPLAR}>")))
+    """found with the first three of rows for each of its keys, which all have some. found has a few rows, which go to rows before those are ranked."""
+    own = rows.select(*keys, F.struct(*order).alias("__at"), exemplar.alias("__x")).join(F.broadcast(found), keys)
+    first = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__at"))).where("__n <= 3")
+    return first.groupBy(*found.columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__x"))), lambda x: x["__x"]).alias("exemplars"))
 
 
 def lessons(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -78,17 +77,17 @@ def lessons(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
 
 def repeated_rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Short prompts that come again in several sessions: record, phrase, n, sessions."""
-    own = exchanges.select("record", "session", normal_prompt(F.col("prompt")).alias("phrase"), "pasted")
-    w = split_words(F.col("phrase"))
-    idle = F.forall(w, among([*MINER_STOPS, *FILLERS]))
-    own = own.where((F.size(w) >= 2) & (F.size(w) <= 12) & ~F.coalesce("pasted", F.lit(False)) & ~idle)
+    fits = lambda w: F.size(w).between(2, 12) & ~F.forall(w, among([*MINER_STOPS, *FILLERS]))
+    # In an explode the phrase is computed once for a row, not again for each test of it.
+    words = F.explode(F.filter(F.array(words_of(F.col("prompt"), PROMPT, first=13)), fits))
+    own = exchanges.where(~F.coalesce("pasted", F.lit(False))).select("record", "session", words.alias("w")).select("record", "session", F.array_join("w", " ").alias("phrase"))
     out = own.groupBy("record", "phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"))
     return out.where((F.col("n") >= limits.rule_count) & (F.col("sessions") >= limits.rule_sessions))
 
 
 def rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     found = _ranked(repeated_rules(exchanges, limits), "rule", F.desc("n"), "phrase").withColumnRenamed("sessions", "spread")
-    said = exchanges.where(~F.coalesce("pasted", F.lit(False))).withColumn("phrase", normal_prompt(F.col("prompt")))
+    said = exchanges.where(~F.coalesce("pasted", F.lit(False))).withColumn("phrase", normal_prompt(F.col("prompt"), first=13))  # a phrase has at most twelve words
     found = _first_three(found, said, ["record", "phrase"], [F.col("session"), F.col("idx")], _exemplar(F.col("session"), F.col("hash")))
     claim = F.format_string(CLAIMS["rule"], without_digits(F.col("phrase")))
     return found.select(*_finding("rule", _id("rule", F.col("phrase")), claim, {"count": F.col("n"), "sessions": F.col("spread")}, F.array("phrase")))
@@ -97,9 +96,11 @@ def rules(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
 def approvals(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
     """Short prompts that approve, with what was said before: record, session, idx, quote, approved."""
     order = Window.partitionBy("record", "session").orderBy("idx")
-    own = exchanges.withColumn("p", normal_prompt(F.col("prompt"))).withColumn("before", F.lag("said").over(order))
-    own = own.where((F.col("p") != "") & (F.length("p") <= 60) & F.col("p").rlike(opening))
-    return own.select("record", "session", "idx", "hash", F.substring("p", 1, 60).alias("quote"), F.substring(normal_prompt(F.col("before")), 1, 80).alias("approved"))
+    fits = F.filter(F.array(normal_prompt(F.col("prompt"), first=31)), lambda p: (p != "") & (F.length(p) <= 60) & p.rlike(opening))
+    # Of 31 words at least 61 characters, of 41 at least 81 are read. What is shuffled of a row are its quote and the beginning of its answer, not the texts.
+    own = exchanges.select("record", "session", "idx", "hash", F.get(fits, F.lit(0)).alias("quote"), F.substring(normal_prompt(F.col("said"), first=41), 1, 80).alias("__said"))
+    own = own.withColumn("approved", F.lag("__said").over(order)).where("quote is not null")
+    return own.select("record", "session", "idx", "hash", "quote", "approved")
 
 
 def wins(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
@@ -115,14 +116,16 @@ def wins(exchanges: DataFrame, opening: str = APPROVAL) -> DataFrame:
 
 def arriving_terms(uses: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Terms first used in the last days, often and in several sessions. uses: record, session, ms, term."""
+    # Uses merge by term before they are shuffled; sessions are counted for the terms that are left.
+    seen = uses.groupBy("record", "term").agg(F.min("ms").alias("first_ms"), F.count(F.lit(1)).alias("n"))
     newest = uses.groupBy("record").agg(F.max("ms").alias("newest"))
-    out = uses.groupBy("record", "term").agg(F.min("ms").alias("first_ms"), F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"))
-    out = out.join(newest, "record").where(F.col("first_ms") >= F.col("newest") - limits.arrival_days * DAY_MS)
-    return out.where((F.col("n") >= limits.arrival_count) & (F.col("sessions") >= limits.arrival_sessions))
+    late = seen.join(newest, "record").where((F.col("first_ms") >= F.col("newest") - limits.arrival_days * DAY_MS) & (F.col("n") >= limits.arrival_count))
+    spread = uses.select("record", "term", "session").join(late.select("record", "term"), ["record", "term"], "left_semi").groupBy("record", "term").agg(F.countDistinct("session").alias("sessions"))
+    return late.join(spread.where(F.col("sessions") >= limits.arrival_sessions), ["record", "term"])
 
 
 def arrivals(exchanges: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    w = F.array_distinct(F.filter(split_words(normal_prompt(F.col("prompt"))), lambda x: (F.length(x) >= 4) & ~among([*MINER_STOPS, *FILLERS])(x)))
+    w = F.array_distinct(F.filter(words_of(F.col("prompt"), PROMPT), lambda x: (F.length(x) >= 4) & ~among([*MINER_STOPS, *FILLERS])(x)))
     uses = exchanges.select("record", "session", "ms", F.explode(w).alias("term"))
     found = _ranked(arriving_terms(uses, limits), "arrival", F.desc("n"), "term").withColumnRenamed("sessions", "spread")
     first = uses.join(found.select("record", "term"), ["record", "term"], "left_semi").groupBy("record", "term").agg(F.min("session").alias("session"))
