@@ -235,10 +235,13 @@ def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Threshol
         last = F.size("w") - n
         return F.when(last >= F.col("start"), F.transform(F.sequence(F.col("start"), last), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    each = marked.withColumn("phrase", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))))
-    counts = each.groupBy("record", "phrase").agg(F.count_if("is_ask").alias("n"), F.count_if(~F.col("is_ask")).alias("elsewhere"), F.countDistinct(F.when(F.col("is_ask"), F.col("session"))).alias("sessions"))
-    enough = (F.col("n") >= limits.delivery_min) & (F.col("sessions") >= limits.delivery_sessions) & (F.col("n") / F.nullif(F.col("n") + F.col("elsewhere"), F.lit(0)) >= limits.delivery_share)
-    kept = counts.where(enough & ~all_stop(F.col("phrase"))).join(openings, "record")
+    each = marked.select("record", "session", "is_ask", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("phrase"))
+    # Sessions count for asks alone, so the others, most of the text, merge by phrase before they are shuffled.
+    asked = each.where("is_ask").groupBy("record", "phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"))
+    asked = asked.where((F.col("n") >= limits.delivery_min) & (F.col("sessions") >= limits.delivery_sessions) & ~all_stop(F.col("phrase")))
+    elsewhere = each.where(~F.col("is_ask")).groupBy("record", "phrase").agg(F.count(F.lit(1)).alias("elsewhere"))
+    counts = asked.join(elsewhere, ["record", "phrase"], "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
+    kept = counts.where(F.col("n") / F.nullif(F.col("n") + F.col("elsewhere"), F.lit(0)) >= limits.delivery_share).join(openings, "record")
     known = F.flatten(F.transform("rituals", lambda r: F.split(r, " ")))
     fragment = F.forall(F.split("phrase", " "), lambda w: F.array_contains(known, w) | all_stop(w))
     kept = kept.where(~F.array_contains("rituals", F.col("phrase")) & ~fragment).drop("rituals")
@@ -250,10 +253,10 @@ def delivery_modifiers(labelled: DataFrame, rituals: DataFrame, limits: Threshol
     length = F.length("phrase")
     from_each = F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(F.sequence(F.lit(1), length - i + 1), lambda n: F.substr("phrase", i, n)))
     parts = F.array_distinct(F.filter(F.flatten(from_each), lambda x: F.contains(x, F.lit(" "))))
-    inner = kept.select("record", "phrase", "rank", F.explode(parts).alias("part")).where("part <> phrase")
-    earlier = kept.select("record", F.col("phrase").alias("part"), F.col("rank").alias("part_rank"))
-    covered = inner.join(earlier, ["record", "part"]).where("part_rank < rank").select("record", "phrase").distinct()
-    out = kept.join(covered, ["record", "phrase"], "left_anti")
+    each = kept.withColumn("part", F.explode(parts))
+    part_rank = F.min(F.when(F.col("part") == F.col("phrase"), F.col("rank"))).over(Window.partitionBy("record", "part"))
+    covered = F.coalesce(part_rank < F.col("rank"), F.lit(False))
+    out = each.withColumn("covered", covered).groupBy(*kept.columns).agg(F.bool_or("covered").alias("covered")).where("not covered").drop("covered")
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limits.delivery_top)
 
 
