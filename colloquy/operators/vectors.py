@@ -140,7 +140,8 @@ def _part_sums(own: DataFrame, centres: dict[str, np.ndarray]) -> dict[str, list
             yield pd.DataFrame([(*at, v) for at, v in totals.items()], columns=["record", "part", "total"])
 
     found: dict[str, list[tuple[int, float]]] = {}
-    for row in own.mapInPandas(add, "record string, part int, total double").orderBy("record", "part").collect():
+    # A number for each task: they are sorted here, rather than by three more jobs for each draw.
+    for row in sorted(own.mapInPandas(add, "record string, part int, total double").collect(), key=lambda row: (row["record"], row["part"])):
         found.setdefault(row["record"], []).append((row["part"], row["total"]))
     return found
 
@@ -208,11 +209,13 @@ def cluster(vectors: DataFrame, ks: list[int], key: str = "vec_id", order: list[
         sizes = {r["record"]: r["n"] for r in own.groupBy("record").agg(F.count(F.lit(1)).alias("n")).collect()}
         seeds = _seeds(own, sizes, max(ks))
         model = {(r, k): seeds[r][:k].copy() for r, n in sizes.items() for k in ks if k <= n}
-        before = model
+        before, moving = model, set(model)
         for _ in range(ROUNDS):  # or fewer, once no centre moves
-            before, sums = model, _sums(own, model)
+            before, sums = model, _sums(own, {at: model[at] for at in moving})
             model = {at: np.stack([_unit(sums[(*at, c)]) if (*at, c) in sums else x for c, x in enumerate(centres)]) for at, centres in model.items()}
-            if all(np.array_equal(before[at], model[at]) for at in model):
+            # A number of clusters whose centres stay is done: only the others need another pass.
+            moving = {at for at in moving if not np.array_equal(before[at], model[at])}
+            if not moving:
                 break
         scores = _silhouettes(own, before, model)
     finally:
