@@ -180,11 +180,13 @@ def _rows_within(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return out.select("record", "lo", "hi", F.greatest(F.col("__hi") - F.col("__lo"), F.lit(0)).alias("sample"))
 
 
-def _read_over(labelled: DataFrame, rituals: DataFrame, windows: DataFrame) -> DataFrame:
+def _read_over(labelled: DataFrame, rituals: DataFrame, windows: DataFrame, samples: DataFrame) -> DataFrame:
     """Per window (record, id, terms, lo, hi): ask_rate, engage_rate, sessions, sample.
 
-    A row meets the windows whose terms it names, by the term; those it only lies in are counted by their bounds.
+    A row meets the windows whose terms it names, by the term. samples: by record, or by record, lo and hi, how many
+    rows a window holds; those that only lie in it count there.
     """
+    bounds = [c for c in samples.columns if c != "sample"]
     place = F.row_number().over(Window.partitionBy("record", "session").orderBy("ms", "key"))
     marked = with_next(mark_asks(labelled, rituals), ["ai_terms"]).withColumn("place", place).where("ms is not null")
     own = F.transform(term_counts(F.col("reply"), DEFAULT.terms_cap), lambda x: x["term"])
@@ -197,21 +199,27 @@ def _read_over(labelled: DataFrame, rituals: DataFrame, windows: DataFrame) -> D
     met = met.groupBy("record", "id", "session", "place").agg((F.bool_or("context") & F.bool_or("is_ask")).alias("ask"), F.bool_or(~F.col("context")).alias("engaged"))
     reads = met.groupBy("record", "id", "session").agg(F.count_if("ask").alias("asks"), F.count_if("engaged").alias("engaged"))
     reads = reads.groupBy("record", "id").agg(F.sum("asks").alias("asks"), F.sum("engaged").alias("engaged"), F.count(F.lit(1)).alias("sessions"))
-    out = windows.select("record", "id", "lo", "hi").join(reads, ["record", "id"], "left").join(_rows_within(labelled.where("ms is not null").select("record", "ms"), windows), ["record", "lo", "hi"], "left")
+    out = windows.select("record", "id", "lo", "hi").join(reads, ["record", "id"], "left").join(samples, bounds, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("asks", "engaged", "sessions", "sample")})
     return out.select("record", "id", rate(F.col("asks"), F.col("sample")).alias("ask_rate"), rate(F.col("engaged"), F.col("sample")).alias("engage_rate"), "sessions", "sample")
 
 
 def ask_window_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame, now_ms: Column, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Over the last days, how often asks name a patch's terms, and how often the person uses them otherwise. patches: record, id, terms."""
-    return _read_over(labelled, rituals, patches.select("record", "id", "terms", (now_ms - limits.recent_days * DAY_MS).alias("lo"), now_ms.alias("hi")))
+    """Over the last days, how often asks name a patch's terms, and how often the person uses them otherwise. patches: record, id, terms.
+
+    All patches have one window, so its rows are counted by record, without the patches.
+    """
+    lo, hi = now_ms - limits.recent_days * DAY_MS, now_ms
+    samples = labelled.where(F.col("ms").between(lo, hi)).groupBy("record").agg(F.count(F.lit(1)).alias("sample"))
+    return _read_over(labelled, rituals, patches.select("record", "id", "terms", lo.alias("lo"), hi.alias("hi")), samples)
 
 
 def ask_span_reads(labelled: DataFrame, rituals: DataFrame, patches: DataFrame, asks: DataFrame) -> DataFrame:
     """The same over each patch's own span, from the first to the last of its asks. patches: record, id, terms. asks: record, id, key."""
     own = asks.select("record", "id", "key").distinct()
     spans = own.join(labelled.select("record", "key", "ms").where("ms is not null").distinct(), ["record", "key"]).groupBy("record", "id").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    return _read_over(labelled, rituals, patches.select("record", "id", "terms").join(spans, ["record", "id"], "left"))
+    windows = patches.select("record", "id", "terms").join(spans, ["record", "id"], "left")
+    return _read_over(labelled, rituals, windows, _rows_within(labelled.where("ms is not null").select("record", "ms"), windows))
 
 
 def meta_evidence(events: DataFrame, modifiers: DataFrame) -> DataFrame:

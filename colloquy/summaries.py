@@ -76,8 +76,8 @@ SELECT id, round(count(*) FILTER (is_ask AND context) / count(*)::DOUBLE, 9) AS
 
 
 def term_patches(own: DataFrame) -> DataFrame:
-    """A patch for each term that several answers have."""
-    each = own.select("record", F.explode("ai_terms").alias("id"))
+    """A patch for each term that several answers have. Copies of an exchange are one answer."""
+    each = own.select("record", "key", "ai_terms").dropDuplicates(["record", "key"]).select("record", F.explode("ai_terms").alias("id"))
     return each.groupBy("record", "id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("record", "id", F.array("id").alias("terms"))
 
 
@@ -94,7 +94,7 @@ def ask_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the span of the asks whose own answers have the term."""
     own = chat_with_terms(spark, sf_dir)
     rituals = chat_rituals(own)
-    asks = phrases.mark_asks(own, rituals).where("is_ask").select("record", "key", F.explode("ai_terms").alias("id"))
+    asks = phrases.mark_asks(own, rituals).where("is_ask").select("record", "key", F.explode(F.array_distinct("ai_terms")).alias("id"))
     found = phrases.ask_span_reads(own, rituals, term_patches(own).join(asks, ["record", "id"], "left_semi"), asks)
     return found.select("id", F.round("ask_rate", 9).alias("ask_rate"), F.round("engage_rate", 9).alias("engage_rate"), "sessions", "sample")
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from colloquy import summaries
 from colloquy.functions import text
-from colloquy.operators import phrases
+from colloquy.operators import exchanges, phrases
 
 
 def plan(df) -> str:
@@ -24,6 +25,25 @@ def test_ask_windows_meet_rows_by_their_terms(spark):
     assert "collect_list" not in plan(found)
 
 
+def test_one_window_is_counted_without_the_patches(spark):
+    own, rituals = labelled(spark), spark.createDataFrame([("r", "please look")], "record string, phrase string")
+    patches = spark.createDataFrame([("r", "a", ["term0"]), ("other", "b", ["term0"])], "record string, id string, terms array<string>")
+    found = phrases.ask_window_reads(own, rituals, patches, F.lit(2))
+    # Of the rows 0 to 2, 0 names term0 and 2 has it of the next answer, which lies outside; b's record has no rows.
+    assert sorted(map(tuple, found.collect())) == [("other", "b", 0.0, 0.0, 0, 0), ("r", "a", 2 / 3, 0.0, 1, 3)]
+    assert "Union" not in plan(found)
+
+
+def test_patches_count_copies_of_an_answer_once(spark):
+    rows = [("r", f"s{i}", key, said) for i, (key, said) in enumerate([("k1", "alpha beta"), ("k1", "alpha beta"), ("k1", "alpha beta"), ("k2", "beta gamma"), ("k3", "beta beta")])]
+    own = spark.createDataFrame(rows, "record string, session string, key string, said string")
+    own = own.withColumn("ai_terms", F.transform(exchanges.term_counts(F.col("said"), 24), lambda x: x["term"]))
+    found = summaries.term_patches(own)
+    assert [tuple(r) for r in found.collect()] == [("r", "beta", ["beta"])]
+    # No filter computes the terms a second time.
+    assert plan(found).count("regexp_extract_all(") == 1
+
+
 def test_ask_spans_count_rows_between_their_asks(spark):
     own, rituals = labelled(spark), spark.createDataFrame([("r", "please look")], "record string, phrase string")
     patches = spark.createDataFrame([("r", "a", ["term1"]), ("r", "b", ["term1"])], "record string, id string, terms array<string>")
