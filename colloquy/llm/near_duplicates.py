@@ -7,13 +7,18 @@ at once: the planes, flipped where it has the bit set, go through a carry-save c
 overflows once more than `radius` bits differ, and words of which all rows have overflowed are
 dropped. Blocks give stars of links, and the links' components are found by star contraction.
 
-Two sets of blocks:
+Three sets of blocks:
 * exact: 64 bits in eight bytes; two fingerprints that differ in at most two bits agree on six bytes,
   so the 28 choices of six bytes find all pairs, and a block, of distinct fingerprints that agree on
   48 bits, has at most 65,536 rows.
 * sampled: for wide radii, blocks by random samples of the bits, as many samples as it takes to find
-  a pair at the similarity threshold with the given recall. A block of more than `max_block` rows is
-  compared chunk by chunk with itself in several tasks; none of its pairs is lost.
+  a pair at the similarity threshold with the given recall.
+* least: where shingle sets decide, blocks of texts whose least shingle is the same, by as many orders of
+  all shingles as it takes to find such a pair with the given recall. Texts that share no shingle never
+  meet: a share of all pairs lies within a wide radius by chance, and in a large table these links would
+  tie most texts to one component.
+A sampled or least block of more than `max_block` rows is compared chunk by chunk with itself in several
+tasks; none of its pairs is lost.
 
 With repeats = False near means more, and words are runs of letters and digits, whatever marks stand
 between them. Two texts are near if at least the share `similarity` of the words of both together stands
@@ -135,21 +140,43 @@ def in_common(a: Shingles, b: Shingles, near: Near) -> float:
     return float(np.concatenate([_covered(a, b, near), _covered(b, a, near)]).mean())
 
 
+def _orders(near: Near) -> np.ndarray:
+    """Odd factors, each of which puts all hashes in an order of its own.
+
+    Two sets have the same least hash by an order with a chance of their Jaccard similarity, which is the
+    square of their cosine at least, whatever their sizes.
+    """
+    tables = math.ceil(math.log(1 - near.recall) / math.log(1 - near.candidates**2))
+    return np.random.default_rng(42).integers(0, 2**63, tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The least hash by each order; zeros for an empty set."""
+    return np.array([(hashes * factor).min() for factor in orders] if len(hashes) else [0] * len(orders), dtype=np.uint64).astype(np.int64)
+
+
 def with_fingerprints(docs: DataFrame, near: Near) -> DataFrame:
     """docs with the fingerprint as longs __f0 (and __f1), and with a number __row of its own for each row.
 
-    Where shingle sets decide, __set is a digest of the set, the sum of its hashes.
+    Where shingle sets decide, __set is a digest of the set, the sum of its hashes, and __least has its least
+    hash by each of several orders.
     """
     words = near.bits // 64
     fields = [*["__f0", "__f1"][:words], *([] if near.repeats else ["__set"])]
+    turns = None if near.repeats else _orders(near)
 
-    @F.pandas_udf(", ".join(f"{f} long" for f in fields))
+    @F.pandas_udf(", ".join([*[f"{f} long" for f in fields], *([] if near.repeats else ["__least array<long>"])]))
     def prints(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, least = [], []
         for hashed in (shingle_hashes(t, near) for t in texts):
             own = np.frombuffer(_majority(hashed, near), dtype=">i8").tolist()
-            rows.append(own if near.repeats else [*own, int(_last_words(hashed).sum(dtype=np.uint64).astype(np.int64))])
-        return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(fields)), columns=fields)
+            if not near.repeats:
+                last = _last_words(hashed)
+                own.append(int(last.sum(dtype=np.uint64).astype(np.int64)))
+                least.append(least_hashes(last, turns))
+            rows.append(own)
+        found = pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(fields)), columns=fields)
+        return found if near.repeats else found.assign(__least=least)
 
     return docs.withColumn("__f", prints(F.coalesce(F.col("text"), F.lit("")))).select("*", "__f.*", F.monotonically_increasing_id().alias("__row")).drop("__f")
 
@@ -325,13 +352,20 @@ def _chunked(keyed: DataFrame, keys: list[str], size: int, name: str) -> DataFra
 
 
 def links(distinct: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b), a after b, between the nodes of distinct fingerprints, enough to connect all that are near."""
+    """Links (a, b), a after b, between the nodes of distinct fingerprints, enough to connect all that are near.
+
+    Where shingle sets decide, distinct has __least as well.
+    """
     fields = [c for c in distinct.columns if c in ("__f0", "__f1")]
     exact = near.bits == 64 and near.radius <= 2
-    masks = _exact_masks() if exact else _sampled_masks(distinct.count(), near)
-    blocks = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), *[F.col(f).bitwiseAND(F.lit(m)).alias(f"k{w}") for w, (f, m) in enumerate(zip(fields, mask))]) for i, mask in enumerate(masks)]))
-    keyed = distinct.select("node", *fields, blocks.alias("__b")).select("node", *fields, "__b.*")
-    keys = ["t", *[f"k{w}" for w in range(len(fields))]]
+    if exact or near.repeats:
+        masks = _exact_masks() if exact else _sampled_masks(distinct.count(), near)
+        blocks = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), *[F.col(f).bitwiseAND(F.lit(m)).alias(f"k{w}") for w, (f, m) in enumerate(zip(fields, mask))]) for i, mask in enumerate(masks)]))
+        keyed = distinct.select("node", *fields, blocks.alias("__b")).select("node", *fields, "__b.*")
+        keys = ["t", *[f"k{w}" for w in range(len(fields))]]
+    else:
+        keyed = distinct.select("node", *fields, F.posexplode("__least").alias("t", "k")).withColumn("t", F.col("t").cast("long"))
+        keys = ["t", "k"]
     if not exact:
         keyed = _chunked(keyed, keys, near.max_block, "near-large")
         keys = [*keys, "c0", "c1"]
@@ -408,14 +442,14 @@ def near_duplicate_groups(docs: DataFrame, near: Near = EXACT, keep_text: bool =
 
     component_id is the smallest doc_id of the component; the first row is of that doc_id.
     """
-    own = with_fingerprints(docs.drop(*(c for c in docs.columns if c in ("__f0", "__f1", "__set", "__row"))), near)
+    own = with_fingerprints(docs.drop(*(c for c in docs.columns if c in ("__f0", "__f1", "__set", "__least", "__row"))), near)
     own = materialize(own if keep_text or not near.repeats else own.drop("text"), "near-docs")
     fields = ["__f0", "__f1"][: near.bits // 64]
     same = fields if near.repeats else [*fields, "__set"]
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("id"), F.col("__row").alias("row")))
-    distinct = own.groupBy(*same).agg(F.min("__row").alias("node"), first.alias("first"))
+    distinct = own.groupBy(*same).agg(F.min("__row").alias("node"), first.alias("first"), *([] if near.repeats else [F.min("__least").alias("__least")]))
     distinct = materialize(distinct, "near-distinct")
-    nodes = distinct.select("node", *fields)
+    nodes = distinct.select("node", *fields, *([] if near.repeats else ["__least"]))
     found = materialize(components(links(nodes, near)), "near-components")
     if not near.repeats:
         found = materialize(components(verified_links(nodes, found, own, near)), "near-verified")

@@ -177,3 +177,36 @@ def test_near_copies_at_scale_of_edits(spark):
     pairs = [(a, b) for a in sets for b in sets if a < b < a + 10 and a // 10 == b // 10 and nd.in_common(sets[a], sets[b], nd.LIKE) >= 0.8]
     want = set(groups(pairs, sets).values())
     assert want <= kept and len(texts) - len(kept) >= 0.95 * (len(texts) - len(want)) and len(texts) - len(want) >= 0.8 * 450
+
+
+def test_texts_that_share_nothing_are_no_candidates(spark, monkeypatch):
+    """Fingerprints lie within a wide radius by chance; only texts that share a shingle are looked at together."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    texts = {i: [word() for _ in range(60)] for i in range(400)}
+    texts |= {1000 + i: [*texts[i][:30], word(), *texts[i][31:]] for i in range(20)}
+    near = nd.Near(shingle=5, bits=128, radius=52, repeats=False)
+    prints = [int.from_bytes(nd.fingerprint(" ".join(texts[i]), near)) for i in range(400)]
+    assert sum((a ^ b).bit_count() <= near.radius for i, a in enumerate(prints) for b in prints[:i]) > 800
+    sizes, verified = [], nd.verified_links
+
+    def watched(distinct, candidates, *rest):
+        sizes.extend(r["count"] for r in candidates.groupBy("component").count().collect())
+        return verified(distinct, candidates, *rest)
+
+    monkeypatch.setattr(nd, "verified_links", watched)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nd.drop_near_duplicates(df, near).collect()) == list(range(400))
+    assert sizes == [2] * 20
+
+
+def test_similar_sets_share_a_least_hash():
+    """At the least cosine, where the smaller set lies in the other, as at any Jaccard similarity, orders agree as often as they should."""
+    rng, orders = np.random.default_rng(4), nd._orders(nd.LIKE)
+    met, agreed = 0, 0
+    for _ in range(2000):
+        large = rng.integers(0, 2**64, 200, dtype=np.uint64)
+        same = nd.least_hashes(large, orders) == nd.least_hashes(large[: round(200 * nd.LIKE.candidates**2)], orders)
+        met, agreed = met + same.any(), agreed + same.mean()
+    assert met / 2000 >= nd.LIKE.recall - 0.01 and agreed / 2000 == pytest.approx(nd.LIKE.candidates**2, abs=0.02)
+    assert nd.least_hashes(np.zeros(0, dtype=np.uint64), orders).tolist() == [0] * len(orders)
